@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remove, shuffle_partitions, texts, written
-from .windows import anchors, candidate_windows, removal, repeated_starts
+from .windows import removal, repeated_starts, segments
 
-FAN_IN, BATCHES = 4, 4
+FAN_IN, BATCHES = 4, 3
 
 
 class FingerprintIndex:
@@ -31,9 +31,10 @@ class FingerprintIndex:
         self.name, self.made, self.runs = f"fingerprints_{uuid.uuid4().hex}", 0, []
 
     def write(self, counted: DataFrame) -> str:
+        """counted comes from an aggregate by h, so it is already dealt by h: a bucket is one file."""
         run = f"{self.name}_{self.made}"
         self.made += 1
-        counted.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(run)
+        counted.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(run)
         return run
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -70,22 +71,17 @@ class FingerprintIndex:
 def deduplicate(docs: DataFrame, size: int = 20, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_words, n_removed, spans), one row a document.
 
-    Shuffled are: anchors (a seventh of the words), windows around repeated anchors, and the texts once, an
-    exchange that the verification and the removal share.
+    Shuffled are: anchors (a seventh of the words), windows of anchors with unequal segments, and the texts once,
+    an exchange that the verification and the removal share.
     """
     spark, plain = docs.sparkSession, texts(docs, id_col, text_col)
-    every = written(anchors(docs, size, id_col=id_col, text_col=text_col).withColumn("batch", F.pmod("doc_id", F.lit(batches)).cast("int")), "anchors")
+    every = written(segments(docs, size, id_col=id_col, text_col=text_col).withColumn("batch", F.pmod("doc_id", F.lit(batches)).cast("int")), "segments")
     index = FingerprintIndex(spark)
-    found = None
+    again = None
     for k in range(batches):
         more = index.add(every.where(F.col("batch") == k).select("h"))
-        found = more if found is None else found.unionByName(more)
+        again = more if again is None else again.unionByName(more)
     index.drop()
-    again = found.distinct()
-    places = every.join(again.hint("merge"), "h").groupBy("doc_id").agg(
-        F.collect_list(F.struct("pos", F.lit(size).alias("reach"))).alias("places")
-    )
-    places = written(places, "places")
+    found = written(every.drop("batch").join(again.distinct().hint("merge"), "h"), "repeated")
     remove(every)
-    windows = candidate_windows(plain, places, size)
-    return removal(plain, repeated_starts(windows), size)
+    return removal(plain, repeated_starts(plain, found, size), size)

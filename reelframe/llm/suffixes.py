@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, written
-from .windows import GRAM, anchors, candidate_windows, removal, repeated_starts
+from .common import remove, small_batches, texts, written
+from .windows import GRAM, removal, repeated_starts, segments
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -62,12 +62,14 @@ def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_co
     they are sorted, so a passage that a third of the documents share is sorted once.
     """
     plain, context = texts(docs, id_col, text_col), size - GRAM
-    every = written(anchors(docs, size, context, id_col, text_col), "suffixes")
+    every = written(segments(docs, size, context, id_col, text_col), "suffixes")
     again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    every = written(every.join(again.hint("merge"), "h", "left_semi"), "repeated")
-    classes = written(every.groupBy("h", "follows").agg(F.count("*").alias("n")), "classes")
-    reach = neighbours(classes, context)
-    places = every.join(reach.hint("merge"), ["h", "follows"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "reach")).alias("places"))
-    places = written(places, "places")
-    windows = candidate_windows(plain, places, size)
-    return removal(plain, repeated_starts(windows), size)
+    found = written(every.join(again.hint("merge"), "h", "left_semi"), "repeated")
+    remove(every)
+
+    def reach(heads: DataFrame) -> DataFrame:
+        own = written(found.join(heads.hint("merge"), ["h", "sd", "doc_id", "at"]), "heads")
+        distinct = written(own.groupBy("h", "follows").agg(F.count("*").alias("n")), "suffixes")
+        return own.join(neighbours(distinct, context).hint("merge"), ["h", "follows"]).drop("follows")
+
+    return removal(plain, repeated_starts(plain, found, size, reach), size)

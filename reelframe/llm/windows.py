@@ -2,7 +2,8 @@
 
 A window is `size` consecutive words. Its anchor is the leftmost of its GRAM-word runs with the least hash
 (its minimiser), so equal windows have equal anchors at equal places, whatever surrounds them, and
-neighbouring windows mostly share one. A window can only be repeated if its anchor's hash is.
+neighbouring windows mostly share one. A window can only be repeated if its anchor's hash is. The windows that
+share an anchor cover a stretch of words, the anchor's segment.
 
 Words are `[^\\x20\\x09-\\x0D]+`, compared unchanged; windows are compared by 128-bit digests of their words.
 """
@@ -12,10 +13,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, by_bytes, mix, sliding_argmin, small_batches, texts, window_hashes
+from .common import U64, WordHashes, by_bytes, mix, sliding_argmin, small_batches, texts, window_hashes, written
 
 GRAM, SEED = 8, 7
 
@@ -24,91 +26,143 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def minimisers(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every gram, anchor place of every window) of a document's word hashes."""
-    grams = window_hashes(hashes, GRAM, SEED)
-    return grams, sliding_argmin(grams, size - GRAM + 1)
+class Words:
+    """The words of many texts end to end: their hashes, and where each text begins and ends."""
 
+    def __init__(self, known: WordHashes, texts: list[str]):
+        split_ = [split(t) for t in texts]
+        self.counts = np.array([len(w) for w in split_], dtype=np.int64)
+        self.ends = np.cumsum(self.counts)
+        self.starts = self.ends - self.counts
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *[known.of(w) for w in split_]])
 
-def anchors(docs: DataFrame, size: int, context: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h long, doc_id, pos int[, follows binary]): each anchor once, with a byte for each of the `context`
-    words that follow its gram (less at the end of the text). No shuffle."""
+    def anchored(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of all windows that lie in one text, each one's anchor, every gram's hash), all as places end to end."""
+        grams = window_hashes(self.hashes, GRAM, SEED)
+        at = sliding_argmin(grams, size - GRAM + 1)
+        inside = np.repeat(self.ends, self.counts)[: len(at)]
+        starts = np.flatnonzero(np.arange(len(at)) + size <= inside)
+        return starts, at[starts], grams
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def segments(docs: DataFrame, size: int, context: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h long, sd long, doc_id, at long[, follows binary]): one row for each anchor.
+
+    h: the anchor's hash. sd: a digest of the stretch of words that its windows cover, and of the anchor's place in
+    it, so rows equal in (h, sd) cover the same words. at packs the anchor's place, how far before it the first
+    window starts, and the number of windows. follows: a byte for each of the `context` words after the gram (less
+    at the end of the text). No shuffle.
+    """
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
     def run(batches):
         known = WordHashes()
-        for b in small_batches(batches, 512):
+        for b in small_batches(batches, 1024):
             for start, end in by_bytes(b, "text"):
-                part, ids, at, found, follows = b.slice(start, end - start), [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = split(text)
-                    if len(words) < size:
-                        continue
-                    hashes = known.of(words)
-                    grams, places = minimisers(hashes, size)
-                    places = np.unique(places)
-                    ids.append(np.full(len(places), -1 if doc is None else doc, dtype=np.int64))
-                    at.append(places.astype(np.int32))
-                    found.append(grams[places])
-                    if context:
-                        line = (mix(hashes) >> U64(56)).astype(np.uint8).tobytes()
-                        follows += [line[p + GRAM : p + GRAM + context] for p in places.tolist()]
-                if not ids:
+                part = b.slice(start, end - start)
+                words = Words(known, part.column(1).to_pylist())
+                starts, at, grams = words.anchored(size)
+                if not len(starts):
                     continue
-                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))]
-                names = ["h", "doc_id", "pos"]
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                place, from_ = at[first], starts[first]
+                n = np.diff(np.concatenate([first, [len(at)]]))
+                till = from_ + n - 1 + size
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * powers(len(words.hashes), base))])
+                digest = (total[till] - total[from_]) * powers(len(words.hashes), inverse)[from_]
+                digest = mix(mix(digest) + (n << 8 | place - from_).astype(np.uint64))
+                doc = np.searchsorted(words.ends, place, side="right")
+                own = place - words.starts[doc]
+                columns = [
+                    pa.array(grams[place].view(np.int64)), pa.array(digest.view(np.int64)),
+                    pa.array(part.column(0).to_numpy(zero_copy_only=False)[doc]), pa.array(own << 16 | place - from_ << 8 | n),
+                ]
+                names = ["h", "sd", "doc_id", "at"]
                 if context:
-                    columns.append(pa.array(follows, pa.binary()))
+                    line = (mix(words.hashes) >> U64(56)).astype(np.uint8).tobytes()
+                    ends = np.minimum(place + GRAM + context, words.ends[doc]).tolist()
+                    columns.append(pa.array([line[x + GRAM : y] for x, y in zip(place.tolist(), ends)], pa.binary()))
                     names.append("follows")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     known_ids = texts(docs, id_col, text_col).where("doc_id is not null")
-    return known_ids.mapInArrow(run, "h long, doc_id long, pos int" + (", follows binary" if context else ""))
+    return known_ids.mapInArrow(run, "h long, sd long, doc_id long, at long" + (", follows binary" if context else ""))
 
 
 def candidate_windows(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(d1, d2, doc_id, pos): digests of the windows whose anchor is one of the document's `places`
-    (doc_id, places array<struct<pos int, reach int>>); `reach` is the number of words after the anchor's gram
+    (doc_id, places array<struct<at long, reach int>>); `reach` is the number of words after the anchor's gram
     that any repeat can share, so windows that end beyond it are left out."""
 
     def run(batches):
         known = WordHashes()
-        for b in small_batches(batches, 512):
-            out = []
-            for doc, text, chosen in zip(*(c.to_pylist() for c in b.columns)):
-                if not chosen:
-                    continue
-                hashes = known.of(split(text))
-                if len(hashes) < size:
+        for b in small_batches(batches, 1024):
+            b = b.filter(pc.is_valid(b.column(2)))
+            for start, end in by_bytes(b, "text"):
+                part = b.slice(start, end - start)
+                words = Words(known, part.column(1).to_pylist())
+                chosen = part.column(2)
+                doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(chosen).to_numpy(zero_copy_only=False))
+                flat = chosen.flatten()
+                at, far = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                n, before, own = at & 255, at >> 8 & 255, at >> 16
+                fits = own + 1 <= words.counts[doc]
+                n, before, own, doc, far = n[fits], before[fits], own[fits], doc[fits], far[fits]
+                first = own - before
+                which = np.repeat(np.arange(len(n)), n)
+                starts = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (starts + size <= own[which] + GRAM + far[which]) & (starts + size <= words.counts[doc[which]]) & (starts >= 0)
+                starts, which = starts[keep], which[keep]
+                if not len(starts):
                     continue
-                _, at = minimisers(hashes, size)
-                reach = np.full(len(hashes), -1, dtype=np.int64)
-                pos = np.array([c["pos"] for c in chosen])
-                pos, far = pos[pos < len(hashes)], np.array([c["reach"] for c in chosen])[pos < len(hashes)]
-                reach[pos] = far
-                starts = np.arange(len(at))
-                starts = starts[(reach[at] >= 0) & (starts + size <= at + GRAM + reach[at])]
-                if len(starts):
-                    one, two = window_hashes(hashes, size, 11)[starts], window_hashes(hashes, size, 13)[starts]
-                    out.append((one, two, np.full(len(starts), doc, dtype=np.int64), starts.astype(np.int32)))
-            if out:
-                one, two, ids, starts = (np.concatenate(x) for x in zip(*out))
+                absolute, ids = starts + words.starts[doc[which]], part.column(0).to_numpy(zero_copy_only=False)[doc[which]]
+                one, two = (window_hashes(words.hashes, size, seed)[absolute].view(np.int64) for seed in (11, 13))
                 for k in range(0, len(ids), 50_000):
                     s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), pa.array(ids[s]), pa.array(starts[s])], names=["d1", "d2", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(ids[s]), pa.array(starts[s].astype(np.int32))], names=["d1", "d2", "doc_id", "pos"])
 
     joined = docs.join(places.hint("merge"), "doc_id", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(run, "d1 long, d2 long, doc_id long, pos int")
 
 
-def repeated_starts(windows: DataFrame) -> DataFrame:
-    """(doc_id, starts array<int>): starts of windows whose digest also starts earlier.
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """(doc_id, start int, n int): windows whose digest also starts earlier.
 
     First occurrences come from a combined aggregate, so a window that a third of the documents share is a
     few rows a task; the join back can be split wherever a key is crowded.
     """
     firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(firsts.select("d1", "d2", "first").hint("merge"), ["d1", "d2"]).where(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    return later.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+
+
+def repeated_starts(docs: DataFrame, found: DataFrame, size: int, reach=None) -> DataFrame:
+    """(doc_id, starts array<struct<start int, n int>>): runs of windows of docs (doc_id, text) that also start earlier.
+
+    found: segments with a repeated anchor. Segments equal in (h, sd) are a class; in all but its first, every
+    window also starts earlier. Only where an anchor has more than one class are windows themselves compared, and
+    only those of each class's first segment: it starts no later than any other of its class. `reach`, given such
+    segments, returns them with the column reach; else windows are taken to their ends.
+    """
+    classes = found.groupBy("h", "sd").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+    classes = written(classes, "classes")
+    copies = found.join(classes.where("n > 1").select("h", "sd", "first").hint("merge"), ["h", "sd"])
+    copies = copies.where(F.struct("doc_id", "at") > F.col("first"))
+    whole = copies.select(
+        "doc_id", (F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("n")
+    )
+    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    heads = classes.join(several.hint("merge"), "h", "left_semi").select("h", "sd", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
+    heads = heads.withColumn("reach", F.lit(2 * size)) if reach is None else reach(heads)
+    places = written(heads.groupBy("doc_id").agg(F.collect_list(F.struct("at", "reach")).alias("places")), "places")
+    runs = whole.unionByName(repeated_windows(candidate_windows(docs, places, size)))
+    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 
 
 def removal(docs: DataFrame, starts: DataFrame, size: int) -> DataFrame:
@@ -121,10 +175,10 @@ def removal(docs: DataFrame, starts: DataFrame, size: int) -> DataFrame:
             for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = split(text)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.unique(np.array(starts or [], dtype=np.int64))
-                at = at[at + size <= len(words)]
-                edge[at] += 1
-                edge[at + size] -= 1
+                at = np.array([(r["start"], r["start"] + r["n"] - 1 + size) for r in starts or []], dtype=np.int64).reshape(-1, 2)
+                at = at[at[:, 1] <= len(words)]
+                np.add.at(edge, at[:, 0], 1)
+                np.add.at(edge, at[:, 1], -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 keep = [w for w, g in zip(words, gone.tolist()) if not g] if len(at) else words
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
