@@ -6,6 +6,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Words that carry no voice. Fixed values.
 STOP_WORDS = (
@@ -67,13 +68,13 @@ def whole_word(text: Column, name: Column, ignore_case: bool = False) -> Column:
     return F.regexp_like(text, F.concat(F.lit("(?U)(?i)" if ignore_case else "(?U)"), F.lit(r"\b"), quoted(name), F.lit(r"\b")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of two texts; 0 if one is null."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def windowed_ratio_udf(quote: pd.Series, text: pd.Series) -> pd.Series:
     """Best similarity of a quote to windows of the text of about its own length, half a window apart."""
 

@@ -48,14 +48,15 @@ def line_alignment(old: DataFrame, new: DataFrame, keys: list[str], order: str,
     schema_of_keys = ", ".join(f"`{k}` {dict(old.dtypes)[k]}" for k in keys)
 
     def align(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = ([tuple(r) for r in d.sort_values(order)[[kind, text]].itertuples(index=False)] for d in (a, b))
+        left, right = ([tuple(r) for r in d.sort_values("o")[["k", "t"]].itertuples(index=False)] if len(d) else [] for d in (a, b))
         rows = []
         for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, left, right).get_opcodes():
             for k in range(max(i2 - i1, j2 - j1)):
                 rows.append((*key, len(rows), op, left[i1 + k][1] if i1 + k < i2 else None, right[j1 + k][1] if j1 + k < j2 else None))
         return pd.DataFrame(rows, columns=[*keys, "seq", "op", "old_text", "new_text"])
 
-    pick = lambda d: d.select(*keys, order, kind, text)
+    # explicit new columns: both sides may come from one frame
+    pick = lambda d: d.select(*keys, (F.col(order) + 0).alias("o"), F.concat(kind, F.lit("")).alias("k"), F.concat(text, F.lit("")).alias("t"))
     return pick(old).groupBy(*keys).cogroup(pick(new).groupBy(*keys)).applyInPandas(align, f"{schema_of_keys}, seq int, op string, old_text string, new_text string")
 
 
@@ -98,9 +99,11 @@ def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema) + ", edited boolean"
 
     def fold(key, lines: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        if not len(lines):
+            return pd.DataFrame(columns=[*columns, "edited"])
         lines = lines.sort_values("element_index").reset_index(drop=True)
         text, edited = lines["text"].tolist(), [False] * len(lines)
-        for change in (c for group in log.sort_values("edit_seq")["replacements"] for c in group):
+        for change in (c for group in (log.sort_values("edit_seq")["replacements"] if len(log) else []) for c in group):
             old, new = (change["old"] or "").strip(), change["new"] or ""
             if not old or "\n" in old:
                 continue

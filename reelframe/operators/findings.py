@@ -50,21 +50,29 @@ def scene_texts(elements: DataFrame) -> DataFrame:
     return rows.select("script_id", "scene_number", normalised(F.array_join(F.transform("e", lambda x: x["text"]), "\n")).alias("body"))
 
 
+def inner_key(text: Column) -> Column:
+    """The longest of a phrase's inner words: whoever contains the phrase has them as whole words. Null if it has none."""
+    w = F.split(F.trim(text), r"\s+")
+    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
+    return F.try_element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("w")))), F.lit(1))["w"]
+
+
 def contained(quotes: DataFrame, bodies: DataFrame, keys: list[str], quote: str, body: str, id_col: str, order: str) -> DataFrame:
-    """(quote's id, order's least value): the first body of the group that contains each quote.
+    """(keys, id, found_at): the first body of the group that contains each quote, by `order`.
 
-    Only quotes and bodies that share the quote's rarest-looking (longest) word meet, so no quote is tried against
-    every body of a large group. Both sides are in normalised form.
+    Quotes meet only bodies that have one of their words, so none is tried against every body of a large group;
+    bodies stay put where the quotes' words, checked by their size at run time, fit a broadcast. A quote of less
+    than three words has no word of its own and meets the bodies of its group.
     """
-    longest = F.element_at(F.array_sort(F.transform(F.split(quote, " "), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = quotes.select(*keys, id_col, F.col(quote).alias("q_"), longest.alias("word_")).where("q_ <> ''")
-    # a quote can begin or end inside a word, so only its inner words are sure to be whole words of the body
-    inner = F.slice(F.split("q_", " "), 2, F.greatest(F.size(F.split("q_", " ")) - 2, F.lit(0)))
-    key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = asked.withColumn("word_", F.when(F.size(inner) > 0, key))
-    said = bodies.select(*keys, order, F.col(body).alias("b_"), F.explode(F.array_distinct(F.split(body, " "))).alias("word_"))
-    long = asked.where("word_ is not null").join(said, [*keys, "word_"]).where(F.contains("b_", "q_"))
-    return long.groupBy(*keys, id_col).agg(F.min(order).alias("found_at"))
+    asked = quotes.select(*keys, id_col, F.col(quote).alias("q_"), inner_key(F.col(quote)).alias("word_")).where("q_ <> ''")
+    said = bodies.select(*keys, order, F.col(body).alias("b_"))
+    words = said.select(*keys, order, F.explode(F.array_distinct(F.split("b_", r"\s+"))).alias("word_"))
+    near = asked.where("word_ is not null").join(words, [*keys, "word_"]).select(*keys, id_col, "q_", order)
+    hits = near.join(said, [*keys, order]).where(F.contains("b_", "q_")).select(*keys, id_col, order)
+    if keys:
+        short = asked.where("word_ is null").join(said, keys).where(F.contains("b_", "q_")).select(*keys, id_col, order)
+        hits = hits.unionByName(short)
+    return hits.groupBy(*keys, id_col).agg(F.min(order).alias("found_at"))
 
 
 def verify(findings: DataFrame, elements: DataFrame) -> DataFrame:
@@ -116,15 +124,13 @@ def overlay(previous: DataFrame, fresh: DataFrame, key: str, rerun: DataFrame, k
     return kept.withColumn("is_fresh", F.lit(False)).unionByName(fresh.withColumn("is_fresh", F.lit(True)), allowMissingColumns=True)
 
 
-def not_yet_said(entries: DataFrame, existing: DataFrame, keys: list[str], text: str, head: int = 40) -> DataFrame:
-    """Entries whose first `head` characters, in lower case, occur in none of the group's existing texts.
-
-    existing: (keys, text), one row a text; they are joined per group, so a phrase may not span two of them.
-    """
-    rows = entries.withColumn("head_", F.substring(F.lower(text), 1, head))
-    whole = existing.groupBy(*keys).agg(F.array_join(F.collect_list(F.lower(text)), "\n").alias("said_"))
-    out = rows.join(whole, keys, "left")
-    return out.where(~F.coalesce(F.contains("said_", "head_"), F.lit(False))).drop("head_", "said_")
+def not_yet_said(entries: DataFrame, existing: DataFrame, keys: list[str], id_col: str, text: str, head: int = 40) -> DataFrame:
+    """Entries (keys, id, text) whose first `head` characters, in lower case, occur in none of the group's existing texts
+    (keys, seq, text)."""
+    rows = entries.select(*keys, id_col, F.substring(F.lower(text), 1, head).alias("head_"))
+    said = existing.select(*keys, "seq", F.lower(text).alias("body_"))
+    found = contained(rows, said, keys, "head_", "body_", id_col, "seq")
+    return entries.join(found, [*keys, id_col], "left_anti")
 
 
 def fix_queue(findings: DataFrame, acts: DataFrame | None = None, scenes: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:

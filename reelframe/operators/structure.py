@@ -53,7 +53,7 @@ def acts(pages: DataFrame, rounded=F.bround) -> DataFrame:
     low = F.when(F.col("act") == 1, F.least("low", F.lit(1.0))).otherwise(F.col("low"))
     return every.join(found, ["script_id", "act"], "left").select(
         "script_id", "act", F.coalesce("scene_numbers", F.array().cast("array<int>")).alias("scene_numbers"),
-        F.when(F.col("low").isNotNull(), rounded(low, 1)).alias("page_start"), rounded("high", 1).alias("page_end"), F.coalesce("scene_count", F.lit(0)).alias("scene_count"),
+        F.when(F.col("low").isNotNull(), rounded(low, 1)).alias("page_start"), rounded(F.col("high"), 1).alias("page_end"), F.coalesce("scene_count", F.lit(0)).alias("scene_count"),
     )
 
 

@@ -12,10 +12,11 @@ BLOCK = ["character", "parenthetical", "dialogue"]
 def text_of(elements: DataFrame, scripts: DataFrame, marked: bool) -> DataFrame:
     """(script_id, text): one document a script. marked: transitions get Fountain's > mark.
 
-    A blank line follows every element but those whose block goes on.
+    A blank line follows every element but those whose block goes on; a cue begins a block of its own, so that
+    reading the text again gives the same elements.
     """
     by = Window.partitionBy("script_id", "scene_number").orderBy("element_index")
-    goes_on = F.col("type").isin(*BLOCK) & F.coalesce(F.lead("type").over(by).isin(*BLOCK), F.lit(False))
+    goes_on = F.col("type").isin(*BLOCK) & F.coalesce(F.lead("type").over(by).isin(*BLOCK[1:]), F.lit(False))
     shown = F.when((F.col("type") == "parenthetical") & ~F.col("text").startswith("("), F.concat(F.lit("("), F.col("text"), F.lit(")")))
     shown = shown.when((F.col("type") == "transition") & F.lit(marked), F.concat(F.lit("> "), F.col("text"))).otherwise(F.col("text"))
     lines = elements.where("text <> ''").withColumn("line", F.concat(shown, F.when(goes_on, "").otherwise("\n")))

@@ -74,8 +74,10 @@ def classify(lines: DataFrame) -> DataFrame:
     page = F.col("page") if "page" in lines.columns else F.lit(None).cast("int")
     rows = lines.select("script_id", "source_format", "line_no", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "").alias("s"), page.alias("page"))
     by = Window.partitionBy("script_id").orderBy("line_no")
-    full = rows.where("s <> ''").select("script_id", "line_no", F.lead("s", 1).over(by).alias("n1"), F.lead("s", 2).over(by).alias("n2"))
-    rows = rows.join(full, ["script_id", "line_no"], "left")
+    # the next two lines with text: running windows over the lines in reverse
+    after = Window.partitionBy("script_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n1", F.last(F.when(F.col("s") != "", F.col("s")), True).over(after))
+    rows = rows.withColumn("n2", F.last(F.when(F.col("s") != "", F.struct("n1")), True).over(after)["n1"])
     s, marked = F.col("s"), F.col("source_format").isin("fountain", "md")
     kind = (
         F.when(s == "", "blank")

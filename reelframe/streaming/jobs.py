@@ -44,7 +44,7 @@ def stalls_of_stream(events: DataFrame, gap: str = "30 minutes", late: str = "10
 def sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = STALL_SECONDS) -> DataFrame:
     """(keys, session_no, started, ended, n): the batch twin; a gap of gap_seconds or more starts a session."""
     by = Window.partitionBy(*keys).orderBy(ts)
-    fresh = F.coalesce((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(by))) >= gap_seconds * 1_000_000, F.lit(True))
+    fresh = F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(by))) >= gap_seconds * 1_000_000, F.lit(True))
     rows = events.withColumn("fresh", fresh.cast("int")).withColumn("session_no", F.sum("fresh").over(by))
     return rows.groupBy(*keys, "session_no").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
