@@ -76,7 +76,7 @@ def small_batches(batches, rows: int = 256):
 
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Row ranges of a batch whose text takes about `limit` bytes; a longer text is a range of its own."""
-    lengths = pc.binary_length(batch.column(column)).to_pylist()
+    lengths = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:
