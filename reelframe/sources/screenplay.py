@@ -227,10 +227,11 @@ def laid_out(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("start", right & ~F.coalesce(F.lag(right).over(by), F.lit(False))).withColumn("right", right)
     rows = rows.withColumn("run", F.count(F.when(F.col("start") | ~F.col("right"), 1)).over(by))
     rows = rows.groupBy("script_id", "source_format", "run").agg(
-        F.min("line_no").alias("line_no"), F.min("page").alias("page"), F.first("layout").alias("layout"), F.max("right").alias("right"),
+        F.min("line_no").alias("line_no"), F.min("page").alias("page"), F.first("layout").alias("layout"), F.bool_or("right").alias("right"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), " ").alias("raw"),
     )
-    outside = F.col("layout").isin("left", "center") & ~F.col("raw").rlike(r"^\s*\(") & ~F.coalesce(F.lag("raw").over(by).rlike(r"^\s*\([^)]*$"), F.lit(False))
+    rows = rows.withColumn("inside", F.coalesce(F.lag("raw").over(by).rlike(r"^\s*\([^)]*$"), F.lit(False)))
+    outside = F.col("layout").isin("left", "center") & ~F.col("raw").rlike(r"^\s*\(") & ~F.col("inside")
     parts = F.when(F.coalesce(outside, F.lit(False)), F.array(F.lit(""), F.col("raw"))).when(F.col("right") & ~L.is_transition(F.trim("raw")), F.array(F.concat(F.lit("> "), F.col("raw")))).otherwise(F.array("raw"))
     rows = rows.select("script_id", F.when(F.col("right"), "fountain").otherwise("txt").alias("source_format"), "line_no", "page", F.posexplode(parts).alias("k", "raw"))
     at = Window.partitionBy("script_id").orderBy("line_no", "k")
