@@ -146,7 +146,8 @@ class Model:
         for k in range(self.order, 0, -1):
             own = keys[going] & U64((1 << 8 * k) - 1)
             row = self.tables[k].find(own)
-            hit = (row >= 0) & ~np.isnan(self.tables[k].values[0][row])
+            hit = row >= 0
+            hit[hit] = ~np.isnan(self.tables[k].values[0][row[hit]])
             out[going[hit]] = self.tables[k].values[0][row[hit]] + weight[going[hit]]
             going, own = going[~hit], own[~hit]
             if not len(going):
