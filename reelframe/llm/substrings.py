@@ -82,6 +82,7 @@ def deduplicate(docs: DataFrame, size: int = 20, batches: int = BATCHES, id_col:
         more = index.add(every.where(F.col("batch") == k).select("h"))
         again = more if again is None else again.unionByName(more)
     index.drop()
-    found = written(every.drop("batch").join(again.distinct().hint("merge"), "h"), "repeated")
+    again = written(again.distinct(), "again")  # a join right above an aggregate could not be split where a hash is crowded
+    found = written(every.drop("batch").join(again.hint("merge"), "h"), "repeated")
     remove(every)
     return removal(plain, repeated_starts(plain, found, size), size)

@@ -63,7 +63,7 @@ def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_co
     """
     plain, context = texts(docs, id_col, text_col), size - GRAM
     every = written(segments(docs, size, context, id_col, text_col), "suffixes")
-    again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     found = written(every.join(again.hint("merge"), "h", "left_semi"), "repeated")
     remove(every)
 

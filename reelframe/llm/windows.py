@@ -157,7 +157,7 @@ def repeated_starts(docs: DataFrame, found: DataFrame, size: int, reach=None) ->
     whole = copies.select(
         "doc_id", (F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("n")
     )
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    several = written(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
     heads = classes.join(several.hint("merge"), "h", "left_semi").select("h", "sd", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
     heads = heads.withColumn("reach", F.lit(2 * size)) if reach is None else reach(heads)
     places = written(heads.groupBy("doc_id").agg(F.collect_list(F.struct("at", "reach")).alias("places")), "places")
