@@ -232,7 +232,8 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     if training.isEmpty() or judges.isEmpty():
         training = judges = ids
     plain = columns(docs, id_col, text_col, lang_col)
-    model = train(count(plain.join(training, "doc_id", "left_semi"), order), order)
+    # the same plan at every size: what is trusted grows with the corpus, so it is never broadcast
+    model = train(count(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order)
     scores = written(score(docs, model, order, id_col, text_col, lang_col), "scores")
     good = scores.join(judges, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
