@@ -12,9 +12,9 @@ HISTORY, CHUNK_BUDGET, CHUNK_SCENES, CHARS_PER_TOKEN = 16, 1400, 6, 4
 SIGNATURE, LEAST_SIGNATURE, SAME_PREFIX, LEAST_PARAGRAPH = 120, 16, 36, 20
 BULLET = r"^\s*(•|-|\d+[.)])\s+"
 # How turns begin, and phrases that mark a stuck reply.
-QUESTION_START = r"(?i)^(who|what|when|where|why|how|does|do|did|is|are|was|were|can|could|should|would|will|which)\b"
-DIRECTIVE_START = r"(?i)^(rewrite|fix|try|make|change|cut|add|remove|give|write|show|tell|suggest|list|draft|trim|tighten|punch)\b"
-REASONING = r"(?i)\b(because|since|the reason|my instinct|i feel|i think|so that|the point is)\b"
+QUESTION_START = r"(?i)^(who|what|why|how|does|can|should|is|are|would|could|do|did)\b"
+DIRECTIVE_START = r"(?i)^(rewrite|fix|change|try|add|cut|move|remove|make|let'?s|write|imagine|explain)\b"
+REASONING = r"(?i)\b(because|since|so that|the reason|my instinct|i feel like|the thing is)\b"
 STUCK = [
     "what catches", "feels thin", "coffee cools", "coffee cooling", "end credits roll", "theater walls", "projection booth", "balcony seats", "ceiling rafters",
     "window seat", "alive and breathing", "beginning moment zero", "between your hands", "five pitches", "half-formed", "wasting another week",
@@ -22,7 +22,7 @@ STUCK = [
     "credits stop rolling", "first thing morning", "having feelings on screen", "pick one", "atmosphere and mood", "tomorrow afternoon",
 ]
 VERDICTS = ["verdict", "my honest take", "my read", "my take", "recommend", "the one thing", "next step", "commit", "buy", "sold"]
-SENTENCE_END = r"(?<=[.!?])\s+"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z\"'(“«])"
 
 
 def presence_from_cues(elements: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def presence_from_cues(elements: DataFrame) -> DataFrame:
 
 def scene_refs(text: Column, limit: int | None = MAX_SCENES) -> Column:
     """Scene numbers that a text names, in ascending order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bscenes?\s+#?(\d{1,4})\b"), F.lit(1)), lambda x: x.cast("int"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[Ss]cene\s+(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
     found = F.array_sort(F.array_distinct(found))
     return F.slice(found, 1, limit) if limit else found
 

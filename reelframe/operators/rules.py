@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 #: Rule levels that speak to each finding category. Fixed values; plot_thread is mapped to its own level.
 CATEGORY_LEVELS = {
-    "dialogue": ["dialogue"], "theme": ["story_macro"], "character": ["character", "relationship"], "structure": ["structure_pacing", "story_macro"],
-    "scene_function": ["scene"], "principles": ["plot_thread", "continuity"], "plot_thread": ["plot_thread"],
+    "theme": ["story_macro"], "character": ["character", "relationship"], "structure": ["structure_pacing"], "scene_function": ["scene"], "dialogue": ["dialogue"],
+    "plot_thread": ["plot_thread"],
 }
 
 

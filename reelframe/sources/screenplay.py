@@ -215,8 +215,11 @@ def pdf_lines(boxes: DataFrame, gap: float = 1.35) -> DataFrame:
 
 def unreadable(lines: DataFrame) -> DataFrame:
     """Scripts of whose non-blank lines more than half are glyph garbage, and those without any."""
-    share = F.avg(F.when(F.trim("raw") != "", L.is_garbage(F.col("raw")).cast("int")))
-    return lines.groupBy("script_id").agg(share.alias("share")).where("share is null or share > 0.5").select("script_id")
+    full = F.trim("raw") != ""
+    numbers = F.avg(F.when(full, L.has_glyph_numbers(F.col("raw")).cast("int")))
+    names = F.avg(F.when(full, L.is_glyph_names(F.trim("raw")).cast("int")))
+    shares = lines.groupBy("script_id").agg(numbers.alias("numbers"), names.alias("names"))
+    return shares.where("numbers is null or numbers > 0.5 or names > 0.5").select("script_id")
 
 
 def laid_out(lines: DataFrame) -> DataFrame:

@@ -76,3 +76,9 @@ def test_pdf_boxes(spark):
     out = screenplay.parse_pdf(df)
     assert rows(out["elements"].orderBy("element_index"), "type", "text") == [
         ("scene_heading", "INT. HALL - DAY"), ("action", "A long hall."), ("action", "Dark."), ("character", "RAVI"), ("dialogue", "Hello there."), ("action", "He leaves.")]
+
+
+def test_unreadable(spark):
+    lines = [("a", "(cid:3)(cid:4)"), ("a", "/12 34"), ("a", "(cid:9)"), ("b", "words"), ("b", "(cid:1)"), ("c", " "), ("d", "/1 2"), ("d", "3 4")]
+    df = spark.createDataFrame(lines, "script_id string, raw string")
+    assert {r[0] for r in rows(screenplay.unreadable(df), "script_id")} == {"a", "c", "d"}
