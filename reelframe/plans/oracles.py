@@ -157,7 +157,7 @@ SELECT script_id, scene_number, CASE WHEN script_id % 2 = 0 OR c <= 2 THEN down
     "rolling_metrics": """SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER k AS BIGINT) AS rolling_cents, count(value) OVER k AS rolling_n FROM events WINDOW k AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)""",
     "stall_sessions": """WITH l AS (SELECT user_id, epoch_us(ts) AS u, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, u, CAST(sum(CASE WHEN before IS NULL OR u - before >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY u) AS BIGINT) AS session_no FROM l)
 SELECT user_id, session_no, min(u) AS started, max(u) AS ended, count(*) AS n FROM s GROUP BY ALL""",
-    "profile_signals": f"""WITH t AS (SELECT conv_id % 50 AS writer, turn % 4 AS k, {injected('keep it short', 'go deeper', 'okay then')} AS t FROM conversations),
+    "profile_signals": f"""WITH t AS (SELECT CAST(conv_id % 50 AS VARCHAR) AS writer, turn % 4 AS k, {injected('keep it short', 'go deeper', 'okay then')} AS t FROM conversations),
 s AS (SELECT writer, 'detail_level' AS dimension, CASE k WHEN 0 THEN 'short' WHEN 1 THEN 'deep' END AS pole FROM t UNION ALL SELECT writer, 'pushback_appetite', CASE WHEN regexp_matches(t, '(?i)\\b(i disagree\\b|no,|but |that won''?t work\\b|that doesn''?t work\\b|that loses\\b|keep it anyway\\b|actually no\\b)') THEN 'high' WHEN regexp_matches(t, '(?i)\\b(ok(?:ay)?|sure|fine|good point|makes sense|agree(?:d)?|sounds good|go with it)\\b') THEN 'low' END FROM t)
 SELECT writer, dimension, pole, count(*) AS n FROM s WHERE pole IS NOT NULL GROUP BY ALL""",
     "turn_kinds": f"""WITH t AS (SELECT conv_id, trim({injected('what if', 'rewrite it:', 'because')}, ' ') AS t FROM conversations),
