@@ -119,15 +119,14 @@ def search(rows: DataFrame, queries: DataFrame, n: int = 20, tables: int = TABLE
         is_query = group["is_query"].to_numpy(zero_copy_only=False)
         rep, v = group["rep"].to_numpy(), matrix(group["v"].combine_chunks())
         own, ask = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        own = own[np.argsort(rep[own], kind="stable")]
         out = []
-        for at in range(0, len(ask), 256):
+        for at in range(0, len(ask) if len(own) else 0, 256):
             q = ask[at : at + 256]
-            score = np.einsum("ik,jk->ij", v[q], v[own])
-            for i, line in zip(q, score):
-                top = np.argsort(-line, kind="stable")[: n + 1]
-                out.append((np.full(len(top), rep[i]), rep[own[top]], line[top]))
-        columns = [np.concatenate(x) for x in zip(*out)] if out and len(own) else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            near = v[q] @ v[own].T
+            worst = np.partition(near, -n - 1, axis=1)[:, -n - 1] if len(own) > n + 1 else np.full(len(q), -1e300)
+            i, j = np.nonzero(near >= worst[:, None] - 1e-9 * (1 + np.abs(worst[:, None])))  # what rounding may have put behind stays
+            out.append((rep[q[i]], rep[own[j]], np.einsum("ik,ik->i", v[q[i]], v[own[j]])))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "rep": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
 
     found = tiles.groupBy("key", "m", "q").applyInArrow(best, "query_id long, rep long, score double")
