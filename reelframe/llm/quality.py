@@ -1,13 +1,16 @@
 """Quality classification by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-Method: n-grams of UTF-8 bytes are counted over all trusted text. The top order keeps counts, lower orders
+Method: n-grams of words are counted over all trusted text. The top order keeps counts, lower orders
 continuation counts; each order has three discounts from its counts of counts, and probabilities are
-interpolated down to the uniform distribution over bytes. Counts, contexts and lower orders meet in sharded
-joins on the n-gram. A document's perplexity is compared with a quantile of the trusted documents of its
-language.
+interpolated down to the uniform distribution over the training words and one unknown word. Counts, contexts and
+lower orders meet in sharded joins on the n-gram. A document's perplexity is compared with a quantile of the trusted
+documents of its language.
 
-Scoring: if the model has at most MODEL_ROWS n-grams (checked), its table is broadcast; beyond that, documents'
-distinct n-grams are joined with the sharded tables (score_by_joins), with the same results.
+Scoring (score_words) has one plan at every size: (n-gram, row, count) rows, summed within each document, are joined
+with the sharded table of their order; what is unknown goes on with its suffix, summed again.
+
+The functions over bytes (count, score, score_by_joins) are the same model with bytes as its words; classify does not
+use them.
 
 Defined results: a null or empty text has no perplexity and is rejected; a language without trusted text is
 held against the quantile of all trusted text; without any trusted text every document with text is kept;
@@ -20,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_bytes, mix, small_batches, written
+from .common import U64, WordHashes, by_bytes, mix, remove, small_batches, window_hashes, written
 
 ORDER, QUANTILE, SLACK, MODEL_ROWS, SYMBOLS = 5, 0.99, 1.1, 6_000_000, 256
 HELD_OUT = 5
 
 
+#: Suffix (without the first) and context (without the last) of an n-gram of order k: of packed bytes, and of words of 8 bytes each.
+BYTES = (lambda g, k: F.col(g).bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)), lambda g, k: F.shiftrightunsigned(g, 8) if k > 1 else F.lit(0).cast("long"))
+WORDS = (lambda g, k: F.substr(g, F.lit(9)), lambda g, k: F.substr(g, F.lit(1), F.lit(8 * (k - 1))))
+
+
 def grams(text: bytes, order: int) -> np.ndarray:
     """Each byte with the order - 1 before it, packed into an integer; line ends stand before the text."""
     raw = np.frombuffer(b"\n" * (order - 1) + text, dtype=np.uint8).astype(np.uint64)
@@ -63,26 +71,26 @@ def discounts(adjusted: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols: int | None = SYMBOLS) -> DataFrame:
     """(k int, g long, p double, back double): for each order k and n-gram g its probability, and the weight that
-    g, as a context, gives to the order below k + 1 (null if g is no context)."""
+    g, as a context, gives to the order below k + 1 (null if g is no context). symbols: None counts the known and one more."""
+    drop_first, drop_last = parts
     adjusted = {order: written(counts, "counts")}
     for k in range(order - 1, 0, -1):
-        suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        adjusted[k] = written(adjusted[k + 1].groupBy(suffix.alias("g")).agg(F.count("*").alias("n")), "counts")
+        adjusted[k] = written(adjusted[k + 1].groupBy(drop_first("g", k + 1).alias("g")).agg(F.count("*").alias("n")), "counts")
+    symbols = symbols or adjusted[1].count() + 1
     lower, tables = None, []
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(adjusted[k])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        ctx = F.shiftrightunsigned("g", 8) if k > 1 else F.lit(0).cast("long")
-        rows = adjusted[k].select("g", "n", ctx.alias("c"))
+        rows = adjusted[k].select("g", "n", drop_last("g", k).alias("c"))
         contexts = rows.groupBy("c").agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).withColumn("back", F.col("cut") / F.col("total"))
         rows = rows.join(contexts, "c")
         if k == 1:
-            rows = rows.withColumn("low", F.lit(1.0 / SYMBOLS))
+            rows = rows.withColumn("low", F.lit(1.0 / symbols))
         else:
             below = lower.select(F.col("g").alias("s"), F.col("p").alias("low"))
-            rows = rows.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "s")
+            rows = rows.withColumn("s", drop_first("g", k)).join(below, "s")
         p = (F.col("n") - cut) / F.col("total") + F.col("back") * F.col("low")
         lower = written(rows.select("g", p.alias("p")), "order")
         # `contexts` of order k + 1 are n-grams of order k
@@ -90,7 +98,7 @@ def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
             back = contexts.select(F.col("c").alias("g"), "back")
             tables[-1] = tables[-1].join(back, "g", "full")  # what only begins texts is a context, but ends no longer n-gram
         else:
-            root = contexts.select(F.lit(0).alias("k"), F.col("c").alias("g"), F.lit(1.0 / SYMBOLS).alias("p"), "back")
+            root = contexts.select(F.lit(0).alias("k"), F.col("c").alias("g"), F.lit(1.0 / symbols).alias("p"), "back")
         tables.append(lower)
     tables[-1] = tables[-1].withColumn("back", F.lit(None).cast("double"))
     out = root
@@ -219,6 +227,83 @@ def score_by_joins(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col
     return total.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log") / F.col("n"))).alias("perplexity"))
 
 
+def word_grams(texts: list[str], order: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram as a row of word hashes, count): the distinct n-grams of each text; zeros stand before its words."""
+    found, at = [np.zeros((0, order), dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    counts = [np.zeros(0, dtype=np.int64)]
+    for i, text in enumerate(texts):
+        words = np.concatenate([np.zeros(order - 1, dtype=np.uint64), hashes.of(squeezed(text).split())])
+        if len(words) >= order:
+            _, first, n = np.unique(window_hashes(words, order, 7), return_index=True, return_counts=True)
+            found.append(np.lib.stride_tricks.sliding_window_view(words, order)[first])
+            at.append(np.full(len(first), i))
+            counts.append(n)
+    return np.concatenate(at), np.concatenate(found), np.concatenate(counts)
+
+
+def packed(found: np.ndarray) -> pa.Array:
+    """Rows of word hashes as binary values."""
+    n, order = found.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 8 * order), pa.py_buffer(np.ascontiguousarray(found))])
+
+
+def count_words(docs: DataFrame, order: int, text_col: str = "text") -> DataFrame:
+    """(g binary, n long): top-order n-gram counts of words."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in small_batches(batches, 1024):
+            for start, end in by_bytes(b, "text"):
+                _, found, n = word_grams(b.slice(start, end - start).column(0).to_pylist(), order, hashes)
+                yield pa.RecordBatch.from_arrays([packed(found), pa.array(n)], names=["g", "n"])
+
+    rows = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
+    return rows.mapInArrow(run, "g binary, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def score_words(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, perplexity double), a row for each row of docs. The perplexity of the words is given per byte of
+    their text, the unit that SLACK is meant for."""
+    drop_first, drop_last = WORDS
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in small_batches(batches, 256):
+            for start, end in by_bytes(b, "text"):
+                part = b.slice(start, end - start)
+                at, found, n = word_grams(part.column(1).to_pylist(), order, hashes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), packed(found), pa.array(n)], names=["row", "g", "n"])
+
+    keyed = columns(docs, id_col, text_col, lang_col).withColumn("row", F.xxhash64("doc_id", "lang", F.col("text").isNull(), "text"))
+    size = F.octet_length(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")))
+    root = model.where("k = 0").select(F.log("p").alias("p"), F.log("back").alias("back")).first() or {"p": 0.0, "back": 0.0}
+    rows = keyed.where("text is not null").select("row", "text").mapInArrow(run, "row long, g binary, n long")
+    sums = lambda d, n, log: written(d.groupBy("row").agg(F.sum(n).alias("n"), F.sum(F.col("n") * log).alias("log")), "sums")
+    parts = []
+    for k in range(order, 0, -1):
+        here = model.where((F.col("k") == k) & F.col("p").isNotNull()).select("g", F.log("p").alias("found"))
+        met = written(rows.join(here.hint("merge"), "g", "left"), "met")
+        parts.append(sums(met.where("found is not null"), F.col("n"), F.col("found")))
+        missed = met.where("found is null").select("row", "g", "n")
+        if k > 1:
+            up = model.where((F.col("k") == k - 1) & F.col("back").isNotNull()).select(F.col("g").alias("c"), F.log("back").alias("lost"))
+            missed = missed.withColumn("c", drop_last("g", k)).join(up.hint("merge"), "c", "left")
+        else:
+            missed = missed.withColumn("lost", F.lit(root["back"]).cast("double"))
+        missed = written(missed.select("row", drop_first("g", k).alias("g"), "n", F.coalesce("lost", F.lit(0.0)).alias("lost")), "missed")
+        remove(met)
+        parts.append(sums(missed, F.lit(0), F.col("lost")))
+        rows = missed.groupBy("row", "g").agg(F.sum("n").alias("n"))
+    total = sums(rows, F.col("n"), F.lit(root["p"]).cast("double"))
+    for part in parts:
+        total = total.unionByName(part)
+    total = total.groupBy("row").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
+    # equal rows share a key, and their logs are summed
+    alike = keyed.where("text is not null").groupBy("row").agg(F.count("*").alias("alike"))
+    out = keyed.select("doc_id", "lang", "row", size.alias("bytes")).join(total.join(alike, "row").hint("merge"), "row", "left")
+    return out.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log") / F.col("alike") / F.col("bytes"))).alias("perplexity"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for every document; `trusted` has ids in its first column.
 
@@ -233,8 +318,8 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
         training = judges = ids
     plain = columns(docs, id_col, text_col, lang_col)
     # the same plan at every size: what is trusted grows with the corpus, so it is never broadcast
-    model = train(count(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order)
-    scores = written(score(docs, model, order, id_col, text_col, lang_col), "scores")
+    model = train(count_words(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order, WORDS, None)
+    scores = written(score_words(docs, model, order, id_col, text_col, lang_col), "scores")
     good = scores.join(judges, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
     limits = good.groupBy("lang").agg(at.alias("own"))

@@ -351,3 +351,55 @@ def test_quality(spark):
     got = collected(quality.classify(df, trusted))
     assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(5)) and not got[200]["kept"] and got[201]["kept"]
     assert quality.classify(df.limit(0), trusted).count() == 0 and quality.classify(df, trusted.limit(0)).where("kept").count() == 66
+
+
+def word_kneser_ney(texts, order):
+    """Probability of a word after its context, by the definition, over plain tuples."""
+    from collections import Counter, defaultdict
+
+    tops = Counter(g for t in texts for g in word_tuples(t, order))
+    counts = {order: tops}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    symbols, cuts, contexts = len(counts[1]) + 1, {}, {}
+    for k, c in counts.items():
+        t1, t2, t3, t4 = (sum(1 for n in c.values() if n == i) for i in (1, 2, 3, 4))
+        y = t1 / (t1 + 2 * t2) if t1 + 2 * t2 else 0.0
+        raw = [1 - 2 * y * t2 / t1 if t1 else 0.5, 2 - 3 * y * t3 / t2 if t2 else 1.0, 3 - 4 * y * t4 / t3 if t3 else 1.5]
+        cuts[k] = [min(max(d, 0.05), i - 0.05) for d, i in zip(raw, (1, 2, 3))]
+        contexts[k] = defaultdict(lambda: [0, 0.0])
+        for g, n in c.items():
+            contexts[k][g[:-1]][0] += n
+            contexts[k][g[:-1]][1] += cuts[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        k = len(g)
+        if g[:-1] not in contexts[k]:
+            return p(g[1:])
+        total, cut = contexts[k][g[:-1]]
+        n = counts[k][g]
+        return (n - (cuts[k][min(n, 3) - 1] if n else 0)) / total + cut / total * p(g[1:])
+
+    return p
+
+
+def word_tuples(text, order):
+    words = ["^"] * (order - 1) + text.split()
+    return [tuple(words[i : i + order]) for i in range(len(words) - order + 1)]
+
+
+def test_classify_scores_words(spark):
+    corpus = [spoken("aa", 30, i) for i in range(14)]
+    rows = [(i, t, "aa") for i, t in enumerate(corpus)] + [(20, "never seen here", "bb"), (21, None, None), (22, " ", "aa"), (23, corpus[0] + " zzz " + corpus[1], "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    held = {r[0] for r in trusted.where("crc32(cast(doc_id as string)) % 5 = 0").collect()}
+    assert 0 < len(held) < 10
+    p = word_kneser_ney([t for i, t in enumerate(corpus) if i < 10 and i not in held], quality.ORDER)
+    got = collected(quality.classify(df, trusted))
+    for i, t, _ in rows:
+        grams = word_tuples(t or "", quality.ORDER)
+        want = float(np.exp(-sum(np.log(p(g)) for g in grams) / len(" ".join(t.split()).encode()))) if grams else None
+        assert got[i]["perplexity"] == (want if want is None else pytest.approx(want, rel=1e-6))
