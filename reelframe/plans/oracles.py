@@ -151,6 +151,8 @@ SELECT *, CASE WHEN scenes::DOUBLE / total >= 0.25::DOUBLE OR lines::DOUBLE / al
     "rule_stats": """SELECT 'total' AS dimension, 'all' AS value, count(*) AS rules FROM part UNION ALL SELECT 'tier', p_brand, count(*) FROM part GROUP BY p_brand UNION ALL SELECT 'level', p_type, count(*) FROM part GROUP BY p_type""",
     "rule_lookup": """WITH m(category, level) AS (VALUES ('building', 'ECONOMY'), ('machinery', 'SMALL'), ('furniture', 'LARGE'), ('furniture', 'PROMO')), r AS (SELECT category, CAST(p_partkey AS VARCHAR) AS applicable_rule FROM m JOIN part ON p_type = level WHERE p_size = 1)
 SELECT c_custkey, lower(c_mktsegment) AS category, applicable_rule FROM customer LEFT JOIN r ON r.category = lower(c_mktsegment) WHERE c_custkey % 50 = 0""",
+    "rule_lookup_whole": """WITH m(category, level) AS (VALUES ('building', 'ECONOMY'), ('machinery', 'SMALL'), ('furniture', 'LARGE'), ('furniture', 'PROMO')), r AS (SELECT category, p_partkey FROM m JOIN part ON p_type = level)
+SELECT c_custkey, lower(c_mktsegment) AS category, count(p_partkey) AS rules, CAST(min(p_partkey) AS BIGINT) AS first_rule, CAST(max(p_partkey) AS BIGINT) AS last_rule FROM customer LEFT JOIN r ON r.category = lower(c_mktsegment) GROUP BY ALL""",
     "beat_board": f"""WITH {E}, s AS (SELECT script_id, scene_number, CAST(sum(n) AS BIGINT) AS words, count(*) FILTER (type = 'action') AS note_count FROM w GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY scene_number) AS up, row_number() OVER (PARTITION BY script_id ORDER BY scene_number DESC) AS down, count(*) OVER (PARTITION BY script_id) AS c FROM s)
 SELECT script_id, scene_number, CASE WHEN script_id % 2 = 0 OR c <= 2 THEN down ELSE up END - 1 AS position, 'SCENE ' || scene_number AS heading_raw, words, greatest(words::DOUBLE / 160::DOUBLE, 0.1::DOUBLE) AS minutes, note_count FROM p""",

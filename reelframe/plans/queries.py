@@ -333,6 +333,16 @@ def rule_lookup(spark, d):
     return out.select("c_custkey", "category", "applicable_rule")
 
 
+@query
+def rule_lookup_whole(spark, d):
+    """Rules of every customer, from every part; counted after the join."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("taxonomy_level"), F.col("p_brand").alias("category"))
+    asked = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("category"))
+    levels = {"building": ["ECONOMY"], "machinery": ["SMALL"], "furniture": ["LARGE", "PROMO"]}
+    out = rules.for_findings(asked, parts, levels)
+    return out.groupBy("c_custkey", "category").agg(F.count("applicable_rule").alias("rules"), F.min("applicable_rule").cast("long").alias("first_rule"), F.max("applicable_rule").cast("long").alias("last_rule"))
+
+
 @query
 def beat_board(spark, d):
     s = scenes(spark, d)

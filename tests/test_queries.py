@@ -34,3 +34,10 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(oracle_free() - {"quote_verify_fuzzy"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_rule_lookup_whole_leaves_no_row_out(spark, duck):
+    rows = QUERIES["rule_lookup_whole"](spark, SF).collect()
+    assert len(rows) == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    of = {c: duck.sql(f"SELECT count(*) FROM part WHERE p_type IN ({x})").fetchall()[0][0] for c, x in (("building", "'ECONOMY'"), ("machinery", "'SMALL'"), ("furniture", "'LARGE', 'PROMO'"))}
+    assert any(of.values()) and all(r["rules"] == of.get(r["category"], 0) for r in rows)
