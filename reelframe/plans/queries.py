@@ -238,9 +238,9 @@ def quote_verify_exact(spark, d):
 
 @query
 def quote_verify_fuzzy(spark, d):
-    """Each turn's opening words, one changed, against its own scene's other turns."""
+    """Each turn's words after one that is made up, against its own scene's turns."""
     e = elements(spark, d)
-    quotes = e.where("character is not null").select("script_id", "element_index", "scene_number", F.concat(F.lit("changed "), F.substring_index(normalised(F.col("text")), " ", 8)).alias("q"))
+    quotes = e.where("character is not null").select("script_id", "element_index", "scene_number", F.concat(F.lit("changed "), normalised(F.col("text"))).alias("q"))
     return quotes.join(findings.scene_texts(e), ["script_id", "scene_number"]).select("script_id", "scene_number", "element_index", (windowed_ratio_udf("q", "body") >= findings.FUZZY).alias("verified"))
 
 
@@ -289,8 +289,8 @@ def line_alignment(spark, d):
 
 @query
 def carried_findings(spark, d):
-    rows = table(spark, d, "conversations").withColumn("head", F.substring("text", 1, 80))
-    return drafts.carried(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), ["conv_id"], "turn", "head", 0.5).select("conv_id", "turn", "carried")
+    rows = table(spark, d, "conversations")
+    return drafts.carried(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), ["conv_id"], "turn", "text", 0.5).select("conv_id", "turn", "carried")
 
 
 @query
@@ -434,7 +434,7 @@ def scene_references(spark, d):
 def character_references(spark, d):
     names = presence(spark, d).groupBy("script_id", F.col("character").alias("name")).agg(F.array_sort(F.collect_set("scene_number")).alias("scenes"))
     said = injected(["the user says", "assistants again", "the userr"])
-    texts = table(spark, d, "conversations").select(F.floor(F.col("conv_id") / 10).cast("long").alias("script_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), F.substring(said, 1, 18).alias("text"))
+    texts = table(spark, d, "conversations").select(F.floor(F.col("conv_id") / 10).cast("long").alias("script_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), said.alias("text"))
     return context.character_refs(texts, names)
 
 
