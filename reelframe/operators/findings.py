@@ -62,16 +62,23 @@ def contained(quotes: DataFrame, bodies: DataFrame, keys: list[str], quote: str,
 
     Quotes meet only bodies that have one of their words, so none is tried against every body of a large group;
     bodies stay put where the quotes' words, checked by their size at run time, fit a broadcast. A quote of less
-    than three words has no word of its own and meets the bodies of its group.
+    than three words has no word of its own: it meets the bodies of its group, or without keys those that have its
+    first characters.
     """
     asked = quotes.select(*keys, id_col, F.col(quote).alias("q_"), inner_key(F.col(quote)).alias("word_")).where("q_ <> ''")
     said = bodies.select(*keys, order, F.col(body).alias("b_"))
     words = said.select(*keys, order, F.explode(F.array_distinct(F.split("b_", r"\s+"))).alias("word_"))
     near = asked.where("word_ is not null").join(words, [*keys, "word_"]).select(*keys, id_col, "q_", order)
     hits = near.join(said, [*keys, order]).where(F.contains("b_", "q_")).select(*keys, id_col, order)
+    short = asked.where("word_ is null")
     if keys:
-        short = asked.where("word_ is null").join(said, keys).where(F.contains("b_", "q_")).select(*keys, id_col, order)
+        short = short.join(said, keys).where(F.contains("b_", "q_")).select(*keys, id_col, order)
         hits = hits.unionByName(short)
+    elif not short.isEmpty():
+        grams = [F.regexp_extract_all("b_", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
+        heads = said.select(order, F.explode(F.array_distinct(F.concat(*grams))).alias("gram_"))
+        close = short.withColumn("gram_", F.substring("q_", 1, 3)).join(heads, "gram_").select(id_col, "q_", order)
+        hits = hits.unionByName(close.join(said, order).where(F.contains("b_", "q_")).select(id_col, order))
     return hits.groupBy(*keys, id_col).agg(F.min(order).alias("found_at"))
 
 

@@ -211,3 +211,11 @@ def test_json_sources(spark, tmp_path, parsed):
         (tmp_path / "r" / f"{n}.json").write_text(json.dumps([{"id": "same", "name": n}]))
     with pytest.raises(Exception, match="duplicate rule id"):
         json_files.read_rules(spark, str(tmp_path / "r")).collect()
+
+
+def test_short_entries_are_found_in_what_was_said(spark):
+    from reelframe.operators import findings
+
+    entries = spark.createDataFrame([(1, "Brief"), (2, "two words"), (3, "没有空格的文字"), (4, "absent"), (5, "ab"), (6, "three whole words"), (7, "q😀"), (8, "x" * 50)], "item_id long, text string")
+    existing = spark.createDataFrame([(1, "A brief\nnote of two words."), (2, "这里没有空格的文字。"), (3, "cab, q😀! " + "X" * 40), (4, "the three whole words here")], "seq long, text string")
+    assert [r["item_id"] for r in findings.not_yet_said(entries, existing, [], "item_id", "text").collect()] == [4]
