@@ -2,9 +2,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>): vectors that are not null, not zero and hold only finite components."""
@@ -14,13 +18,23 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.where(~bad & F.exists("v", lambda x: x != 0))
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, width: int | None = None) -> np.ndarray:
     """An Arrow list column as a matrix of doubles; vectors of other lengths than the longest are padded with 0."""
-    rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    if all(len(r) == width for r in rows):
-        return np.array(rows, dtype=np.float64).reshape(len(rows), width)
-    return np.array([r + [0.0] * (width - len(r)) for r in rows], dtype=np.float64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    width = width or int(lengths.max(initial=0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out, row = np.zeros((len(lengths), width)), np.repeat(np.arange(len(lengths)), lengths)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def widest(rows: DataFrame) -> int:
+    """The length of the longest vector v; 0 if there is none."""
+    return rows.agg(F.max(F.size("v"))).first()[0] or 0
 
 
 def tiled(members: DataFrame, queries: DataFrame, key: list[str], side: int) -> DataFrame:
@@ -28,13 +42,14 @@ def tiled(members: DataFrame, queries: DataFrame, key: list[str], side: int) ->
 
     members and queries carry the key columns; the result has the key, tile columns m and q, and the columns of
     both sides, one row a member (is_query false) or query (true). A bucket with n members gets ceil(n / side)
-    member blocks; its queries go to each, in blocks of their own, so no task holds a crowded bucket.
+    member blocks; its queries go to each, in blocks of their own, so no task holds a crowded bucket. The table of
+    bucket sizes is written first, so that Spark knows its size when it chooses between broadcast and shuffle.
     """
     salt = F.xxhash64(F.lit("tile"), "rep")
     m = members.groupBy(*key).agg(F.ceil(F.count("*") / side).alias("mb"))
     q = queries.groupBy(*key).agg(F.ceil(F.count("*") / side).alias("qb"))
-    sizes = m.join(q, key)
-    own = members.join(sizes.hint("merge"), key).withColumn("m", F.pmod(salt, "mb")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-    asked = queries.join(sizes.hint("merge"), key).withColumn("q", F.pmod(salt, "qb")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)))
+    sizes = written(m.join(q, key), "sizes")
+    own = members.join(sizes, key).withColumn("m", F.pmod(salt, "mb")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
+    asked = queries.join(sizes, key).withColumn("q", F.pmod(salt, "qb")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)))
     drop = ["mb", "qb"]
     return own.drop(*drop).withColumn("is_query", F.lit(False)).unionByName(asked.drop(*drop).withColumn("is_query", F.lit(True)), allowMissingColumns=True)
