@@ -78,6 +78,17 @@ def encode(unit: DataFrame, model, probes: int) -> DataFrame:
     return unit.mapInArrow(run, f"{schema}, list int, codes binary, probes array<int>")
 
 
+def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Links x and y in a forest of one level: every row's label is the least row of its group."""
+    while (label[x] != label[y]).any():
+        a, b = label[x], label[y]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def links(classes: DataFrame, threshold: float, probes: int, total: int) -> DataFrame:
     """(kind, a, b): kind 0: class a has b links to vectors of other classes, in one tile; kind 1: a and b are linked.
 
@@ -107,9 +118,7 @@ def links(classes: DataFrame, threshold: float, probes: int, total: int) -> Data
         decoded = np.concatenate([c[codes[:, j]] for j, c in enumerate(sub)], axis=1)
         slack = np.sqrt(((unit[own] - centre - decoded) ** 2).sum(axis=1)).max()  # how far a code is from its vector, at most
         reach = (np.sqrt(max(0.0, 2 - 2 * threshold)) + slack) ** 2 + 1e-9
-        count, forest = np.zeros(len(rep), dtype=np.int64), {}
-        find = lambda x: x if forest.setdefault(x, x) == x else find(forest[x])
-        edges = []
+        count, label = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
         for at in range(0, len(ask), 256):
             q = ask[at : at + 256]
             far = np.zeros((len(q), len(own)))
@@ -123,20 +132,11 @@ def links(classes: DataFrame, threshold: float, probes: int, total: int) -> Data
                 x, y = x[close], y[close]
                 np.add.at(count, x, copies[y])
                 np.add.at(count, y, copies[x])
-                for a, b in zip(rep[x].tolist(), rep[y].tolist()):
-                    while forest.setdefault(a, a) != a:
-                        forest[a] = forest[forest[a]]
-                        a = forest[a]
-                    while forest.setdefault(b, b) != b:
-                        forest[b] = forest[forest[b]]
-                        b = forest[b]
-                    if a != b:
-                        forest[max(a, b)] = min(a, b)
-                        edges.append((a, b))
+                unite(label, x, y)
         some = np.flatnonzero(count)
-        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(edges), np.int32)])
-        a = np.concatenate([rep[some], np.array([e[0] for e in edges], dtype=np.int64)])
-        b = np.concatenate([count[some], np.array([e[1] for e in edges], dtype=np.int64)])
+        joined = np.flatnonzero(label != np.arange(len(rep)))
+        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(joined), np.int32)])
+        a, b = np.concatenate([rep[some], rep[joined]]), np.concatenate([count[some], rep[label[joined]]])
         return pa.table({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b)})
 
     return tiles.groupBy("list", "m", "q").applyInArrow(compare, "kind int, a long, b long")
