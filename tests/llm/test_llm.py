@@ -89,20 +89,32 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_packing_plan_is_best_fit(seed):
-    r = random.Random(seed)
-    sizes = [r.choice([r.randint(1, 50), 20, 7, 50]) for _ in range(400)]
+def test_packed_pieces_are_the_library_s_ids(docs):
+    tk = Tokenizer.from_file(PATH)
+    for r in packing.pack_documents(docs, PATH, 64, 1).collect():
+        ids = tk.encode(texts()[r["doc_id"]] or "", add_special_tokens=False).ids + [1]
+        part = ids[64 * r["piece"] : 64 * r["piece"] + 64]
+        assert (r["start"], r["length"], r["ids_crc32"]) == (64 * r["piece"], len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()))
+
+
+@pytest.mark.parametrize("kind", ["mixed", "one length holds a third", "nothing fits together"])
+def test_packing_comes_near_best_fit_decreasing(spark, kind):
+    r = random.Random(7)
+    some = {"mixed": lambda: r.randint(1, 50), "one length holds a third": lambda: r.choice([7, r.randint(8, 50), r.randint(3, 20)]), "nothing fits together": lambda: r.randint(26, 50)}[kind]
+    sizes = [some() for _ in range(400)]
     gaps: list[int] = []
     for s in sorted(sizes, reverse=True):
         fit = min((g for g in gaps if g >= s), default=None)
         gaps.append((50 if fit is None else gaps.pop(gaps.index(fit))) - s)
-    runs = packing.plan(collections.Counter(sizes), 50)
-    used = collections.Counter()
-    for length, _, count, each, first, offset in runs:
-        for k in range(count):
-            used[first + k // each] += length
-    assert len(used) == len(gaps) and max(used.values()) <= 50 and sum(used.values()) == sum(sizes)
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    by = collections.defaultdict(list)
+    for x in packing.pack(rows, 50, ["doc_id"]).collect():
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert sorted(n for spans in by.values() for _, n in spans) == sorted(sizes)
+    for spans in by.values():
+        spans.sort()
+        assert [at for at, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 50
+    assert len(by) <= 1.02 * len(gaps) + 1
 
 
 def brute_prints(width):
@@ -239,6 +251,29 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id < 3"), df.where("vec_id < 1"), 10).count() == 2
 
 
+def test_hashing_prunes_where_vectors_have_near_neighbours(spark):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((60, 32))
+    v = centres[r.integers(0, 60, 1500)] + 0.15 * r.standard_normal((1500, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(v)], "vec_id long, embedding array<double>, rep long")  # a column with a name that the operator uses
+    ask = df.where("vec_id % 50 = 0")
+    assert neighbours.share_met(df, ask, 10, tables=8, hashes=10, visits=8) < 0.1
+    got = collections.defaultdict(set)
+    for x in neighbours.search(df, ask, 10, tables=8, hashes=10, visits=8).collect():
+        got[x["query_id"]].add(x["vec_id"])
+    s = v[::50] @ v.T
+    s[np.arange(30), np.arange(0, 1500, 50)] = -9
+    assert np.mean([len(got[50 * i] & set(np.argsort(-row)[:10].tolist())) / 10 for i, row in enumerate(s)]) >= 0.9
+
+
+def test_vectors_of_unequal_length_and_ties(spark):
+    rows = [(1, [1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0]), (5, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x["rank"], x["vec_id"], x["score"]) for x in neighbours.search(df, df.where("vec_id = 1"), 4).orderBy("rank").collect()]
+    assert got[:3] == [(1, 2, 1.0), (2, 4, 1.0), (3, 5, 1.0)]
+
+
 def best_capacity(sizes, k):
     low, high = max(sizes), sum(sizes)
     while low < high:
