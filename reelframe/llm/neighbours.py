@@ -10,7 +10,7 @@ inner product in double precision.
 
 Equal vectors are one class. A task gets the buckets whose first functions agree, and matches members to visits by
 sorted bucket keys; crowded groups are dealt in tiles of bounded size. A tile returns each query's n + 1 best, and of
-those only what reaches the query's (2n + 2)-th best of a sample of SAMPLE vectors: that many vectors are at least as
+those only what reaches the query's (2n + 2)-th best of a sample (an eighth of the vectors, SAMPLE at most): that many vectors are at least as
 near, so what is less near is not wanted. No bucket is capped and none is one task's work.
 
 Defined results: vectors that are null, zero or hold a null, NaN or infinite component take no part; shorter vectors
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, written
 from .vectors import matrix, tiled, usable, widest
 
-TABLES, WIDTH, VISITS, SIDE, SAMPLE, PAIRS = 48, 2.0, 30, 2048, 2048, 400_000
+TABLES, WIDTH, VISITS, SIDE, SAMPLE, PAIRS = 48, 2.0, 30, 2048, 16_384, 400_000
 
 
 def functions_for(n: int) -> int:
@@ -220,7 +220,7 @@ def tiles_of(classes: DataFrame, asked: DataFrame, kind: str, n: int, tables: in
     width = max(widest(classes), widest(asked))
     k = hashes or functions_for(total)
     make = lambda prefix=prefix_for(total, k): Hashes(width + 1, tables, k, prefix, w)
-    few = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.9 * SAMPLE / total))).limit(SAMPLE)
+    few = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(0.125, 0.9 * SAMPLE / total))).limit(SAMPLE)
     sample = matrix(few.select("v").toArrow()["v"], width)
     members = member_rows(classes.select("rep", F.col("v").cast(kind).alias("v")), make, scale, width, kind)
     probes = query_rows(asked.select("rep", F.col("v").cast(kind).alias("v")), make, scale, width, kind, visits, sample, n + 1)

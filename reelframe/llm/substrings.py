@@ -1,10 +1,14 @@
 """Incremental substring de-duplication over a log-structured index of window fingerprints.
 
-Method: the index is a list of immutable runs, each a table of window hashes bucketed and sorted by hash.
-A new batch is sorted into a run of its own and merge-joined, bucket by bucket and without a shuffle, with
-every earlier run; hashes that meet are repeats, verified by comparing whole windows. When FAN_IN runs have
-piled up, they are compacted into one. A window's hash is that of its anchor (see windows.py), so one entry
-serves all neighbouring windows that share an anchor.
+Method: the index is a list of immutable runs, each a table of window hashes bucketed and sorted by hash, and beside
+them the entries (hash, segment digest, document, place) that the hashes come from. A new batch is sorted into a run of
+its own and merge-joined, bucket by bucket and without a shuffle, with every earlier run; hashes that meet are
+repeats. Their entries, old and new, are looked up and verified by comparing whole windows. When FAN_IN runs have piled
+up, they are compacted into one. A window's hash is that of its anchor (see windows.py), so one entry serves all
+neighbouring windows that share an anchor.
+
+An index lives in the warehouse under its name: a later call opens it again, and its documents are then de-duplicated
+against all that earlier calls put in.
 
 Defined results: a null, empty or short text (fewer words than a window) is kept whole; words are removed if a
 window that covers them has the same words as one that starts earlier (smaller doc_id, or same document);
@@ -12,41 +16,54 @@ a repeated row gets its document's result; a row without doc_id keeps its text;
 """
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shuffle_partitions, texts, written
+from .common import shuffle_partitions, texts, written
 from .windows import removal, repeated_starts, segments
 
-FAN_IN, BATCHES = 4, 3
+FAN_IN, BATCHES = 4, 5
 
 
 class FingerprintIndex:
-    """Sorted runs (h, n) in the warehouse; add() takes a batch and returns the hashes that are now repeated."""
+    """Sorted runs (h, n) and entries (h, sd, doc_id, at, batch) in the warehouse. name: opens the index of that name if there is one."""
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        self.spark, self.name = spark, name or f"fingerprints_{uuid.uuid4().hex}"
+        mine = [re.fullmatch(rf"{self.name}_(runs|entries)_(\d+)_of_(\d+)", t.name) for t in spark.catalog.listTables()]
+        mine = sorted((m[1], int(m[2]), int(m[3])) for m in mine if m)
+        self.buckets = mine[0][2] if mine else buckets or shuffle_partitions(spark)  # all runs have as many, or they could not be merge-joined
+        self.made = max((k for _, k, _ in mine), default=-1) + 1
+        self.runs, self.entries = ([f"{self.name}_{kind}_{k}_of_{n}" for kind_, k, n in mine if kind_ == kind] for kind in ("runs", "entries"))
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
-        self.name, self.made, self.runs = f"fingerprints_{uuid.uuid4().hex}", 0, []
+    def table(self, kind: str) -> str:
+        self.made += 1
+        return f"{self.name}_{kind}_{self.made - 1}_of_{self.buckets}"
 
     def write(self, counted: DataFrame) -> str:
         """counted comes from an aggregate by h, so it is already dealt by h: a bucket is one file."""
-        run = f"{self.name}_{self.made}"
-        self.made += 1
+        run = self.table("runs")
         counted.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(run)
         return run
 
+    def keep(self, entries: DataFrame) -> DataFrame:
+        """Puts entries beside the runs; returns them as written. add() is then given their batches."""
+        name = self.table("entries")
+        entries.write.format("parquet").saveAsTable(name)
+        self.entries.append(name)
+        return self.spark.table(name)
+
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch has a column h; equal hashes within the batch are combined before they are shuffled."""
+        """The hashes h of a batch that occur twice in it or in an earlier run; equal ones are combined before they are shuffled."""
         new = self.write(batch.groupBy("h").agg(F.count("*").alias("n")))
         now = self.spark.table(new)
         found = [now.where("n > 1").select("h")]
         found += [now.join(self.spark.table(old).hint("merge"), "h", "left_semi").select("h") for old in self.runs]
-        repeats = found[0]
-        for more in found[1:]:
-            repeats = repeats.unionByName(more)
-        repeats = written(repeats, "repeats")
+        repeats = written(reduce(DataFrame.unionByName, found), "repeats")
         self.runs.append(new)
         if len(self.runs) >= FAN_IN:
             self.compact()
@@ -54,35 +71,42 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merges all runs into one and drops them."""
-        merged = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(run))
+        merged = reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
         whole = self.write(merged.groupBy("h").agg(F.sum("n").alias("n")))
         old, self.runs = self.runs, [whole]
         for run in old:
             self.spark.sql(f"DROP TABLE {run}")
 
+    def lookup(self, hashes: DataFrame) -> DataFrame:
+        """All entries of these hashes (distinct, written). A join right above an aggregate could not be split where a hash is crowded."""
+        every = reduce(DataFrame.unionByName, map(self.spark.table, self.entries))
+        return every.select("h", "sd", "doc_id", "at").join(hashes.hint("merge"), "h")
+
     def drop(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+        for name in [*self.runs, *self.entries]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.entries = [], []
+
 
+def deduplicate(docs: DataFrame, size: int = 20, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kept, n_words, n_removed, spans), one row a document of docs.
 
-def deduplicate(docs: DataFrame, size: int = 20, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kept, n_words, n_removed, spans), one row a document.
+    index: one that stays; without it, an index of this call alone is made and dropped. history: the documents that
+    earlier calls put into the index (with the same columns), whose ids must all be smaller. Of history only the texts
+    that share an anchor with docs are read for more than their id.
 
-    Shuffled are: anchors (a seventh of the words), windows of anchors with unequal segments, and the texts once,
-    an exchange that the verification and the removal share.
+    Shuffled are: hashes (a seventh of the words), entries once, windows of anchors with unequal segments, and the
+    texts twice: to those windows, and to the removal.
     """
     spark, plain = docs.sparkSession, texts(docs, id_col, text_col)
-    every = written(segments(docs, size, id_col=id_col, text_col=text_col).withColumn("batch", F.pmod("doc_id", F.lit(batches)).cast("int")), "segments")
-    index = FingerprintIndex(spark)
-    again = None
-    for k in range(batches):
-        more = index.add(every.where(F.col("batch") == k).select("h"))
-        again = more if again is None else again.unionByName(more)
-    index.drop()
-    again = written(again.distinct(), "again")  # a join right above an aggregate could not be split where a hash is crowded
-    found = written(every.drop("batch").join(again.hint("merge"), "h"), "repeated")
-    remove(every)
-    return removal(plain, repeated_starts(plain, found, size), size)
+    own = index or FingerprintIndex(spark)
+    try:
+        entries = own.keep(segments(docs, size, id_col=id_col, text_col=text_col).withColumn("batch", F.pmod("doc_id", F.lit(batches)).cast("int")))
+        again = [own.add(entries.where(F.col("batch") == k).select("h")) for k in range(batches)]
+        again = written(reduce(DataFrame.unionByName, again).distinct(), "again")
+        found = written(own.lookup(again), "repeated")
+    finally:
+        if index is None:
+            own.drop()
+    known = plain if history is None else plain.unionByName(texts(history, id_col, text_col))
+    return removal(plain, repeated_starts(known, found, size), size)

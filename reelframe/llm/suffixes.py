@@ -1,9 +1,11 @@
 """De-duplication of long passages with sparse suffix arrays.
 
 Method: suffixes are kept only at content-selected minimiser positions (a position in 22 for windows of 50
-words). They are sorted by their text, neighbours are compared, and what a suffix shares with its nearest
-neighbour bounds how far a repeat can reach to the right; matches are then extended to both sides and
-verified by whole windows of the least passage length.
+words), and of those the ones whose first GRAM words occur twice. They are sorted by their text over range partitions.
+What a suffix shares with its sorted neighbours bounds how far a repeat can reach to the right; the match with an
+earlier suffix of its group is then extended word by word to the right and to the left, and all windows inside it are
+repeats. Windows that a neighbour might still share, but that no extension settled, are compared exactly by the digest
+of their words, wherever their occurrences ended up.
 
 Defined results: as in substrings.py, with windows of `size` words: of a passage that occurs more than once the
 earliest occurrence stays, words of later ones are removed.
@@ -15,61 +17,131 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, small_batches, texts, written
-from .windows import GRAM, removal, repeated_starts, segments
+from .windows import GRAM, digest_words, halves, removal, repeated_windows, segments, split, starts_of
 
+BLOCK = 4096
 
-def shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """The number of words that two lists begin with alike."""
     if a == b:
         return len(a)
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def neighbours(classes: DataFrame, context: int) -> DataFrame:
-    """(h, follows, reach): of distinct suffixes, the most words that each shares with a sorted neighbour.
+def suffix_rows(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(suffix, lead, doc_id, place, before, n): the words from each place on, at most `size`, and the `before` words
+    that its first window has before it. places: (doc_id, places array<long>, as packed by segments)."""
 
-    A range shuffle sorts them over all partitions. At a partition's edge the neighbour is elsewhere, so the
-    full context is assumed: too far a reach costs a comparison, too short a one would lose a match.
-    """
-    ordered = classes.repartitionByRange("h", "follows").sortWithinPartitions("h", "follows")
+    def run(batches):
+        for b in small_batches(batches, 512):
+            rows: list[tuple] = []
+            for doc, text, chosen in zip(*(c.to_pylist() for c in b.columns)):
+                words = split(text)
+                for at in chosen:
+                    place, before, n = at >> 16, at >> 8 & 255, at & 255
+                    if place + GRAM <= len(words):  # rows may share an id
+                        rows.append((b" ".join(words[place : place + size]), b" ".join(words[max(0, place - before) : place]), doc, place, min(before, place), n))
+            for k in range(0, len(rows), 4096):
+                columns = zip(*rows[k : k + 4096])
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["suffix", "lead", "doc_id", "place", "before", "n"])
+
+    joined = docs.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places")
+    return joined.mapInArrow(run, "suffix binary, lead binary, doc_id long, place long, before int, n int")
+
+
+class Suffix:
+    """A sorted suffix. A window is named by p, the number of its words before the place."""
+
+    def __init__(self, suffix: bytes, lead: bytes, doc: int, place: int, before: int, n: int, size: int):
+        self.words, self.lead, self.key, self.size = suffix.split(b" "), lead.split(b" ")[::-1] if lead else [], (doc, place), size
+        self.left = {p for p in range(before - n + 1, before + 1) if size - p <= len(self.words)}  # windows that may still be repeats
+
+    def settle(self, other: Suffix) -> range:
+        """Extends the match with an earlier suffix to both sides; the windows inside it."""
+        found = range(self.size - common(self.words, other.words), common(self.lead, other.lead) + 1)
+        found = range(max([found.start, *([min(self.left)] if self.left else [])]), min([found.stop, *([max(self.left) + 1] if self.left else [])]))
+        self.left.difference_update(found)
+        return found
+
+    def bound(self, reach: int) -> None:
+        """Drops windows that need more words to the right than any neighbour shares."""
+        self.left = {p for p in self.left if self.size - p <= reach}
+
+    def window(self, p: int) -> bytes:
+        return b" ".join(self.lead[:p][::-1] + self.words[: self.size - p])
+
+
+def swept(block: list[Suffix], whole: bool) -> tuple[list[tuple], list[tuple]]:
+    """(runs, windows) of a block of sorted suffixes with one beginning: runs (doc_id, start, n) that are repeats, and
+    windows (doc_id, start, digest) to be compared. whole: no suffix with this beginning lies outside the block."""
+    runs, first = [], min(block, key=lambda s: s.key)
+    near = [common(a.words, b.words) for a, b in zip(block, block[1:])]
+    for i, s in enumerate(block):
+        if whole or 0 < i < len(block) - 1:
+            s.bound(max([0, *near[max(0, i - 1) : i + 1]]))
+        for other in (first, *block[max(0, i - 1) : i], *block[i + 1 : i + 2]):
+            if s.left and other.key < s.key:
+                found = s.settle(other)
+                if len(found):
+                    runs.append((s.key[0], s.key[1] - found.stop + 1, len(found)))
+    rest = [s for s in block if s.left]
+    if whole and len(rest) < 2:
+        return runs, []
+    return runs, [(s.key[0], s.key[1] - p, digest_words(s.window(p))) for s in rest for p in s.left]
+
+
+def compared(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, start, n, d1, d2): of sorted suffixes, the runs of windows that are repeats (d1 null), and windows to be compared."""
+    order = ["suffix", "doc_id", "place"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def out(runs, windows):
+        digests = halves([w[2] for w in windows])
+        none = [None] * len(runs)
+        columns = [[r[0] for r in runs] + [w[0] for w in windows], [r[1] for r in runs] + [w[1] for w in windows], [r[2] for r in runs] + [1] * len(windows), none + digests[:, 0].tolist(), none + digests[:, 1].tolist()]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "n", "d1", "d2"])
 
     def run(batches):
-        before, held = None, None  # held: (h, follows, n, shared with its predecessor)
+        block: list[Suffix] = []
+        inner = False  # the block's first suffix is the first with its beginning
+        runs, windows = [], []
         for b in small_batches(batches, 4096):
-            out = []
-            for h, follows, n in zip(*(c.to_pylist() for c in b.columns)):
-                if held:
-                    same = shared(held[1], follows) if held[0] == h else -1
-                    out.append((held[0], held[1], len(held[1]) if held[2] > 1 else max(held[3], same)))
-                    before = same
-                held = (h, follows, n, context if before is None else before)
-            out = [x for x in out if x[2] >= 0]
-            yield batch_of(out)
-        if held:
-            yield batch_of([(held[0], held[1], context)])
-
-    def batch_of(rows):
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32()))], names=["h", "follows", "reach"])
-
-    return ordered.select("h", "follows", "n").mapInArrow(run, "h long, follows binary, reach int")
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                s = Suffix(*row, size)
+                other = bool(block) and block[-1].words[:GRAM] != s.words[:GRAM]
+                if other or len(block) >= BLOCK:
+                    more = swept(block, inner and other)
+                    runs, windows, block, inner = runs + more[0], windows + more[1], [], other
+                    if len(runs) + len(windows) > 20_000:
+                        yield out(runs, windows)
+                        runs, windows = [], []
+                block.append(s)
+        if block:
+            more = swept(block, False)
+            runs, windows = runs + more[0], windows + more[1]
+        yield out(runs, windows)
+
+    return ordered.select("suffix", "lead", "doc_id", "place", "before", "n").mapInArrow(run, "doc_id long, start int, n int, d1 long, d2 long")
 
 
 def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_words, n_removed, spans), one row a document.
 
-    Suffixes whose first GRAM words occur once drop out before the sort; equal suffixes are combined before
-    they are sorted, so a passage that a third of the documents share is sorted once.
+    Suffixes whose first GRAM words occur once drop out before any text is attached; a beginning that a third of the
+    documents share is split by the rest of the suffix and by document, and held BLOCK suffixes at a time.
     """
-    plain, context = texts(docs, id_col, text_col), size - GRAM
-    every = written(segments(docs, size, context, id_col, text_col), "suffixes")
+    plain = texts(docs, id_col, text_col)
+    every = written(segments(docs, size, id_col, text_col).select("h", "doc_id", "at"), "places")
     again = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    found = written(every.join(again.hint("merge"), "h", "left_semi"), "repeated")
+    found = written(every.join(again.hint("merge"), "h", "left_semi").select("doc_id", "at"), "repeated")
     remove(every)
-
-    def reach(heads: DataFrame) -> DataFrame:
-        own = written(found.join(heads.hint("merge"), ["h", "sd", "doc_id", "at"]), "heads")
-        distinct = written(own.groupBy("h", "follows").agg(F.count("*").alias("n")), "suffixes")
-        return own.join(neighbours(distinct, context).hint("merge"), ["h", "follows"]).drop("follows")
-
-    return removal(plain, repeated_starts(plain, found, size, reach), size)
+    places = written(found.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
+    rows = written(suffix_rows(plain, places, size), "suffixes")
+    result = written(compared(rows, size), "compared")
+    remove(rows)
+    windows = written(result.where("d1 is not null").select("d1", "d2", "doc_id", F.col("start").alias("pos")), "windows")
+    runs = result.where("d1 is null").select("doc_id", "start", "n").unionByName(repeated_windows(windows))
+    return removal(plain, starts_of(runs), size)

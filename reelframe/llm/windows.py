@@ -5,7 +5,7 @@ A window is `size` consecutive words. Its anchor is the leftmost of its GRAM-wor
 neighbouring windows mostly share one. A window can only be repeated if its anchor's hash is. The windows that
 share an anchor cover a stretch of words, the anchor's segment.
 
-Words are `[^\\x20\\x09-\\x0D]+`, compared unchanged; windows are compared by 128-bit digests of their words.
+Words are `[^\\x20\\x09-\\x0D]+`, compared unchanged; windows are compared by a 128-bit BLAKE2b digest of their words.
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, by_bytes, mix, sliding_argmin, small_batches, texts, window_hashes, written
 
-GRAM, SEED = 8, 7
+GRAM, SEED, WIDEST = 8, 7, 262
 
 
 def split(text: str) -> list[bytes]:
@@ -51,14 +51,15 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def segments(docs: DataFrame, size: int, context: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h long, sd long, doc_id, at long[, follows binary]): one row for each anchor.
+def segments(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h long, sd long, doc_id, at long): one row for each anchor.
 
     h: the anchor's hash. sd: a digest of the stretch of words that its windows cover, and of the anchor's place in
     it, so rows equal in (h, sd) cover the same words. at packs the anchor's place, how far before it the first
-    window starts, and the number of windows. follows: a byte for each of the `context` words after the gram (less
-    at the end of the text). No shuffle.
+    window starts, and the number of windows, 8 bits each for the last two. No shuffle.
     """
+    if not GRAM <= size <= WIDEST:
+        raise ValueError(f"windows have {GRAM} to {WIDEST} words")
     base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
     def run(batches):
@@ -83,72 +84,67 @@ def segments(docs: DataFrame, size: int, context: int = 0, id_col: str = "doc_id
                     pa.array(grams[place].view(np.int64)), pa.array(digest.view(np.int64)),
                     pa.array(part.column(0).to_numpy(zero_copy_only=False)[doc]), pa.array(own << 16 | place - from_ << 8 | n),
                 ]
-                names = ["h", "sd", "doc_id", "at"]
-                if context:
-                    line = (mix(words.hashes) >> U64(56)).astype(np.uint8).tobytes()
-                    ends = np.minimum(place + GRAM + context, words.ends[doc]).tolist()
-                    columns.append(pa.array([line[x + GRAM : y] for x, y in zip(place.tolist(), ends)], pa.binary()))
-                    names.append("follows")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "sd", "doc_id", "at"])
 
     known_ids = texts(docs, id_col, text_col).where("doc_id is not null")
-    return known_ids.mapInArrow(run, "h long, sd long, doc_id long, at long" + (", follows binary" if context else ""))
+    return known_ids.mapInArrow(run, "h long, sd long, doc_id long, at long")
+
+
+def halves(digests: list[bytes]) -> np.ndarray:
+    """16-byte digests as two columns of integers."""
+    return np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+
+
+def digest_words(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def candidate_windows(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(d1, d2, doc_id, pos): digests of the windows whose anchor is one of the document's `places`
-    (doc_id, places array<struct<at long, reach int>>); `reach` is the number of words after the anchor's gram
-    that any repeat can share, so windows that end beyond it are left out."""
+    (doc_id, places array<long>, as packed by segments)."""
 
     def run(batches):
-        known = WordHashes()
         for b in small_batches(batches, 1024):
-            b = b.filter(pc.is_valid(b.column(2)))
-            for start, end in by_bytes(b, "text"):
-                part = b.slice(start, end - start)
-                words = Words(known, part.column(1).to_pylist())
-                chosen = part.column(2)
-                doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(chosen).to_numpy(zero_copy_only=False))
-                flat = chosen.flatten()
-                at, far = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                n, before, own = at & 255, at >> 8 & 255, at >> 16
-                fits = own + 1 <= words.counts[doc]
-                n, before, own, doc, far = n[fits], before[fits], own[fits], doc[fits], far[fits]
-                first = own - before
-                which = np.repeat(np.arange(len(n)), n)
-                starts = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                keep = (starts + size <= own[which] + GRAM + far[which]) & (starts + size <= words.counts[doc[which]]) & (starts >= 0)
-                starts, which = starts[keep], which[keep]
+            for text, doc, chosen in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2)):
+                at = chosen.values.to_numpy()
+                n, first = at & 255, (at >> 16) - (at >> 8 & 255)
+                starts = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                words = split(text)
+                starts = starts[(starts >= 0) & (starts + size <= len(words))]
                 if not len(starts):
                     continue
-                absolute, ids = starts + words.starts[doc[which]], part.column(0).to_numpy(zero_copy_only=False)[doc[which]]
-                one, two = (window_hashes(words.hashes, size, seed)[absolute].view(np.int64) for seed in (11, 13))
-                for k in range(0, len(ids), 50_000):
+                line = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begins = np.concatenate([[0], ends[:-1] + 1])
+                found = [digest_words(line[x:y]) for x, y in zip(begins[starts].tolist(), ends[starts + size - 1].tolist())]
+                d = halves(found)
+                for k in range(0, len(starts), 50_000):
                     s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(ids[s]), pa.array(starts[s].astype(np.int32))], names=["d1", "d2", "doc_id", "pos"])
+                    one = pa.array(np.full(len(starts[s]), doc))
+                    yield pa.RecordBatch.from_arrays([pa.array(d[s, 0]), pa.array(d[s, 1]), one, pa.array(starts[s].astype(np.int32))], names=["d1", "d2", "doc_id", "pos"])
 
-    joined = docs.join(places.hint("merge"), "doc_id", "left").select("doc_id", "text", "places")
+    joined = docs.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places")
     return joined.mapInArrow(run, "d1 long, d2 long, doc_id long, pos int")
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(doc_id, start int, n int): windows whose digest also starts earlier.
+    """(doc_id, start int, n int): windows (a written table) whose digest also starts earlier.
 
-    First occurrences come from a combined aggregate, so a window that a third of the documents share is a
-    few rows a task; the join back can be split wherever a key is crowded.
+    First occurrences come from a combined aggregate, so a window that a third of the documents share is a few rows a
+    task; they are written before the join back, which can then be split wherever a digest is crowded.
     """
     firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(firsts.select("d1", "d2", "first").hint("merge"), ["d1", "d2"]).where(F.struct("doc_id", "pos") > F.col("first"))
+    firsts = written(firsts.select("d1", "d2", "first"), "firsts")
+    later = windows.join(firsts.hint("merge"), ["d1", "d2"]).where(F.struct("doc_id", "pos") > F.col("first"))
     return later.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
 
 
-def repeated_starts(docs: DataFrame, found: DataFrame, size: int, reach=None) -> DataFrame:
+def repeated_starts(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """(doc_id, starts array<struct<start int, n int>>): runs of windows of docs (doc_id, text) that also start earlier.
 
     found: segments with a repeated anchor. Segments equal in (h, sd) are a class; in all but its first, every
     window also starts earlier. Only where an anchor has more than one class are windows themselves compared, and
-    only those of each class's first segment: it starts no later than any other of its class. `reach`, given such
-    segments, returns them with the column reach; else windows are taken to their ends.
+    only those of each class's first segment: it starts no later than any other of its class.
     """
     classes = found.groupBy("h", "sd").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     classes = written(classes, "classes")
@@ -158,10 +154,13 @@ def repeated_starts(docs: DataFrame, found: DataFrame, size: int, reach=None) ->
         "doc_id", (F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("n")
     )
     several = written(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
-    heads = classes.join(several.hint("merge"), "h", "left_semi").select("h", "sd", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
-    heads = heads.withColumn("reach", F.lit(2 * size)) if reach is None else reach(heads)
-    places = written(heads.groupBy("doc_id").agg(F.collect_list(F.struct("at", "reach")).alias("places")), "places")
-    runs = whole.unionByName(repeated_windows(candidate_windows(docs, places, size)))
+    heads = classes.join(several.hint("merge"), "h", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
+    places = written(heads.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
+    windows = written(candidate_windows(docs, places, size), "windows")
+    return starts_of(whole.unionByName(repeated_windows(windows)))
+
+
+def starts_of(runs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 
 

@@ -191,15 +191,60 @@ def test_repeated_windows(docs, module, size):
 
 
 def test_index_finds_repeats_across_batches_and_compacts(spark):
-    index, seen = substrings.FingerprintIndex(spark, 3), set()
+    index, seen = substrings.FingerprintIndex(spark, buckets=3), set()
     r = random.Random(9)
-    for _ in range(9):
+    for _ in range(6):
         batch = [r.randrange(2000) for _ in range(150)]
         want = {h for h in batch if h in seen or batch.count(h) > 1}
         got = {x["h"] for x in index.add(spark.createDataFrame([(h,) for h in batch], "h long")).collect()}
         assert got == want and len(index.runs) < substrings.FAN_IN
         seen |= set(batch)
+    assert substrings.FingerprintIndex(spark, index.name).runs == index.runs
     index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
+
+
+def test_a_later_call_deduplicates_against_an_index_of_an_earlier_one(spark, docs):
+    want, name = brute_windows(20), "fingerprints_kept"
+    old, new = docs.where("doc_id < 7"), docs.where("doc_id >= 7")
+    got = collected(substrings.deduplicate(old, 20, index=substrings.FingerprintIndex(spark, name)))
+    index = substrings.FingerprintIndex(spark, name)
+    assert index.runs and index.entries
+    got |= collected(substrings.deduplicate(new, 20, index=index, history=old))
+    index.drop()
+    assert {i: (r["kept"], r["n_words"], r["n_removed"]) for i, r in got.items()} == want
+    assert any(want[i][2] for i in want if i >= 7)
+
+
+def test_suffixes_meet_in_crowded_groups_and_over_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passages = [[word() for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        p = list(passages[i % 4])
+        if i % 7 == 0:
+            p[r.randrange(30)] = word()
+        rows.append((i, " ".join([word() for _ in range(r.randrange(25))] + p[: 30 - i % 5] + [word() for _ in range(r.randrange(25))]), 1))
+    r.shuffle(rows)
+    seen, want = set(), {}
+    for i, t, _ in sorted(rows):
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone.update(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        want[i] = len(gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    for block in (4096, 5):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        assert {i: x["n_removed"] for i, x in collected(suffixes.deduplicate(df, 20)).items()} == want
+    assert sum(n > 0 for n in want.values()) > 80
+
+
+def test_windows_wider_than_their_packing_are_refused(docs):
+    with pytest.raises(ValueError):
+        substrings.deduplicate(docs, 263)
 
 
 def test_window_hashes_and_argmin():
