@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, small_batches, texts, written
-from .windows import GRAM, digest_words, halves, removal, repeated_windows, segments, split, starts_of
+from .windows import GRAM, classes_of, digest_words, halves, places_of, removal, repeated_windows, segments, split, starts_of
 
 BLOCK = 4096
 
@@ -130,18 +130,19 @@ def compared(rows: DataFrame, size: int) -> DataFrame:
 def deduplicate(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_words, n_removed, spans), one row a document.
 
-    Suffixes whose first GRAM words occur once drop out before any text is attached; a beginning that a third of the
-    documents share is split by the rest of the suffix and by document, and held BLOCK suffixes at a time.
+    Suffixes whose first GRAM words occur once drop out before any text is attached, and copies of one segment are
+    combined, so a passage that a third of the documents share is sorted once; a beginning in very many contexts is
+    split by the rest of the suffix and by document, and held BLOCK suffixes at a time.
     """
     plain = texts(docs, id_col, text_col)
-    every = written(segments(docs, size, id_col, text_col).select("h", "doc_id", "at"), "places")
+    every = written(segments(docs, size, id_col, text_col), "places")
     again = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    found = written(every.join(again.hint("merge"), "h", "left_semi").select("doc_id", "at"), "repeated")
+    found = written(every.join(again.hint("merge"), "h", "left_semi"), "repeated")
     remove(every)
-    places = written(found.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
-    rows = written(suffix_rows(plain, places, size), "suffixes")
+    copies, heads = classes_of(found)
+    rows = written(suffix_rows(plain, places_of(heads), size), "suffixes")
     result = written(compared(rows, size), "compared")
     remove(rows)
     windows = written(result.where("d1 is not null").select("d1", "d2", "doc_id", F.col("start").alias("pos")), "windows")
-    runs = result.where("d1 is null").select("doc_id", "start", "n").unionByName(repeated_windows(windows))
+    runs = copies.unionByName(result.where("d1 is null").select("doc_id", "start", "n")).unionByName(repeated_windows(windows))
     return removal(plain, starts_of(runs), size)

@@ -139,25 +139,35 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
     return later.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
 
 
-def repeated_starts(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """(doc_id, starts array<struct<start int, n int>>): runs of windows of docs (doc_id, text) that also start earlier.
-
-    found: segments with a repeated anchor. Segments equal in (h, sd) are a class; in all but its first, every
-    window also starts earlier. Only where an anchor has more than one class are windows themselves compared, and
-    only those of each class's first segment: it starts no later than any other of its class.
-    """
+def classes_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, heads) of segments with a repeated anchor. Segments equal in (h, sd) are a class; runs (doc_id, start, n): in
+    all but a class's first, every window also starts earlier. heads (doc_id, at): where an anchor has more than one
+    class, each class's first segment, which starts no later than any other of its class; only these can still hold
+    windows that start earlier elsewhere."""
     classes = found.groupBy("h", "sd").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     classes = written(classes, "classes")
     copies = found.join(classes.where("n > 1").select("h", "sd", "first").hint("merge"), ["h", "sd"])
     copies = copies.where(F.struct("doc_id", "at") > F.col("first"))
-    whole = copies.select(
+    runs = copies.select(
         "doc_id", (F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("n")
     )
     several = written(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
     heads = classes.join(several.hint("merge"), "h", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
-    places = written(heads.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
-    windows = written(candidate_windows(docs, places, size), "windows")
-    return starts_of(whole.unionByName(repeated_windows(windows)))
+    return runs, heads
+
+
+def places_of(heads: DataFrame) -> DataFrame:
+    return written(heads.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
+
+
+def repeated_starts(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """(doc_id, starts array<struct<start int, n int>>): runs of windows of docs (doc_id, text) that also start earlier.
+
+    found: segments with a repeated anchor. Windows themselves are compared only for the heads of unequal classes.
+    """
+    runs, heads = classes_of(found)
+    windows = written(candidate_windows(docs, places_of(heads), size), "windows")
+    return starts_of(runs.unionByName(repeated_windows(windows)))
 
 
 def starts_of(runs: DataFrame) -> DataFrame:
