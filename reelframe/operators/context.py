@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ratio_udf, whole_word
 from .findings import is_language_remark
 
-MAX_SCENES, NAME_LENGTH, TOKEN_LENGTH, NICKNAME = 4, 3, 4, 0.58
+MAX_SCENES, NAME_LENGTH, TOKEN_LENGTH, NICKNAME, CAST = 4, 3, 4, 0.58, 24
 HISTORY, CHUNK_BUDGET, CHUNK_SCENES, CHARS_PER_TOKEN = 16, 1400, 6, 4
 SIGNATURE, LEAST_SIGNATURE, SAME_PREFIX, LEAST_PARAGRAPH = 120, 16, 36, 20
 BULLET = r"^\s*(•|-|\d+[.)])\s+"
@@ -32,6 +32,13 @@ def presence_from_cues(elements: DataFrame) -> DataFrame:
     return rows.groupBy("script_id", "name").agg(F.array_sort(F.collect_set("scene_number")).alias("scenes"))
 
 
+def leading_cast(presence: DataFrame, most: int = CAST) -> DataFrame:
+    """(script_id, character, scenes, cast_rank): the characters of the most scenes of each script, as its map lists them."""
+    rows = presence.where("character is not null").groupBy("script_id", "character").agg(F.count_distinct("scene_number").alias("scenes"))
+    rank = F.row_number().over(Window.partitionBy("script_id").orderBy(F.desc("scenes"), "character"))
+    return rows.withColumn("cast_rank", rank).where(F.col("cast_rank") <= most)
+
+
 def scene_refs(text: Column, limit: int | None = MAX_SCENES) -> Column:
     """Scene numbers that a text names, in ascending order."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"[Ss]cene\s+(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
@@ -58,7 +65,7 @@ def character_refs(texts: DataFrame, names: DataFrame) -> DataFrame:
     missed = rows.where("tier is null").select("script_id", "text_id").distinct()
     long = texts.join(missed, ["script_id", "text_id"], "left_semi").select("script_id", "text_id", F.explode(F.array_distinct(F.transform(F.filter(word_list, lambda x: F.char_length(x) >= 4), lambda x: F.upper(x)))).alias("word"))
     tried = long.join(known.where(F.char_length("name") >= 4), "script_id").withColumn("r", ratio_udf("name", "word"))
-    best = tried.groupBy("script_id", "text_id").agg(F.max("r").alias("r"), F.max_by("name", "r").alias("name")).where(F.col("r") >= NICKNAME)
+    best = tried.groupBy("script_id", "text_id").agg(F.max("r").alias("r"), F.max_by("name", F.struct("r", "name")).alias("name")).where(F.col("r") >= NICKNAME)
     near = best.join(sure, ["script_id", "text_id", "name"], "left_anti").select("script_id", "text_id", "name", F.lit(4).alias("tier"))
     return sure.unionByName(near)
 

@@ -205,10 +205,10 @@ def formatting(elements: DataFrame, scenes: DataFrame) -> DataFrame:
     share = F.concat(F.col("character"), F.lit(": parentheticals on "), F.col("parens").cast("string"), F.lit(" of "), F.col("lines").cast("string"), F.lit(" lines"))
     out = out.unionByName(row(heavy, "heavy_parenthetical_usage", "low", none, share))
     names = elements.where("type = 'character' and scene_number > 0").select("script_id", "character").distinct()
-    at = F.col("scene_number") * F.lit(1_000_000).cast("long") + F.col("element_index")
+    at = F.struct(F.col("scene_number").alias("scene"), F.col("element_index").alias("index"))
     action = elements.where("type = 'action' and scene_number > 0").select("script_id", "text", at.alias("at"))
     shown = names.join(action, "script_id").where(whole_word(F.col("text"), F.col("character"))).select("script_id", "character", "at", F.lit(True).alias("shown"))
     cues = elements.where("type = 'character' and scene_number > 0").select("script_id", "character", at.alias("at"), F.lit(False).alias("shown"))
     late = unintroduced(shown.unionByName(cues), ["script_id", "character"], "at", F.col("shown"), ~F.col("shown"))
-    out = out.unionByName(row(late, "character_not_capitalized_on_first_appearance", "low", F.array(F.floor(F.col("first_spoken") / 1_000_000).cast("int")), F.concat(F.col("character"), F.lit(" speaks before being introduced in action"))))
+    out = out.unionByName(row(late, "character_not_capitalized_on_first_appearance", "low", F.array(F.col("first_spoken.scene")), F.concat(F.col("character"), F.lit(" speaks before being introduced in action"))))
     return out

@@ -179,9 +179,9 @@ def ledger(entries: DataFrame, limit: int = 12) -> DataFrame:
 
 def candidates(props: DataFrame, promises: DataFrame, limit: int = 15) -> DataFrame:
     """Top candidates for a model's judgment: props by mentions, promises in order filling the rest."""
-    p = props.select("script_id", F.lit(0).alias("source"), (-F.col("mentions")).alias("order_"), F.col("phrase").alias("label"))
-    q = promises.select("script_id", F.lit(1).alias("source"), (F.col("scene_number") * F.lit(1_000_000).cast("long") + F.col("element_index")).alias("order_"), F.col("text").alias("label"))
-    return ranked(p.unionByName(q), ["script_id"], F.col("source"), F.col("order_"), F.col("label")).where(F.col("queue_rank") <= limit)
+    p = props.select("script_id", F.struct(F.lit(0).alias("source"), (-F.col("mentions")).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at"), F.col("phrase").alias("label"))
+    q = promises.select("script_id", F.struct(F.lit(1).alias("source"), F.col("scene_number").cast("long").alias("a"), F.col("element_index").cast("long").alias("b")).alias("at"), F.col("text").alias("label"))
+    return ranked(p.unionByName(q), ["script_id"], F.col("at"), F.col("label")).where(F.col("queue_rank") <= limit)
 
 
 def outcome(outcomes: DataFrame) -> DataFrame:

@@ -8,15 +8,26 @@ from ..functions.text import sanitised_stem
 
 
 def unique_names(uploads: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """uploads (filename, arrived) plus project: the sanitised stem, _2, _3 ... where it recurs or is taken."""
+    """uploads (filename, arrived) plus project: the sanitised stem, or the first of stem_2, stem_3 ... that is free.
+
+    A name is free if no project of `taken` has it, and no upload's own stem is the same (that upload comes first for
+    it). Uploads of one stem take the free names in order of arrival.
+    """
     rows = uploads.withColumn("stem", sanitised_stem(F.col("filename")))
+    stems = rows.groupBy("stem").agg(F.count("*").alias("n"))
+    gone = stems.select(F.col("stem").alias("project"), F.lit(True).alias("natural"))
     if taken is not None:
-        used = taken.select(F.regexp_replace("project", r"_\d+$", "").alias("stem")).groupBy("stem").agg(F.count("*").alias("used"))
-        rows = rows.join(used, "stem", "left")
-    else:
-        rows = rows.withColumn("used", F.lit(0))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("arrived", "filename")) + F.coalesce("used", F.lit(0))
-    return rows.withColumn("project", F.when(n == 1, F.col("stem")).otherwise(F.concat(F.col("stem"), F.lit("_"), n.cast("string")))).drop("stem", "used")
+        gone = gone.unionByName(taken.select("project", F.lit(False).alias("natural")).distinct())
+    # as many names as uploads, and one more for each name that may be gone already
+    root = F.explode(F.array_distinct(F.array(F.col("project"), F.regexp_replace("project", r"_\d+$", ""))))
+    lost = gone.select(root.alias("stem")).groupBy("stem").agg(F.count("*").alias("lost"))
+    names = stems.join(lost, "stem", "left").select("stem", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("lost", F.lit(0)))).alias("k"))
+    names = names.withColumn("project", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("k").cast("string"))))
+    clash = gone.groupBy("project").agg(F.bool_and("natural").alias("natural"))
+    free = names.join(clash, "project", "left").where(F.col("natural").isNull() | (F.col("natural") & (F.col("k") == 1)))
+    free = free.select("stem", "project", F.row_number().over(Window.partitionBy("stem").orderBy("k")).alias("nth"))
+    nth = F.row_number().over(Window.partitionBy("stem").orderBy("arrived", "filename"))
+    return rows.withColumn("nth", nth).join(free, ["stem", "nth"]).drop("stem", "nth")
 
 
 def set_stage(stages: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """DuckDB SQL for the driver queries that SQL can express, over the same tables."""
 from __future__ import annotations
 
+from .script_oracles import script_oracles
+
 WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
 
 ELEMENTS = """SELECT conv_id // 10 AS script_id, CAST(conv_id % 10 + 1 AS INTEGER) AS scene_number, CAST(turn AS INTEGER) AS element_index,
@@ -184,4 +186,4 @@ def oracles() -> dict[str, str]:
     from ..functions.text import STOP_WORDS
 
     stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
-    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()}
+    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()} | script_oracles()

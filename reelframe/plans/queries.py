@@ -9,27 +9,9 @@ from ..functions.text import ascii_word_count, normalised, ratio_udf, windowed_r
 from ..operators import context, craft, drafts, findings, graph, memory, rules, stats, structure, tracks
 from ..sources import export, screenplay
 from ..streaming.jobs import sessions
+from . import scripts, state  # noqa: F401  their queries register themselves
 from .adapters import elements, generated_scripts, headings, lines_of_speech, orders_cast, presence, scenes, table, text_lines
-
-
-def exact(x, digits=0):
-    return x
-
-
-QUERIES: dict = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def injected(options: list[str]):
-    """The text with a phrase put before it, chosen by the turn; every fourth turn has none."""
-    phrase = F.lit("")
-    for i, text in enumerate(options):
-        phrase = F.when(F.col("turn") % 4 == i, text).otherwise(phrase)
-    return F.concat(phrase, F.lit(" "), F.col("text"))
+from .registry import QUERIES, exact, injected, query
 
 
 @query

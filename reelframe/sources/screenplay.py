@@ -203,7 +203,7 @@ def pdf_lines(boxes: DataFrame, gap: float = 1.35) -> DataFrame:
     """
     by = Window.partitionBy("script_id", "page").orderBy("top", "x0")
     text = L.undoubled(L.replaced_apostrophe(F.trim("text")))
-    rows = boxes.withColumn("text", text).where(~F.col("text").rlike(r"^\d{1,4}\.?$") & (F.col("text") != ""))
+    rows = boxes.withColumn("text", text).where(~F.col("text").rlike(r"^\d{1,3}\.?$") & (F.col("text") != ""))
     rows = rows.withColumn("gap", F.col("top") - F.lag("bottom").over(by))
     rows = rows.withColumn("middle", F.median("gap").over(Window.partitionBy("script_id", "page")))
     ends = (F.col("gap") > F.col("middle") * gap) & (F.col("middle") > 0)

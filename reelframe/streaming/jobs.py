@@ -12,17 +12,27 @@ from ..sources.screenplay import file_format, parse
 STALL_SECONDS, POLL = 1800, "5 seconds"
 
 
-def watch(spark: SparkSession, folder: str, archive: str, checkpoint: str, handle: Callable[[dict[str, DataFrame], int], None], once: bool = False):
+def watch(spark: SparkSession, folder: str, archive: str, checkpoint: str, handle: Callable[[dict[str, DataFrame], int], None], once: bool = False, quarantine: str | None = None):
     """Parses screenplays as they arrive; consumed files move to the archive. Unsupported and hidden ones stay.
 
-    handle gets the tables of each micro-batch. once: takes what is there and ends.
+    handle gets the tables of each micro-batch. once: takes what is there and ends. quarantine: where the scripts of a
+    micro-batch that fails go as Parquet, with the error; the stream goes on. Without it a failure ends the stream.
     """
+
+    def taken(batch: DataFrame, n: int) -> None:
+        try:
+            handle(parse(batch), n)
+        except Exception as error:
+            if quarantine is None:
+                raise
+            batch.withColumn("batch", F.lit(n)).withColumn("error", F.lit(f"{type(error).__name__}: {error}")).write.mode("append").parquet(quarantine)
+
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "[!.]*.{fountain,txt,md}").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
     texts = files.select(F.col("_metadata.file_path").alias("script_id"), name.alias("source_filename"), F.col("value").alias("text"))
     texts = texts.withColumn("source_format", file_format(F.col("source_filename")))
     trigger = {"availableNow": True} if once else {"processingTime": POLL}
-    return texts.writeStream.foreachBatch(lambda batch, n: handle(parse(batch), n)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return texts.writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
