@@ -208,12 +208,25 @@ def history(messages: DataFrame, keys: list[str], order: str, n: int = HISTORY)
     return messages.withColumn("from_end", rank).where(F.col("from_end") <= n)
 
 
+def letter_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
+
+
+def trigram_share(w: Column, least: int = 40) -> Column:
+    """Share of an array's trigrams that occurred before, by their 64-bit hashes; 0 below `least` words."""
+    n = F.size(w)
+    grams = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(n >= least, (n - 2 - F.size(F.array_distinct(grams))) / (n - 2)).otherwise(F.lit(0.0))
+
+
 def repetition_ratio(text: Column, least: int = 40) -> Column:
-    """Share of word trigrams that occurred before; 0 below `least` words."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    three = F.zip_with(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(w, F.lit(3), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.filter(three, lambda g: g.isNotNull())
-    return F.when(F.size(w) >= least, (F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams)).otherwise(F.lit(0.0))
+    """trigram_share of a text's words. For whole tables see repetition_ratios, which splits a text once."""
+    return trigram_share(letter_words(text), least)
+
+
+def repetition_ratios(rows: DataFrame, text: Column, name: str = "ratio", least: int = 40) -> DataFrame:
+    """rows plus the ratio; the words stand in a projection of their own, which Catalyst keeps apart, as they are used often."""
+    return rows.withColumn("words_", letter_words(text)).withColumn(name, trigram_share(F.col("words_"), least)).drop("words_")
 
 
 def reply_score(text: Column, needs_verdict: Column) -> Column:

@@ -1,6 +1,8 @@
 """Small-table state: names, stages, notes, sessions. Each function returns the new table."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,29 @@ def newest_first(rows: DataFrame, ts: str, key: str) -> DataFrame:
     return rows.orderBy(F.desc(ts), key)
 
 
+def with_text(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Notes and stashed lines that hold a text at all."""
+    return rows.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+
+
+def shown(rows: DataFrame, status: str | None = None, importance: str | None = None) -> DataFrame:
+    """Items as a list shows them: of one status, of one importance, and never suppressed ones."""
+    for column, value in (("status", status), ("importance", importance)):
+        rows = rows.where(F.col(column) == value) if value is not None else rows
+    return rows.where(~F.coalesce("suppressed", F.lit(False))) if "suppressed" in rows.columns else rows
+
+
+def activated(working: dict[str, DataFrame], draft: dict[str, DataFrame], stages: DataFrame, derived: list[str], keep: Callable[[dict[str, DataFrame]], None]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, stages) with a draft put in the working copy's place. keep is called with the working copy first, to
+    save it (see sources.export.snapshot); stages derived from it wait again for the draft's scripts."""
+    keep(working)
+    scripts = draft["elements"].select("script_id").distinct()
+    again = stages.where(F.col("stage").isin(*derived)).join(scripts, "script_id", "left_semi")
+    again = again.withColumn("status", F.lit("pending")).withColumn("detail", F.lit(None).cast("string"))
+    other = {name: rows.join(scripts, "script_id", "left_anti").unionByName(draft[name], allowMissingColumns=True) for name, rows in working.items()}
+    return other, upsert(stages, again, ["script_id", "stage"])
+
+
 def needs_rebuild(working: DataFrame, parsed: DataFrame) -> DataFrame:
     """Scripts whose parse is newer than their working copy and that have no edits. (script_id, ts[, edits])"""
     rows = parsed.select("script_id", F.col("ts").alias("parsed_ts")).join(working, "script_id", "left")

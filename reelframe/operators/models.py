@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 CATEGORIES = ["dialogue", "theme", "character", "structure", "scene_function", "principles", "reads", "setup_payoff", "dials", "coverage", "logline", "genre"]
@@ -80,16 +80,19 @@ def items(answer: object, key: str) -> list[dict]:
 
 
 def with_halving(chunk: list, call: Callable[[list], list], least: int = 1) -> Iterator[tuple[list, list, str | None]]:
-    """(part, items, error) of a chunk; a failing chunk is halved until a part of `least` fails by itself."""
-    try:
-        yield chunk, call(chunk), None
-    except Exception as error:  # a model's failure is a row's error, not the job's
-        if len(chunk) <= least:
-            yield chunk, [], f"{type(error).__name__}: {error}"
-            return
-        middle = len(chunk) // 2
-        yield from with_halving(chunk[:middle], call, least)
-        yield from with_halving(chunk[middle:], call, least)
+    """(part, items, error) of a chunk, in order; what fails is cut in two until a part of `least` fails by itself."""
+    waiting = [chunk]
+    while waiting:
+        part = waiting.pop()
+        try:
+            found, error = call(part), None
+        except Exception as e:  # a model's failure is a row's error, not the job's
+            found, error = [], f"{type(e).__name__}: {e}"
+        if error and len(part) > least:
+            half = len(part) // 2
+            waiting += [part[half:], part[:half]]
+        else:
+            yield part, found, error
 
 
 def with_retries(call: Callable[[], object], tries: int = 6, wait: float = 1.5, busy: tuple = (429, 503)) -> object:
@@ -127,6 +130,12 @@ def run_pass(rows: DataFrame, what: Pass, client_factory: Callable[[bool], objec
     return answered.withColumn("answer", F.from_json("raw", what.schema)).drop("raw")
 
 
+def with_progress(answers: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same answers, and an observation that counts them and their errors while any action runs over them."""
+    seen = Observation(name)
+    return answers.observe(seen, F.count("answer").alias("answered"), F.count("error").alias("failed")), seen
+
+
 def clean_dials(answers: DataFrame) -> DataFrame:
     """(script_id, character, trait, score, scene_refs, note): scores clamped to 1..10, unnamed entries dropped."""
     rows = answers.select("script_id", F.trim("answer.character").alias("character"), F.explode("answer.traits").alias("t")).where("character <> '' and trim(t.trait) <> '' and t.score is not null")

@@ -353,7 +353,8 @@ def stall_sessions(spark, d):
 @query
 def profile_fold(spark, d):
     text = injected(["keep it short", "go deeper", "no, I disagree"])
-    turns = table(spark, d, "conversations").select((F.col("conv_id") % 50).alias("writer"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), text.alias("text"), (F.col("turn") % 2 == 1).alias("was_probed"))
+    # writers grow with the table, so that no fold does
+    turns = table(spark, d, "conversations").select(F.floor(F.col("conv_id") / 10).cast("long").alias("writer"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), text.alias("text"), (F.col("turn") % 2 == 1).alias("was_probed"))
     return memory.profiles(turns)
 
 
@@ -385,8 +386,8 @@ def turn_kinds(spark, d):
 
 @query
 def trigram_repetition(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", context.repetition_ratio(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).alias("ratio"))
-    return rows
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return context.repetition_ratios(rows, F.regexp_replace("text", r"[^\x00-\x7F]", "x")).select("doc_id", "ratio")
 
 
 @query

@@ -140,6 +140,7 @@ SELECT session_id, seq, CASE WHEN lost THEN trim(x) || chr(10) || chr(10) || CAS
         "bullets": f"""WITH {CONV}, w AS (SELECT conv_id, turn, list_transform(string_split(line, ' '), lambda x: '- ' || x) AS b FROM c)
 SELECT conv_id, turn, CASE WHEN len(b) > 3 THEN array_to_string(b[1:3], chr(10)) || ' (more)' ELSE array_to_string(b, chr(10)) END AS text FROM w""",
         "model_passes": f"WITH {CONV} SELECT script_id, pass, count(*) AS findings, CAST(0 AS BIGINT) AS errors, CAST(sum(length(line)) AS BIGINT) AS characters FROM c, (VALUES ('dialogue'), ('theme'), ('genre')) v(pass) GROUP BY ALL",
+        "shown_items": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0",
         "trait_dials": "SELECT l_suppkey AS script_id, l_linestatus AS character, l_returnflag AS trait, CAST(greatest(1, least(10, CAST(l_quantity AS INTEGER) - 10)) AS INTEGER) AS score, count(*) AS n FROM lineitem WHERE l_linenumber <> 1 GROUP BY ALL",
         "principle_findings": "SELECT o_custkey AS script_id, 'plot_thread' AS category, 'medium' AS severity, o_orderpriority AS issue, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'F' GROUP BY ALL",
     }

@@ -209,3 +209,10 @@ def principle_findings(spark, d):
     answer = F.struct((F.col("o_orderkey") % 2 == 0).alias("significant"), (F.col("o_orderstatus") == "F").alias("paid_off"), F.col("o_orderpriority").alias("issue"), F.lit("").alias("why_it_matters"), F.array().cast("array<int>").alias("scene_refs"))
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("script_id"), answer.alias("answer"))
     return models.principle_findings(rows).groupBy("script_id", "category", "severity", "issue").agg(F.count("*").alias("n"))
+
+
+@query
+def shown_items(spark, d):
+    """Orders as open, important items with a text."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "main").otherwise("bit").alias("importance"), (F.col("o_orderkey") % 3 == 0).alias("suppressed"), F.when(F.col("o_orderkey") % 5 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("text"))
+    return manage.with_text(manage.shown(rows, "open", "main")).select("o_orderkey")
