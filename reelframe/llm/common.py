@@ -35,10 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is configured and Spark runs on one machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
