@@ -378,6 +378,36 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def letter_trigrams(text):
+    letters = [c if c.isalpha() else "" for c in text.lower()]
+    padded = ["", *letters, ""]
+    return [(padded[i], padded[i + 1], padded[i + 2]) for i in range(len(padded) - 2) if padded[i + 1]]
+
+
+def test_language_filter_decides_as_exact_sets_do(spark):
+    rows = [(i, spoken(lang, 25, i), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 15)] + [(200 + i, spoken("aa", 6, i) + " " + spoken("cc", 9, i), None) for i in range(10)] + [(300, "Σς ÄÖ 12", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(letter_trigrams(text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = {lang: {g: n / total[lang] for g, n in c.items() if n / total[lang] >= langid.LEAST} for lang, c in counts.items()}
+    most = collections.defaultdict(float)
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    sets = {lang: {g for g, x in s.items() if x >= langid.RATIO * most[g]} for lang, s in share.items()}
+    order = sorted(total, key=lambda x: (-total[x], x))
+    got = collected(langid.identify(df))
+    for i, text, _ in rows:
+        grams = letter_trigrams(text)
+        known = [sum(g in sets[lang] for g in grams) / len(grams) for lang in order]
+        best = max(range(len(order)), key=lambda k: (known[k], -k))
+        assert got[i]["score"] == pytest.approx(known[best], abs=0.01)
+        assert got[i]["lang_pred"] == order[best]
+
+
 def kneser_ney(corpus, order):
     """Interpolated modified Kneser-Ney, straight from its definition; returns the probability function."""
     counts = {order: collections.Counter(g for t in corpus for g in byte_grams(t, order))}
@@ -431,6 +461,10 @@ def test_quality(spark):
     got = collected(quality.classify(df, trusted))
     assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(5)) and not got[200]["kept"] and got[201]["kept"]
     assert quality.classify(df.limit(0), trusted).count() == 0 and quality.classify(df, trusted.limit(0)).where("kept").count() == 66
+    judges = sorted(got[i]["perplexity"] for i in range(50) if zlib.crc32(str(i).encode()) % quality.HELD_OUT == 0)
+    limit = judges[max(0, int(np.ceil(quality.QUANTILE * len(judges))) - 1)] * quality.SLACK
+    assert all(r["threshold"] == pytest.approx(limit) for r in got.values())
+    assert all(r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= limit) for r in got.values())
 
 
 def word_kneser_ney(texts, order):
