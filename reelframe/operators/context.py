@@ -261,3 +261,66 @@ def fuzzy_rank(labels: DataFrame, query: str, label: str) -> DataFrame:
     done = F.aggregate(letters, start, step)
     score = F.when(F.contains(low, F.lit(q)), 100 + len(q) - F.char_length(label)).when(done["at"] == len(q), done["score"])
     return labels.withColumn("match_score", score).where("match_score is not null")
+
+
+def quoted(scene: Column, text: Column, longest: int = 4000) -> Column:
+    """A passage that the writer points at: struct<scene_number, text>, scenes from 1, at most `longest` characters; null if blank."""
+    clean = F.trim(text)
+    return F.when(clean != "", F.struct(F.when(scene.isNotNull(), F.greatest(scene, F.lit(1))).alias("scene_number"), F.substring(clean, 1, longest).alias("text")))
+
+
+def compact_summary(scripts: DataFrame, findings: DataFrame, coverage: DataFrame, formatting: DataFrame) -> DataFrame:
+    """(script_id, summary): coverage, every finding and formatting notes of each script as a dense text; one line if it has none.
+
+    coverage: (script_id, recommendation, logline, genre, tone, strengths, weaknesses); findings with an optional
+    verification; formatting: (script_id, finding_index, message).
+    """
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")))
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "; ")
+    head = coverage.select("script_id", F.concat_ws(
+        "\n", field("Coverage", F.upper("recommendation")), field("Logline", F.col("logline")), field("Genre and tone", F.concat_ws(" / ", "genre", "tone")),
+        field("Strengths", listed(F.col("strengths"))), field("Weaknesses", listed(F.col("weaknesses")))).alias("head"))
+    places = F.array_join(F.transform("scene_refs", lambda n: F.concat(F.lit("Scene "), n.cast("string"))), ", ")
+    lost = F.coalesce(F.col("verification.status") == "not_found", F.lit(False)) if "verification" in findings.columns else F.lit(False)
+    line = F.concat(F.lit("- ("), "category", F.lit(", "), "severity", F.lit(") "), F.when(F.size("scene_refs") > 0, places).otherwise("General"), F.lit(": "), "issue",
+                    F.when(F.coalesce("why_it_matters", F.lit("")) != "", F.concat(F.lit("; "), "why_it_matters")).otherwise(""), F.when(lost, " [quote not found]").otherwise(""))
+    of = lambda rows, text, name: rows.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finding_index", text.alias("t")))), lambda x: x["t"]), "\n").alias(name))
+    rows = scripts.select("script_id").join(head, "script_id", "left").join(of(findings, line, "found"), "script_id", "left")
+    rows = rows.join(of(formatting, F.concat(F.lit("- "), "message"), "notes"), "script_id", "left")
+    parts = F.concat_ws("\n\n", "head", F.concat(F.lit("Findings:\n"), "found"), F.concat(F.lit("Formatting:\n"), "notes"))
+    return rows.select("script_id", F.when(parts == "", "(no report)").otherwise(parts).alias("summary"))
+
+
+def script_maps(presence: DataFrame, most: int = CAST) -> DataFrame:
+    """(script_id, map): the leading cast of each script with their scenes, a line each."""
+    known = presence.groupBy("script_id", "character").agg(F.array_sort(F.collect_set("scene_number")).alias("at"))
+    rows = leading_cast(presence, most).join(known, ["script_id", "character"])
+    line = F.concat("character", F.lit(": "), F.array_join(F.transform("at", lambda n: n.cast("string")), ", "))
+    return rows.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cast_rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("map"))
+
+
+def chat_prompts(messages: DataFrame, maps: DataFrame, summaries: DataFrame, blocks: DataFrame, keys: list[str], order: str, n: int = HISTORY) -> DataFrame:
+    """(script_id, text_id, text): what the pass chat reads for each turn of the writer, its parts in this order: the script's
+    map, its report's summary, the scenes referred to, scenes asked for that it lacks, the last n messages, the
+    quoted passage, the turn itself. Parts that are missing are left out.
+
+    messages: (keys, script_id, text_id, order, role, text, quote); blocks: see scene_blocks.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
+    rows = messages.withColumn("earlier_", F.array_join(F.collect_list(F.concat("role", F.lit(": "), "text")).over(before), "\n")).where("role = 'user'")
+    rows = rows.join(maps, "script_id", "left").join(summaries, "script_id", "left").join(blocks, ["script_id", "text_id"], "left")
+    place = F.coalesce(F.concat(F.lit(" from scene "), F.col("quote.scene_number").cast("string")), F.lit(""))
+    titled = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{title}:\n"), c))
+    lacks = F.array_join(F.transform("missing", lambda x: x.cast("string")), ", ")
+    prompt = F.concat_ws(
+        "\n\n", titled("Cast", F.col("map")), titled("Report", F.col("summary")), F.when(F.col("block") != "", F.col("block")), titled("No such scenes", lacks), titled("Earlier", F.col("earlier_")),
+        F.concat(F.lit("Quoted"), place, F.lit(":\n"), F.col("quote.text")), titled("Writer", F.col("text")))
+    return rows.select("script_id", "text_id", prompt.alias("text"))
+
+
+def finished_replies(replies: DataFrame, scenes: DataFrame, nudges: list[str], order: str) -> DataFrame:
+    """Replies (script_id, text_id, session_id, text, order) as the writer sees them: cleaned, with an admission where they name
+    a scene that the script lacks, and with a nudge where they lead nowhere."""
+    rows = ungrounded(replies.withColumn("text", cleaned_reply(F.col("text"))), scenes)
+    flag = F.concat(F.rtrim("text"), F.lit("\n\n(I named scene "), F.col("unknown_scene").cast("string"), F.lit(", but this script has no such scene. Which one do you mean?)"))
+    return nudged(rows.withColumn("text", F.when(F.col("unknown_scene").isNotNull(), flag).otherwise(F.col("text"))), nudges, order)

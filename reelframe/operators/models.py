@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from . import findings
+
 CATEGORIES = ["dialogue", "theme", "character", "structure", "scene_function", "principles", "reads", "setup_payoff", "dials", "coverage", "logline", "genre"]
 OVERVIEW = {"theme", "character", "structure", "scene_function", "reads", "setup_payoff", "dials", "coverage"}
 NEEDS = {"genre": "coverage", "logline": "coverage", **{c: "overview" for c in OVERVIEW}}
@@ -41,11 +43,11 @@ PASSES = {
         Pass("dialogue", "Find weak dialogue and quote it.", FINDING, "findings", 1200, False, 3),
         *[Pass(c, f"Find problems of {c.replace('_', ' ')} and quote the text.", FINDING, "findings", 1500) for c in ("theme", "character", "structure", "scene_function")],
         Pass("principles", "Is this planted element significant, and is it paid off?", "candidate string, significant boolean, paid_off boolean, issue string, why_it_matters string, scene_refs array<int>", "judgments", 500),
-        Pass("reads", "Describe what each character wants and does, with a quote.", "character string, read string, evidence_quote string, scene_refs array<int>", "reads", 1200, True),
-        Pass("setup_payoff", "List setups and whether they pay off.", "setup string, status string, setup_scene int, payoff_scene int, scene_refs array<int>, note string", "entries", 2000),
+        Pass("reads", "Describe what each character wants and does, with a quote.", "character string, how_reads string, apparent_intent string, gap string, evidence_quote string, scene_refs array<int>", "reads", 1200, True),
+        Pass("setup_payoff", "List setups and whether they pay off.", "setup string, kind string, setup_scenes array<int>, payoff_scenes array<int>, status string, note string", "ledger", 2000),
         Pass("dials", "Score each character from 1 to 10 between the poles.", "character string, traits array<struct<trait:string,score:int,scene_refs:array<int>,note:string>>", "dials", 1800),
-        Pass("coverage", "Write a reader's coverage.", "logline string, genre string, synopsis string, strengths array<string>, weaknesses array<string>, verdict string", "coverage", 900),
-        Pass("logline", "Test the logline.", "score int, problems array<string>, rewrite string", "logline", 700, True),
+        Pass("coverage", "Write a reader's coverage.", "recommendation string, logline string, genre string, tone string, synopsis string, strengths array<string>, weaknesses array<string>", "coverage", 900),
+        Pass("logline", "Test the logline.", "signal string, what_works string, what_muddles string, missing string, tightened string", "logline", 700, True),
         Pass("genre", "Check the genre's conventions.", FINDING, "findings", 1200),
         Pass("rewrite", "Propose line replacements for the scene.", "old string, new string", "replacements", 1500),
         Pass("chat", "Answer the writer.", "reply string", "reply", 600),
@@ -162,3 +164,78 @@ def conventions(reports: DataFrame, table: DataFrame, default: str = "drama") ->
     every = known.groupBy().agg(F.collect_list(F.struct("known", "order", "conventions")).alias("all"))
     rows = reports.select("script_id", F.coalesce("genre", F.lit("")).alias("genre")).join(every).select("script_id", "genre", F.inline("all"))
     return rows.withColumn("rank", rank).where("rank is not null").groupBy("script_id", "genre").agg(F.max_by("known", F.struct("rank", -F.col("order"))).alias("matched"), F.max_by("conventions", F.struct("rank", -F.col("order"))).alias("conventions"))
+
+
+def in_order(rows: DataFrame, at: list[str], line: Column, name: str, separator: str = "\n") -> DataFrame:
+    """(script_id, name): the lines of each script, ordered by `at`, as one text."""
+    listed = F.array_sort(F.collect_list(F.struct(*at, line.alias("line_"))))
+    return rows.groupBy("script_id").agg(F.array_join(F.transform(listed, lambda x: x["line_"]), separator).alias(name))
+
+
+def overviews(summaries: DataFrame) -> DataFrame:
+    """(script_id, text): what passes over a whole script read, from (script_id, scene_number, summary)."""
+    return in_order(summaries.where("summary <> ''"), ["scene_number"], F.concat(F.lit("Scene "), F.col("scene_number").cast("string"), F.lit(": "), F.col("summary")), "text")
+
+
+def seeds(props: DataFrame, promises: DataFrame, cut: int = 120) -> DataFrame:
+    """(script_id, seeds): what the ledger starts from, a line each: objects by mentions, then promises in order.
+
+    props: (script_id, phrase, mentions, scenes array<int>); promises: (script_id, scene_number, element_index,
+    character, text), of which the first `cut` characters are shown.
+    """
+    place = lambda kind, a, b, c: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.alias("c")).alias("at")
+    scenes = F.array_join(F.transform("scenes", lambda n: F.concat(F.lit("S"), n.cast("string"))), ", ")
+    things = props.select("script_id", place(0, -F.col("mentions"), F.lit(0), F.col("phrase")), F.concat(F.lit("- object "), F.col("phrase"), F.lit(" in "), scenes).alias("line"))
+    head = F.substring(F.trim("text"), 1, cut)
+    said = promises.select("script_id", place(1, F.col("scene_number"), F.col("element_index"), F.lit("")), F.concat(F.lit("- promise of "), F.col("character"), F.lit(" in S"), F.col("scene_number").cast("string"), F.lit(": "), head).alias("line"))
+    return in_order(things.unionByName(said), ["at"], F.col("line"), "seeds")
+
+
+def ledger_input(overview: DataFrame, seeds_: DataFrame) -> DataFrame:
+    """(script_id, text): an overview with its seeds, for the pass setup_payoff. A script without seeds says so."""
+    return overview.join(seeds_, "script_id", "left").select("script_id", F.concat("text", F.lit("\n\nCandidates:\n"), F.coalesce("seeds", F.lit("(none)"))).alias("text"))
+
+
+def ledger_entries(answers: DataFrame, limit: int = 12) -> DataFrame:
+    """The ledger of each script from the pass's answers: entries without a setup go, an unknown status is dangling, open
+    entries come first, at most `limit` a script stay."""
+    a = answers.where("trim(answer.setup) <> ''")
+    known = F.coalesce(F.col("answer.status").isin("paid", "dangling", "abandoned", "red_herring"), F.lit(False))
+    payoff = F.filter(F.coalesce("answer.payoff_scenes", F.array().cast("array<int>")), lambda n: n.isNotNull())
+    rows = a.select(
+        "script_id", F.col("item_index").alias("entry_index"), F.substring(F.trim("answer.setup"), 1, 200).alias("setup"), F.coalesce("answer.kind", F.lit("other")).alias("kind"),
+        F.filter(F.coalesce("answer.setup_scenes", F.array().cast("array<int>")), lambda n: n.isNotNull()).alias("setup_scenes"), F.when(F.size(payoff) > 0, payoff).alias("payoff_scenes"),
+        F.when(known, F.col("answer.status")).otherwise("dangling").alias("status"), F.substring(F.trim(F.coalesce("answer.note", F.lit(""))), 1, 400).alias("note"),
+    )
+    return findings.ledger(rows, limit)
+
+
+def reads_input(overview: DataFrame, cast: DataFrame) -> DataFrame:
+    """(script_id, text): an overview with the leading characters (see context.leading_cast); scripts without any are not read."""
+    names = in_order(cast, ["cast_rank"], F.col("character"), "names", ", ")
+    return overview.join(names, "script_id").select("script_id", F.concat("text", F.lit("\n\nCharacters: "), "names").alias("text"))
+
+
+def verified_reads(answers: DataFrame, elements: DataFrame) -> DataFrame:
+    """Reads of named characters with their quotes looked up in the script, as those of findings are."""
+    rows = answers.where("trim(answer.character) <> ''").select("script_id", F.col("item_index").alias("finding_index"), "answer.*")
+    rows = rows.withColumn("scene_refs", F.coalesce("scene_refs", F.array().cast("array<int>")))
+    return findings.verify(rows, elements)
+
+
+def coverage_of(answers: DataFrame) -> DataFrame:
+    """One coverage a script: its first answer."""
+    first = F.row_number().over(Window.partitionBy("script_id").orderBy("item_index"))
+    return answers.where("answer is not null").withColumn("n_", first).where("n_ = 1").select("script_id", "answer.*")
+
+
+def logline_input(coverage: DataFrame, overview: DataFrame) -> DataFrame:
+    """(script_id, text): the coverage's logline over the overview; scripts without a logline are not tested."""
+    asked = coverage.where("trim(logline) <> ''").select("script_id", F.trim("logline").alias("logline"))
+    return asked.join(overview, "script_id").select("script_id", F.concat(F.lit("Logline: "), "logline", F.lit("\n\n"), "text").alias("text"))
+
+
+def genre_input(coverage: DataFrame, overview: DataFrame, table: DataFrame, default: str = "drama") -> DataFrame:
+    """(script_id, text): the conventions of the coverage's genre over the overview."""
+    known = conventions(coverage.select("script_id", "genre"), table, default)
+    return known.join(overview, "script_id").select("script_id", F.concat(F.lit("Conventions of "), "matched", F.lit(": "), "conventions", F.lit("\n\n"), "text").alias("text"))

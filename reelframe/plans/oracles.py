@@ -1,6 +1,7 @@
 """DuckDB SQL for the driver queries that SQL can express, over the same tables."""
 from __future__ import annotations
 
+from .assembly_oracles import assembly_oracles
 from .script_oracles import script_oracles
 
 WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
@@ -138,7 +139,7 @@ SELECT item_id, min(doc_id) AS found_at FROM q JOIN d ON contains(body, q) WHERE
     "language_remarks": """SELECT conv_id, count(*) AS kept FROM conversations WHERE turn % 4 > 1 GROUP BY conv_id""",
     "overlay_merge": """WITH r AS (SELECT doc_id % 10 AS script_id, doc_id % 7 AS pass, doc_id, quality FROM labels), f AS (SELECT * FROM r WHERE doc_id % 2 = 1)
 SELECT script_id, pass, doc_id, quality, false AS is_fresh FROM r WHERE doc_id % 2 = 0 AND (script_id, pass) NOT IN (SELECT (script_id, pass) FROM f WHERE pass < 3) UNION ALL SELECT script_id, pass, doc_id, quality, true FROM f""",
-    "ledger_antijoin": r"""WITH b AS (SELECT item_id, substr(lower(text), 1, 40) AS h FROM benchmark) SELECT item_id FROM b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), h) AND len(string_split_regex(trim(h), '\s+')) >= 3)""",
+    "ledger_antijoin": r"""WITH b AS (SELECT item_id, substr(lower(text), 1, 40) AS h FROM benchmark) SELECT item_id FROM b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), h))""",
     "draft_diff": """WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 2 THEN 'X' ELSE s END AS s, p FROM o WHERE o_orderkey % 7 <> 1)
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.s IS DISTINCT FROM b.s OR a.p IS DISTINCT FROM b.p THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",
     "presence_diff": """WITH o AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
@@ -151,8 +152,8 @@ SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY CASE severity WHEN
 a AS (SELECT s_nationkey, l_suppkey, scenes, lines, total, CAST(sum(lines) OVER (PARTITION BY s_nationkey) AS BIGINT) AS all_lines FROM o JOIN t USING (s_nationkey))
 SELECT *, CASE WHEN scenes::DOUBLE / total >= 0.25::DOUBLE OR lines::DOUBLE / all_lines >= 0.15::DOUBLE THEN 'main' WHEN scenes::DOUBLE / total >= 0.08::DOUBLE THEN 'supporting' ELSE 'bit' END AS importance FROM a""",
     "rule_stats": """SELECT 'total' AS dimension, 'all' AS value, count(*) AS rules FROM part UNION ALL SELECT 'tier', p_brand, count(*) FROM part GROUP BY p_brand UNION ALL SELECT 'level', p_type, count(*) FROM part GROUP BY p_type""",
-    "rule_lookup": """WITH m(category, level) AS (VALUES ('building', 'ECONOMY'), ('machinery', 'SMALL'), ('furniture', 'LARGE'), ('furniture', 'PROMO')), r AS (SELECT category, CAST(p_partkey AS VARCHAR) AS applicable_rule FROM m JOIN part ON p_type = level WHERE p_size = 1)
-SELECT c_custkey, lower(c_mktsegment) AS category, applicable_rule FROM customer LEFT JOIN r ON r.category = lower(c_mktsegment) WHERE c_custkey % 50 = 0""",
+    "rule_lookup": """WITH m(category, level) AS (VALUES ('building', 'ECONOMY'), ('machinery', 'SMALL'), ('furniture', 'LARGE'), ('furniture', 'PROMO')), r AS (SELECT category, CAST(p_partkey AS VARCHAR) AS applicable_rule FROM m JOIN part ON p_type = level)
+SELECT lower(c_mktsegment) AS category, applicable_rule, count(*) AS customers, CAST(min(c_custkey) AS BIGINT) AS first_customer, CAST(max(c_custkey) AS BIGINT) AS last_customer FROM customer LEFT JOIN r ON r.category = lower(c_mktsegment) GROUP BY ALL""",
     "rule_lookup_whole": """WITH m(category, level) AS (VALUES ('building', 'ECONOMY'), ('machinery', 'SMALL'), ('furniture', 'LARGE'), ('furniture', 'PROMO')), r AS (SELECT category, p_partkey FROM m JOIN part ON p_type = level)
 SELECT c_custkey, lower(c_mktsegment) AS category, count(p_partkey) AS rules, CAST(min(p_partkey) AS BIGINT) AS first_rule, CAST(max(p_partkey) AS BIGINT) AS last_rule FROM customer LEFT JOIN r ON r.category = lower(c_mktsegment) GROUP BY ALL""",
     "beat_board": f"""WITH {E}, s AS (SELECT script_id, scene_number, CAST(sum(n) AS BIGINT) AS words, count(*) FILTER (type = 'action') AS note_count FROM w GROUP BY ALL),
@@ -186,4 +187,4 @@ def oracles() -> dict[str, str]:
     from ..functions.text import STOP_WORDS
 
     stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
-    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()} | script_oracles()
+    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()} | script_oracles() | assembly_oracles()

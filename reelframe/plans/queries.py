@@ -9,7 +9,7 @@ from ..functions.text import ascii_word_count, normalised, ratio_udf, windowed_r
 from ..operators import context, craft, drafts, findings, graph, memory, rules, stats, structure, tracks
 from ..sources import export, screenplay
 from ..streaming.jobs import sessions
-from . import scripts, state  # noqa: F401  their queries register themselves
+from . import assembly, scripts, state  # noqa: F401  their queries register themselves
 from .adapters import elements, generated_scripts, headings, lines_of_speech, orders_cast, presence, scenes, table, text_lines
 from .registry import QUERIES, exact, injected, query
 
@@ -308,11 +308,12 @@ def rule_stats(spark, d):
 
 @query
 def rule_lookup(spark, d):
+    """Rules of every customer, from every part; the customers of each rule are counted after the join."""
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("taxonomy_level"), F.col("p_brand").alias("category"))
     asked = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("category"))
     levels = {"building": ["ECONOMY"], "machinery": ["SMALL"], "furniture": ["LARGE", "PROMO"]}
-    out = rules.for_findings(asked.where("c_custkey % 50 = 0"), parts.where("p_size = 1"), levels)
-    return out.select("c_custkey", "category", "applicable_rule")
+    out = rules.for_findings(asked, parts, levels)
+    return out.groupBy("category", "applicable_rule").agg(F.count("*").alias("customers"), F.min("c_custkey").cast("long").alias("first_customer"), F.max("c_custkey").cast("long").alias("last_customer"))
 
 
 @query

@@ -82,12 +82,48 @@ def script_json(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.select("script_id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def markdown_report(findings: DataFrame, report: DataFrame) -> DataFrame:
-    """(script_id, markdown): figures, then every category's findings in input order."""
+def section(rows: DataFrame, place: int, title: str, line: Column, *at: str) -> DataFrame:
+    """(script_id, place, body): a titled part of each script's report, its lines ordered by `at`."""
+    listed = F.array_sort(F.collect_list(F.struct(*at, line.alias("line"))))
+    return rows.groupBy("script_id").agg(F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n")).alias("body")).withColumn("place", F.struct(F.lit(place).alias("part"), F.lit(0).cast("long").alias("at")))
+
+
+def named_fields(*fields: tuple[str, Column]) -> Column:
+    """A line a field that has a value."""
+    return F.concat_ws("\n", *[F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"**{name}:** "), value)) for name, value in fields])
+
+
+def scene_list(scenes: Column, otherwise: str) -> Column:
+    return F.when(F.size(F.coalesce(scenes, F.array().cast("array<int>"))) > 0, F.array_join(F.transform(scenes, lambda n: F.concat(F.lit("scene "), n.cast("string"))), ", ")).otherwise(otherwise)
+
+
+def markdown_report(
+    findings: DataFrame, report: DataFrame, coverage: DataFrame | None = None, logline: DataFrame | None = None, reads: DataFrame | None = None, entries: DataFrame | None = None,
+    drags: DataFrame | None = None, dials: DataFrame | None = None, formatting: DataFrame | None = None, verification: DataFrame | None = None,
+) -> DataFrame:
+    """(script_id, markdown): figures, then what is given of coverage, logline test, reads, every category's findings in input
+    order, ledger, drags, dials, formatting and the count of verified quotes. A script has the sections it has rows for."""
     mark = F.when(F.col("verification.status") == "verified", "").when(F.col("verification.status") == "not_found", " (quote not found)").otherwise("") if "verification" in findings.columns else F.lit("")
     line = F.concat(F.lit("- **"), F.col("severity"), F.lit("** "), F.col("issue"), mark, F.when(F.col("evidence_quote") != "", F.concat(F.lit("\n  > "), F.col("evidence_quote"))).otherwise(""))
-    part = findings.groupBy("script_id", "category").agg(F.min("finding_index").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finding_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    body = part.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.col("body")).alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
+    part = findings.groupBy("script_id", "category").agg(F.min("finding_index").cast("long").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finding_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    parts = part.select("script_id", F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.col("body")).alias("body"), F.struct(F.lit(4).alias("part"), "at").alias("place"))
+    listed = lambda c: F.array_join(F.col(c), "; ")
+    found = lambda: F.when(F.col("verification.status") == "verified", "").otherwise(" (quote not found)")
+    noted = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("; "), F.col("note"))).otherwise("")
+    given = [
+        (coverage, 1, "Coverage", lambda: named_fields(("Recommendation", F.upper("recommendation")), ("Logline", F.col("logline")), ("Genre", F.col("genre")), ("Tone", F.col("tone")), ("Synopsis", F.col("synopsis")), ("Strengths", listed("strengths")), ("Weaknesses", listed("weaknesses"))), []),
+        (logline, 2, "Logline", lambda: named_fields(("Signal", F.upper("signal")), ("Works", F.col("what_works")), ("Muddles", F.col("what_muddles")), ("Missing", F.col("missing")), ("Tightened", F.col("tightened"))), []),
+        (reads, 3, "Characters", lambda: F.concat(F.lit("- **"), "character", F.lit("** "), F.coalesce("how_reads", F.lit("")), F.when(F.col("evidence_quote") != "", F.concat(F.lit("\n  > "), F.col("evidence_quote"), found())).otherwise("")), ["finding_index"]),
+        (entries, 5, "Setups and payoffs", lambda: F.concat(F.lit("- **"), "status", F.lit("** "), "setup", F.lit(" ("), scene_list(F.col("setup_scenes"), "general"), F.lit("; payoff: "), scene_list(F.col("payoff_scenes"), "never"), F.lit(")"), noted), ["queue_rank"]),
+        (drags, 6, "Pace", lambda: F.concat(F.lit("- scene "), F.col("scene_number").cast("string"), F.lit(": "), F.round("pace_score").cast("int").cast("string"), F.lit(" of 100")), ["scene_number"]),
+        (dials, 7, "Dials", lambda: F.concat(F.lit("- "), "character", F.lit(", "), "trait", F.lit(": "), F.col("score").cast("string"), F.lit(" of 10"), noted), ["character", "trait"]),
+        (formatting, 8, "Formatting", lambda: F.concat(F.lit("- **"), "severity", F.lit("** "), scene_list(F.col("scene_refs"), "general"), F.lit(": "), "message"), ["finding_index"]),
+        (verification, 9, "Quotes", lambda: F.concat(*[x for s in ("verified", "not_found", "no_quote", "scene_not_found") for x in (F.lit(f"{'' if s == 'verified' else ', '}{s.replace('_', ' ')} "), F.col(s).cast("string"))]), []),
+    ]
+    for rows, place, title, text, at in given:
+        if rows is not None:
+            parts = parts.unionByName(section(rows, place, title, text(), *at))
+    body = parts.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), "\n\n").alias("body"))
     head = F.concat(F.lit("# Report\n\nScenes: "), F.coalesce(F.col("scene_count").cast("string"), F.lit("0")), F.lit("\nMinutes: "), F.coalesce(F.col("runtime_minutes").cast("string"), F.lit("0")), F.lit("\n\n"))
     return report.join(body, "script_id", "left").select("script_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("markdown"))
 
