@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 U64 = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: later jobs prune columns and
-    row groups, which a checkpoint cannot."""
+    row groups, which a checkpoint cannot. The shuffle files of the write go when it ends, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,7 +79,7 @@ def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols:
     for k in range(order - 1, 0, -1):
         adjusted[k] = written(adjusted[k + 1].groupBy(drop_first("g", k + 1).alias("g")).agg(F.count("*").alias("n")), "counts")
     symbols = symbols or adjusted[1].count() + 1
-    lower, tables = None, []
+    lower, tables, spent = None, [], list(adjusted.values())
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(adjusted[k])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -93,6 +93,7 @@ def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols:
             rows = rows.withColumn("s", drop_first("g", k)).join(below, "s")
         p = (F.col("n") - cut) / F.col("total") + F.col("back") * F.col("low")
         lower = written(rows.select("g", p.alias("p")), "order")
+        spent.append(lower)
         # `contexts` of order k + 1 are n-grams of order k
         if k > 1:
             back = contexts.select(F.col("c").alias("g"), "back")
@@ -104,7 +105,10 @@ def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols:
     out = root
     for k, t in enumerate(tables, 1):
         out = out.unionByName(t.select(F.lit(k).alias("k"), "g", "p", "back"))
-    return written(out, "model")
+    out = written(out, "model")
+    for t in spent:
+        remove(t)
+    return out
 
 
 class Table:
@@ -279,10 +283,12 @@ def score_words(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: s
     root = model.where("k = 0").select(F.log("p").alias("p"), F.log("back").alias("back")).first() or {"p": 0.0, "back": 0.0}
     rows = keyed.where("text is not null").select("row", "text").mapInArrow(run, "row long, g binary, n long")
     sums = lambda d, n, log: written(d.groupBy("row").agg(F.sum(n).alias("n"), F.sum(F.col("n") * log).alias("log")), "sums")
-    parts = []
+    parts, above = [], None
     for k in range(order, 0, -1):
         here = model.where((F.col("k") == k) & F.col("p").isNotNull()).select("g", F.log("p").alias("found"))
         met = written(rows.join(here.hint("merge"), "g", "left"), "met")
+        if above is not None:
+            remove(above)
         parts.append(sums(met.where("found is not null"), F.col("n"), F.col("found")))
         missed = met.where("found is null").select("row", "g", "n")
         if k > 1:
@@ -293,8 +299,9 @@ def score_words(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: s
         missed = written(missed.select("row", drop_first("g", k).alias("g"), "n", F.coalesce("lost", F.lit(0.0)).alias("lost")), "missed")
         remove(met)
         parts.append(sums(missed, F.lit(0), F.col("lost")))
-        rows = missed.groupBy("row", "g").agg(F.sum("n").alias("n"))
+        rows, above = missed.groupBy("row", "g").agg(F.sum("n").alias("n")), missed
     total = sums(rows, F.col("n"), F.lit(root["p"]).cast("double"))
+    remove(above)
     for part in parts:
         total = total.unionByName(part)
     total = total.groupBy("row").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
@@ -320,6 +327,7 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     # the same plan at every size: what is trusted grows with the corpus, so it is never broadcast
     model = train(count_words(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order, WORDS, None)
     scores = written(score_words(docs, model, order, id_col, text_col, lang_col), "scores")
+    remove(model)
     good = scores.join(judges, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
     limits = good.groupBy("lang").agg(at.alias("own"))
