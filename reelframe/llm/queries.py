@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, neighbours, packing, quality, sharding, simhash, substrings, suffixes, windows
+from . import bpe, embeddings, langid, neighbours, packing, quality, repetition, sharding, simhash, substrings, suffixes, trie, whitening, windows
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,19 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest_of(suffixes.deduplicate(table(spark, sf_dir, "documents"), size=50))
 
 
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repetition.filter_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversations_trie(table(spark, sf_dir, "conversations"), grafts=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
 def queries() -> dict:
-    found = [op1_bpe, op2_simhash, op3_language, op4_embedding_dedup, op5_neighbours, op6_shards, op7_quality, op8_substrings, op9_packing, op10_suffixes]
+    found = [op1_bpe, op2_simhash, op3_language, op4_embedding_dedup, op5_neighbours, op6_shards, op7_quality, op8_substrings, op9_packing, op10_suffixes, op11_repetition, op12_prefix_trie, op13_whitening]
     return {f.__name__: f for f in found}
