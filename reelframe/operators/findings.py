@@ -160,6 +160,9 @@ def severity_weight(severity: Column) -> Column:
 
 
 def ranked(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """rows plus queue_rank within keys. Rows that `order` leaves level follow each other by their other columns, from the
+    first to the last, so that only equal rows can change places."""
+    order = [*order, *(F.col(f.name) for f in rows.schema if f.name not in keys and "map<" not in f.dataType.simpleString())]
     return rows.withColumn("queue_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 

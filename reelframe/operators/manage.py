@@ -33,10 +33,11 @@ def unique_names(uploads: DataFrame, taken: DataFrame | None = None) -> DataFram
 
 
 def set_stage(stages: DataFrame, changes: DataFrame) -> DataFrame:
-    """The latest status of each (script_id, stage); changes with a later ts win."""
+    """The latest status of each (script_id, stage); changes with a later ts win, of one ts the greatest (status, detail)."""
     columns = ["script_id", "stage", "status", "detail", "ts"]
     rows = stages.select(*columns).unionByName(changes.select(*columns))
-    return rows.groupBy("script_id", "stage").agg(*[F.max_by(c, "ts").alias(c) for c in columns[2:4]], F.max("ts").alias("ts"))
+    latest = rows.groupBy("script_id", "stage").agg(F.max(F.struct("ts", "status", "detail")).alias("p"))
+    return latest.select("script_id", "stage", "p.status", "p.detail", "p.ts")
 
 
 def outstanding(requested: DataFrame, stages: DataFrame) -> DataFrame:

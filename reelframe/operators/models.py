@@ -112,24 +112,37 @@ def with_retries(call: Callable[[], object], tries: int = 6, wait: float = 1.5,
 def run_pass(rows: DataFrame, what: Pass, client_factory: Callable[[bool], object], keys: list[str], text: str = "text", language: str = "eng", wait: float = 1.5) -> DataFrame:
     """(keys[0], item_index, error, answer struct): the pass over rows, chunked within each group.
 
-    rows has a `chunk` column (see context.chunks) or is taken row by row. Rows of a chunk come together in one
-    Arrow group; groups run in parallel.
+    rows has a `chunk` column (see context.chunks) or is taken row by row, where it lies. Rows of a chunk come together in
+    one Arrow group; chunks run in parallel. item_index counts a group's answers from 0, by chunk (by keys[1:], where there
+    is none) and by their order within it, so answers keep the order of the script that was read in several parts.
     """
-    group = keys[0]
-    chunked = rows if "chunk" in rows.columns else rows.withColumn("chunk", F.monotonically_increasing_id())
-    kind = dict(rows.dtypes)[group]
+    group, at = keys[0], ["chunk"] if "chunk" in rows.columns else keys[1:]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (group, *at)] + ["part long", "place int", "error string", "raw string"])
 
-    def call(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        client = client_factory(what.fast)
-        texts = pdf.sort_values(keys[1:])[text].tolist() if keys[1:] else pdf[text].tolist()
-        out = []
+    def answers(texts: list[str]) -> list[tuple]:
+        client, out = client_factory(what.fast), []
         ask = lambda part: items(with_retries(lambda: client.chat_json(f"{what.instruction} Answer in {language}.", "\n\n".join(part), what.schema), wait=wait), what.key)
         for _, found, error in with_halving(texts, ask):
-            out += [(key[0], len(out) + i, None, json.dumps(x)) for i, x in enumerate(found)] if error is None else [(key[0], len(out), error, None)]
-        return pd.DataFrame(out, columns=[group, "item_index", "error", "raw"])
+            out += [(len(out) + i, None, json.dumps(x)) for i, x in enumerate(found)] if error is None else [(len(out), error, None)]
+        return out
+
+    def chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = pdf.sort_values(keys[1:])[text].tolist() if keys[1:] else pdf[text].tolist()
+        return pd.DataFrame([(*key, 0, *x) for x in answers(texts)], columns=[group, *at, "part", "place", "error", "raw"])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(*row[:-1], *x) for row in pdf[[group, *at, "part", text]].itertuples(index=False) for x in answers([row[-1]])]
+            yield pd.DataFrame(found, columns=[group, *at, "part", "place", "error", "raw"])
 
-    answered = chunked.select(group, *keys[1:], "chunk", text).groupBy(group, "chunk").applyInPandas(call, f"`{group}` {kind}, item_index int, error string, raw string")
-    return answered.withColumn("answer", F.from_json("raw", what.schema)).drop("raw")
+    if at == ["chunk"]:
+        answered = rows.select(group, *keys[1:], "chunk", text).groupBy(group, "chunk").applyInPandas(chunk, schema)
+    else:
+        answered = rows.select(group, *at, F.monotonically_increasing_id().alias("part"), text).mapInPandas(each, schema)
+    order = Window.partitionBy(group).orderBy(*at, "part", "place", "raw")
+    numbered = answered.withColumn("item_index", F.row_number().over(order) - 1)
+    return numbered.select(group, "item_index", "error", F.from_json("raw", what.schema).alias("answer"))
 
 
 def with_progress(answers: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -224,8 +237,8 @@ def verified_reads(answers: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def coverage_of(answers: DataFrame) -> DataFrame:
-    """One coverage a script: its first answer."""
-    first = F.row_number().over(Window.partitionBy("script_id").orderBy("item_index"))
+    """One coverage a script: its first answer; of several that are numbered alike the least."""
+    first = F.row_number().over(Window.partitionBy("script_id").orderBy("item_index", "answer"))
     return answers.where("answer is not null").withColumn("n_", first).where("n_ = 1").select("script_id", "answer.*")
 
 

@@ -30,10 +30,14 @@ def stats(rules: DataFrame) -> DataFrame:
 
 def for_findings(findings: DataFrame, rules: DataFrame, levels: dict[str, list[str]] = CATEGORY_LEVELS) -> DataFrame:
     """findings with the rules of their category's levels; deterministic passes' own rule ids have none, so a left join."""
-    spark = findings.sparkSession
-    pairs = spark.createDataFrame([(c, x) for c, xs in levels.items() for x in xs], "category string, taxonomy_level string")
-    chosen = pairs.join(rules.withColumnRenamed("category", "rule_category").withColumnRenamed("id", "applicable_rule"), "taxonomy_level")
-    return findings.join(chosen.select("category", "applicable_rule", "taxonomy_level"), "category", "left")
+    return findings.join(of_categories(rules, levels), "category", "left")
+
+
+def of_categories(rules: DataFrame, levels: dict[str, list[str]] = CATEGORY_LEVELS) -> DataFrame:
+    """(category, applicable_rule, taxonomy_level): the rules that speak to each finding category."""
+    pairs = rules.sparkSession.createDataFrame([(c, x) for c, xs in levels.items() for x in xs], "category string, taxonomy_level string")
+    named = rules.withColumnRenamed("category", "rule_category").withColumnRenamed("id", "applicable_rule")
+    return pairs.join(named, "taxonomy_level").select("category", "applicable_rule", "taxonomy_level")
 
 
 def fragment(rules: DataFrame) -> DataFrame:

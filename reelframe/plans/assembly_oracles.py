@@ -42,7 +42,7 @@ g AS (SELECT k, {lines('line', 'kind, a, b, c')} AS s FROM s WHERE k % 3 <> 0 GR
 SELECT k AS script_id, t || {NL} || {NL} || 'Candidates:' || {NL} || coalesce(s, '(none)') AS text FROM o LEFT JOIN g USING (k)""",
         "ledger_entries": """WITH e AS (SELECT l_suppkey AS script_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS entry_index, 'line ' || l_linenumber AS setup, CASE WHEN l_returnflag = 'R' THEN 'other' ELSE l_returnflag END AS kind,
 CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS INTEGER) END AS payoff, CASE l_returnflag WHEN 'R' THEN 'paid' WHEN 'A' THEN 'abandoned' ELSE 'dangling' END AS status, l_linestatus AS note FROM lineitem WHERE l_linenumber <> 1)
-SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY CASE status WHEN 'dangling' THEN 0 WHEN 'abandoned' THEN 1 ELSE 3 END, entry_index) AS queue_rank FROM e QUALIFY queue_rank <= 12""",
+SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY CASE status WHEN 'dangling' THEN 0 WHEN 'abandoned' THEN 1 ELSE 3 END, entry_index, setup, kind, payoff NULLS FIRST, status, note) AS queue_rank FROM e QUALIFY queue_rank <= 12""",
         "verified_reads": f"""WITH {CONV} SELECT DISTINCT script_id, name AS character, CASE WHEN role = 'user' THEN 'scene_not_found' ELSE 'verified' END AS status, CASE WHEN role <> 'user' THEN min(scene) OVER (PARTITION BY script_id) END AS matched_scene FROM c QUALIFY role <> 'system'""",
         "logline_inputs": f"SELECT c_custkey AS script_id, 'Logline: A story of ' || lower(c_mktsegment) || {NL} || {NL} || 'Scene 1: ' || c_mktsegment AS text FROM customer WHERE c_custkey % 4 <> 0",
         "genre_inputs": f"""WITH c AS (SELECT c_custkey AS script_id, c_mktsegment AS m, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'BUILDING' ELSE c_mktsegment END AS g FROM customer)

@@ -308,22 +308,24 @@ def rule_stats(spark, d):
 
 @query
 def rule_lookup(spark, d):
-    """Rules of every customer, from every part; the customers of each rule are counted after the join."""
+    """Rules of every customer, from every part, with the customers of each rule: customers are counted by category before they
+    meet the rules, so the join has a row a rule."""
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("taxonomy_level"), F.col("p_brand").alias("category"))
     asked = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("category"))
     levels = {"building": ["ECONOMY"], "machinery": ["SMALL"], "furniture": ["LARGE", "PROMO"]}
-    out = rules.for_findings(asked, parts, levels)
-    return out.groupBy("category", "applicable_rule").agg(F.count("*").alias("customers"), F.min("c_custkey").cast("long").alias("first_customer"), F.max("c_custkey").cast("long").alias("last_customer"))
+    counts = asked.groupBy("category").agg(F.count("*").alias("customers"), F.min("c_custkey").cast("long").alias("first_customer"), F.max("c_custkey").cast("long").alias("last_customer"))
+    return rules.for_findings(counts, parts, levels).drop("taxonomy_level")
 
 
 @query
 def rule_lookup_whole(spark, d):
-    """Rules of every customer, from every part; counted after the join."""
+    """Rules of every customer, from every part; rules are counted by category before they meet the customers."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("taxonomy_level"), F.col("p_brand").alias("category"))
     asked = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("category"))
     levels = {"building": ["ECONOMY"], "machinery": ["SMALL"], "furniture": ["LARGE", "PROMO"]}
-    out = rules.for_findings(asked, parts, levels)
-    return out.groupBy("c_custkey", "category").agg(F.count("applicable_rule").alias("rules"), F.min("applicable_rule").cast("long").alias("first_rule"), F.max("applicable_rule").cast("long").alias("last_rule"))
+    found = rules.of_categories(parts, levels).groupBy("category").agg(F.count("*").alias("rules"), F.min("applicable_rule").cast("long").alias("first_rule"), F.max("applicable_rule").cast("long").alias("last_rule"))
+    out = asked.join(found, "category", "left")
+    return out.select("c_custkey", "category", F.coalesce("rules", F.lit(0)).alias("rules"), "first_rule", "last_rule")
 
 
 @query

@@ -36,8 +36,10 @@ def watch(spark: SparkSession, folder: str, archive: str, checkpoint: str, handl
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
-    """(script_id, stage, status, detail, ts): the last heartbeat of each script; works on streams too."""
-    return events.groupBy("script_id").agg(F.max_by(F.struct("stage", "status", "detail"), "ts").alias("p"), F.max("ts").alias("ts")).select("script_id", "p.*", "ts")
+    """(script_id, stage, status, detail, ts): the last heartbeat of each script, of several at one time the greatest; works on
+    streams too."""
+    last = events.groupBy("script_id").agg(F.max(F.struct("ts", "stage", "status", "detail")).alias("p"))
+    return last.select("script_id", "p.stage", "p.status", "p.detail", "p.ts")
 
 
 def stalled(events: DataFrame, now: float, after: float = STALL_SECONDS) -> DataFrame:

@@ -61,3 +61,31 @@ def test_report_of_a_script_without_findings(spark):
     assert export.markdown_report(none, figures).first()["markdown"] == "# Report\n\nScenes: 3\nMinutes: 2.5\n\n"
     dials = spark.createDataFrame([("s", "RAVI", "warmth", 4, None)], "script_id string, character string, trait string, score int, note string")
     assert export.markdown_report(none, figures, dials=dials).first()["markdown"].endswith("## Dials\n- RAVI, warmth: 4 of 10")
+
+
+def test_answers_of_several_chunks_are_numbered_through(spark):
+    class Reads:
+        """Two reads a text: of the first word, quoting the text, and of the second."""
+
+        def __init__(self, fast):
+            pass
+
+        def chat_json(self, system, user, schema):
+            return {"reads": [{"character": user.split()[0], "evidence_quote": user, "scene_refs": [1]}, {"character": user.split()[1], "evidence_quote": "nobody ever said this at all", "scene_refs": [1]}]}
+
+    lines = ["anna waits at the door", "ravi opens it very slowly", "meera says nothing at all"]
+    elements = spark.createDataFrame([("s", 1, i, "action", t) for i, t in enumerate(lines)], "script_id string, scene_number int, element_index int, type string, text string")
+    rows = elements.withColumn("chunk", 2 - elements["element_index"])
+    for asked, keys, names in ((rows.repartition(3), ["script_id", "element_index"], ["meera", "says", "ravi", "opens", "anna", "waits"]), (elements.repartition(3), ["script_id", "element_index"], ["anna", "waits", "ravi", "opens", "meera", "says"])):
+        answers = models.run_pass(asked, models.PASSES["reads"], Reads, keys, wait=0.0)
+        assert [(r["item_index"], r["answer"]["character"]) for r in answers.orderBy("item_index").collect()] == list(enumerate(names))
+        got = models.verified_reads(answers, elements).collect()
+        assert len(got) == 6 and {r["character"]: r["verification"]["status"] for r in got} == {n: "verified" if i % 2 == 0 else "not_found" for i, n in enumerate(names)}
+    assert [r["character"] for r in models.coverage_of(answers).collect()] == ["anna"]
+
+
+def test_level_entries_keep_one_order(spark):
+    rows = [("s", 5, f"setup {i % 7}", "other", [i], [i] if i % 2 else None, "dangling", f"n{i}") for i in range(40)]
+    schema = "script_id string, entry_index int, setup string, kind string, setup_scenes array<int>, payoff_scenes array<int>, status string, note string"
+    runs = [sorted(tuple(map(str, r)) for r in findings.ledger(spark.createDataFrame(rows, schema).repartition(n)).collect()) for n in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 12
