@@ -88,7 +88,8 @@ def windowed_ratio_udf(quote: pd.Series, text: pd.Series) -> pd.Series:
         out = 0.0
         for at in starts:
             matcher.set_seqs(q, " ".join(found[at : at + size + 2]))
-            out = max(out, matcher.ratio())
+            if matcher.real_quick_ratio() > out and matcher.quick_ratio() > out:  # bounds from above
+                out = max(out, matcher.ratio())
         return out
 
     return pd.Series([best(q, t) for q, t in zip(quote, text)])

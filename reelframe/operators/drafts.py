@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio_udf
+from .findings import contained
+from .similarity import similar_pairs
 
 SAME_LINE, SAME_ISSUE, EDIT_MATCH = 0.95, 0.7, 0.8
 
@@ -63,25 +64,24 @@ def line_alignment(old: DataFrame, new: DataFrame, keys: list[str], order: str,
 def finding_states(findings: DataFrame, elements: DataFrame) -> DataFrame:
     """(script_id, finding_index, status): still_present if an element holds the quote or nearly equals it,
     addressed if not, unknown without a quote."""
-    asked = findings.where("coalesce(trim(evidence_quote), '') <> ''").select("script_id", "finding_index", "evidence_quote")
-    lines = elements.select("script_id", "text")
-    exact = asked.join(lines, "script_id").where(F.contains("text", "evidence_quote")).select("script_id", "finding_index").distinct()
-    rest = asked.join(exact, ["script_id", "finding_index"], "left_anti").join(lines, "script_id")
-    # a ratio of SAME_LINE needs lengths within a factor of SAME_LINE / (2 - SAME_LINE)
-    bound = SAME_LINE / (2 - SAME_LINE)
-    n, m = F.char_length("text"), F.char_length("evidence_quote")
-    near = rest.where((n >= m * bound) & (m >= n * bound)).where(ratio_udf("evidence_quote", "text") >= SAME_LINE).select("script_id", "finding_index").distinct()
-    there = exact.unionByName(near).withColumn("there", F.lit(True))
+    key = ["script_id"]
+    asked = findings.where("coalesce(trim(evidence_quote), '') <> ''").select("script_id", "finding_index", F.col("evidence_quote").alias("text"))
+    lines = elements.select("script_id", F.col("text")).distinct().withColumn("line_id", F.sha2("text", 256))
+    exact = contained(asked, lines, key, "text", "text", "finding_index", "line_id").select("script_id", "finding_index")
+    rest = asked.join(exact, ["script_id", "finding_index"], "left_anti")
+    alike = similar_pairs(rest, lines, key, "text", SAME_LINE).select("script_id", F.col("left_text").alias("text")).distinct()
+    near = rest.join(alike, ["script_id", "text"], "left_semi").select("script_id", "finding_index")
+    there = exact.unionByName(near).distinct().withColumn("there", F.lit(True))
     rows = findings.select("script_id", "finding_index", F.coalesce(F.trim("evidence_quote"), F.lit("")).alias("q")).join(there, ["script_id", "finding_index"], "left")
     return rows.select("script_id", "finding_index", F.when(F.col("q") == "", "unknown").when(F.col("there"), "still_present").otherwise("addressed").alias("status"))
 
 
 def carried(old: DataFrame, new: DataFrame, keys: list[str], id_col: str, text: str, threshold: float = SAME_ISSUE) -> DataFrame:
-    """(keys, id, best, carried): each new text's greatest similarity to the group's old texts."""
-    a = new.select(*keys, id_col, F.lower(text).alias("new_"))
-    b = old.select(*keys, F.lower(text).alias("old_")).distinct()
-    rows = a.join(b, keys, "left").withColumn("r", ratio_udf("new_", "old_"))
-    return rows.groupBy(*keys, id_col).agg(F.max("r").alias("best")).withColumn("carried", F.col("best") >= threshold)
+    """(keys, id, best, carried): each new text's greatest similarity to the group's old texts, null below the threshold."""
+    a = new.select(*keys, id_col, F.lower(text).alias("text"))
+    b = old.select(*keys, F.lower(text).alias("text"))
+    best = similar_pairs(a, b, keys, "text", threshold).groupBy(*keys, F.col("left_text").alias("text")).agg(F.max("similarity").alias("best"))
+    return a.join(best, [*keys, "text"], "left").select(*keys, id_col, "best", F.col("best").isNotNull().alias("carried"))
 
 
 def previous_draft(drafts: DataFrame) -> DataFrame:

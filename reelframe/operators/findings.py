@@ -50,35 +50,35 @@ def scene_texts(elements: DataFrame) -> DataFrame:
     return rows.select("script_id", "scene_number", normalised(F.array_join(F.transform("e", lambda x: x["text"]), "\n")).alias("body"))
 
 
-def inner_key(text: Column) -> Column:
-    """The longest of a phrase's inner words: whoever contains the phrase has them as whole words. Null if it has none."""
+def inner_words(text: Column) -> Column:
+    """A phrase's inner words: whoever contains the phrase has them as whole words."""
     w = F.split(F.trim(text), r"\s+")
-    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
-    return F.try_element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("w")))), F.lit(1))["w"]
+    return F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
 
 
 def contained(quotes: DataFrame, bodies: DataFrame, keys: list[str], quote: str, body: str, id_col: str, order: str) -> DataFrame:
     """(keys, id, found_at): the first body of the group that contains each quote, by `order`.
 
-    Quotes meet only bodies that have one of their words, so none is tried against every body of a large group;
-    bodies stay put where the quotes' words, checked by their size at run time, fit a broadcast. A quote of less
-    than three words has no word of its own: it meets the bodies of its group, or without keys those that have its
-    first characters.
+    A quote meets only bodies that have the one of its inner words which fewest bodies of the group have; a quote with an
+    inner word that no body has meets none. Only words that quotes ask for leave the bodies. A quote of less than three
+    words has no word of its own: it meets the bodies that have its first characters.
     """
-    asked = quotes.select(*keys, id_col, F.col(quote).alias("q_"), inner_key(F.col(quote)).alias("word_")).where("q_ <> ''")
+    asked = quotes.select(*keys, id_col, F.col(quote).alias("q_"), inner_words(F.col(quote)).alias("words_")).where("q_ <> ''")
     said = bodies.select(*keys, order, F.col(body).alias("b_"))
+    wanted = asked.select(*keys, id_col, F.size("words_").alias("n_"), F.explode("words_").alias("word_"))
     words = said.select(*keys, order, F.explode(F.array_distinct(F.split("b_", r"\s+"))).alias("word_"))
-    near = asked.where("word_ is not null").join(words, [*keys, "word_"]).select(*keys, id_col, "q_", order)
+    words = words.join(wanted.select(*keys, "word_").distinct(), [*keys, "word_"], "left_semi")
+    counts = words.groupBy(*keys, "word_").agg(F.count("*").alias("bodies_"))
+    rarest = wanted.join(counts, [*keys, "word_"]).groupBy(*keys, id_col).agg(F.min(F.struct("bodies_", "word_")).alias("w_"), F.count("*").alias("known_"), F.min("n_").alias("n_"))
+    rarest = rarest.where("known_ = n_").select(*keys, id_col, F.col("w_.word_").alias("word_"))
+    near = rarest.join(words, [*keys, "word_"]).join(asked.select(*keys, id_col, "q_"), [*keys, id_col]).select(*keys, id_col, "q_", order)
     hits = near.join(said, [*keys, order]).where(F.contains("b_", "q_")).select(*keys, id_col, order)
-    short = asked.where("word_ is null")
-    if keys:
-        short = short.join(said, keys).where(F.contains("b_", "q_")).select(*keys, id_col, order)
-        hits = hits.unionByName(short)
-    elif not short.isEmpty():
+    short = asked.where("size(words_) = 0")
+    if not short.isEmpty():
         grams = [F.regexp_extract_all("b_", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-        heads = said.select(order, F.explode(F.array_distinct(F.concat(*grams))).alias("gram_"))
-        close = short.withColumn("gram_", F.substring("q_", 1, 3)).join(heads, "gram_").select(id_col, "q_", order)
-        hits = hits.unionByName(close.join(said, order).where(F.contains("b_", "q_")).select(id_col, order))
+        heads = said.select(*keys, order, F.explode(F.array_distinct(F.concat(*grams))).alias("gram_"))
+        close = short.withColumn("gram_", F.substring("q_", 1, 3)).join(heads, [*keys, "gram_"]).select(*keys, id_col, "q_", order)
+        hits = hits.unionByName(close.join(said, [*keys, order]).where(F.contains("b_", "q_")).select(*keys, id_col, order))
     return hits.groupBy(*keys, id_col).agg(F.min(order).alias("found_at"))
 
 
