@@ -1,11 +1,13 @@
 """Queries over workflow state: edits, stages, names, queues, memory, metrics and model passes."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import context, drafts, findings, manage, memory, models, tracks
-from ..streaming import jobs
-from .adapters import elements, squeezed, table
+from ..streaming import jobs, stateful
+from .adapters import elements, shared_folder, squeezed, table
 from .registry import injected, query
 
 
@@ -85,6 +87,35 @@ def stalled_scripts(spark, d):
     return jobs.stalled(rows, 1e12).select("script_id", "stage", "ts")
 
 
+def as_stream(spark, rows, name):
+    """(a stream over the rows, staged as Parquet, a folder for what it writes)."""
+    home = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{home}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{home}/in"), home
+
+
+@query
+def stall_alerts(spark, d):
+    """Events as heartbeats through the stream that tells stalls of a day and more; all that the watermark has passed."""
+    status = F.when(F.col("event_id") % 3 == 0, "complete").otherwise("running")
+    beats = table(spark, d, "events").select(F.col("user_id").alias("script_id"), F.col("event_type").alias("stage"), status.alias("status"), F.col("event_id").cast("string").alias("detail"), F.col("ts").cast("timestamp").alias("at"))
+    stream, home = as_stream(spark, beats, "stalls")
+    alerts = stateful.stall_alerts(stream, 86_400, "2 hours")
+    stateful.start(alerts, f"{home}/out", f"{home}/checkpoint", once=True).awaitTermination()
+    found = spark.read.schema(alerts.schema).parquet(f"{home}/out")
+    return found.select("script_id", "stage", "detail", F.unix_micros("last_at").alias("last_us"), F.unix_micros("stalled_at").alias("stalled_us"))
+
+
+@query
+def rolling_replies(spark, d):
+    """Events as timings through the stream that keeps each user's last forty."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.round(F.col("value") * 100).cast("double").alias("cents"))
+    stream, home = as_stream(spark, rows, "rolling")
+    means = stateful.rolling_stream(stream, "user_id", "us", "cents", tracks.RING)
+    stateful.start(means, f"{home}/out", f"{home}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(means.schema).parquet(f"{home}/out").select("event_id", "rolling_mean", "rolling_n")
+
+
 @query
 def stage_progress(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").alias("stage_order"), F.col("l_quantity").cast("long").alias("weight"), F.when(F.col("l_returnflag") == "R", "complete").otherwise("running").alias("status"), (F.col("l_linenumber") * 60).cast("long").alias("elapsed"))
