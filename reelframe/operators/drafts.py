@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -88,6 +89,19 @@ def previous_draft(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("previous", F.lag("draft_name").over(Window.partitionBy("script_id").orderBy("created_at", "draft_name")))
 
 
+def hit(lines: list[str | None], old: str | None) -> int | None:
+    """The line that a replacement of `old` changes: the one that equals it, else the most similar one if similar enough."""
+    old = (old or "").strip()
+    if not old or "\n" in old:
+        return None
+    same = [i for i, t in enumerate(lines) if (t or "").strip() == old]
+    if not same:
+        scores = [(difflib.SequenceMatcher(None, old, t or "").ratio(), -i) for i, t in enumerate(lines)]
+        best = max(scores, default=(0.0, 0))
+        same = [-best[1]] if best[0] >= EDIT_MATCH else []
+    return same[0] if len(same) == 1 else None
+
+
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
     """Elements after all edits in order. edits: (script_id, edit_seq, scene_number, replacements array<struct<old,new>>).
 
@@ -104,41 +118,163 @@ def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
         lines = lines.sort_values("element_index").reset_index(drop=True)
         text, edited = lines["text"].tolist(), [False] * len(lines)
         for change in (c for group in (log.sort_values("edit_seq")["replacements"] if len(log) else []) for c in group):
-            old, new = (change["old"] or "").strip(), change["new"] or ""
-            if not old or "\n" in old:
-                continue
-            same = [i for i, t in enumerate(text) if (t or "").strip() == old]
-            if not same:
-                scores = [(difflib.SequenceMatcher(None, old, t or "").ratio(), -i) for i, t in enumerate(text)]
-                best = max(scores, default=(0.0, 0))
-                same = [-best[1]] if best[0] >= EDIT_MATCH else []
-            if len(same) == 1:
-                text[same[0]], edited[same[0]] = new.strip(), True
+            i = hit(text, change["old"])
+            if i is not None:
+                text[i], edited[i] = (change["new"] or "").strip(), True
         return lines.assign(text=text, edited=edited)[[*columns, "edited"]]
 
     keys = ["script_id", "scene_number"]
     return elements.groupBy(*keys).cogroup(edits.select(*keys, "edit_seq", "replacements").groupBy(*keys)).applyInPandas(fold, schema)
 
 
+def resolved_log(log: DataFrame) -> DataFrame:
+    """(script_id, seq, op, target): which edit each entry of a log is about; null where there is nothing to undo or redo.
+
+    log: (script_id, seq, op edit|undo|redo|reset, edit_seq for edits). Undo takes the last edit back, redo puts back the last one
+    undone, a new edit clears what was undone, a reset clears all. Rows pass in order; a task holds the two stacks of one script.
+    """
+    rows = log.where("script_id is not null").select("script_id", F.col("seq").cast("long").alias("seq"), "op", F.col("edit_seq").cast("long").alias("target"))
+    kind = dict(rows.dtypes)["script_id"]
+
+    def run(batches):
+        current, done, undone = None, [], []
+        for pdf in batches:
+            targets = []
+            for script, op, edit in zip(pdf["script_id"], pdf["op"], pdf["target"]):
+                if script != current:
+                    current, done, undone = script, [], []
+                target = None
+                if op == "edit":
+                    target = int(edit)
+                    done.append(target)
+                    undone = []
+                elif op in ("undo", "redo"):
+                    source, to = (done, undone) if op == "undo" else (undone, done)
+                    if source:
+                        target = source.pop()
+                        to.append(target)
+                else:
+                    done, undone = [], []
+                targets.append(target)
+            yield pdf.assign(target=pd.array(targets, dtype="Int64"))
+
+    return rows.repartition("script_id").sortWithinPartitions("script_id", "seq").mapInPandas(run, f"script_id {kind}, seq long, op string, target long")
+
+
 def effective_log(log: DataFrame) -> DataFrame:
-    """Edits still in force after undo and redo. log: (script_id, seq, op edit|undo|redo|reset, edit_seq for edits).
+    """(script_id, edit_seq): edits in force after undo, redo and reset, by the last word on each."""
+    rows = resolved_log(log)
+    reset = F.max(F.when(F.col("op") == "reset", F.col("seq"))).over(Window.partitionBy("script_id"))
+    said = rows.withColumn("reset", reset).where("target is not null and (reset is null or seq > reset)")
+    last = said.groupBy("script_id", "target").agg(F.max_by("op", "seq").alias("op"))
+    return last.where("op <> 'undo'").select("script_id", F.col("target").cast("int").alias("edit_seq"))
+
+
+def history(elements: DataFrame, log: DataFrame) -> DataFrame:
+    """What a log of edits, undos, redos and resets makes of elements: see versions() and changes(), which take it apart.
 
-    A fold per script: undo pops the last edit, redo puts back the last one undone, a new edit clears what was undone.
+    log: (script_id, seq, op, edit_seq, scene_number, replacements array<struct<old,new>>), the last three for edits. An edit may hit a
+    similar line (apply_edits); undo and redo change back only what stands exactly as the edit left or found it, and on one line
+    only. A scene's entries are a fold of their own, scenes run in parallel; entries without a target change nothing.
     """
-    entry = F.struct("seq", "op", "edit_seq")
-    empty = F.array().cast("array<int>")
-    start = F.struct(empty.alias("done"), empty.alias("undone"))
-    but_last = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-    last = lambda a: F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1))
-    step = lambda s, x: (
-        F.when(x["op"] == "edit", F.struct(F.concat(s["done"], F.array(x["edit_seq"])).alias("done"), empty.alias("undone")))
-        .when(x["op"] == "undo", F.struct(but_last(s["done"]).alias("done"), F.concat(s["undone"], last(s["done"])).alias("undone")))
-        .when(x["op"] == "redo", F.struct(F.concat(s["done"], last(s["undone"])).alias("done"), but_last(s["undone"]).alias("undone")))
-        .otherwise(start)
-    )
-    typed = log.withColumn("edit_seq", F.col("edit_seq").cast("int"))
-    folded = typed.groupBy("script_id").agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step).alias("state"))
-    return folded.select("script_id", F.explode("state.done").alias("edit_seq"))
+    keys, entries = ["script_id", "scene_number"], resolved_log(log)
+    edits = log.where("op = 'edit'").select("script_id", F.col("edit_seq").cast("long").alias("target"), "scene_number", "replacements")
+    places = elements.select(*keys).distinct()
+    aimed = entries.join(edits, ["script_id", "target"])
+    resets = entries.where("op = 'reset'").join(places, "script_id").withColumn("replacements", F.lit(None).cast(dict(edits.dtypes)["replacements"]))
+    steps = aimed.unionByName(resets).select(*keys, "seq", "op", "target", "replacements")
+    kinds = dict(elements.dtypes)
+    columns = ["script_id", "scene_number", "element_index", "text", "from_seq", "to_seq", "seq", "op", "target", "restored", "failed"]
+    schema = f"script_id {kinds['script_id']}, scene_number {kinds['scene_number']}, element_index {kinds['element_index']}, text string, from_seq long, to_seq long, seq long, op string, target long, restored long, failed long"
+
+    def fold(key, lines: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values("element_index") if len(lines) else lines
+        places, text = lines["element_index"].tolist() if len(lines) else [], lines["text"].tolist() if len(lines) else []
+        first, since, out, applied = list(text), [None] * len(text), [], {}
+
+        def change(i: int, new: str | None, seq: int) -> None:
+            if text[i] != new:
+                if since[i] != seq:
+                    out.append((*key, places[i], text[i], since[i], seq, None, None, None, None, None))
+                text[i], since[i] = new, seq
+
+        def swap(pairs: list[tuple], seq: int) -> tuple[int, int]:
+            done = 0
+            for old, new in pairs:
+                same = [i for i, t in enumerate(text) if t == old]
+                if len(same) == 1:
+                    change(same[0], new, seq)
+                    done += 1
+            return done, len(pairs) - done
+
+        for seq, op, target, replacements in ops.sort_values("seq")[["seq", "op", "target", "replacements"]].itertuples(index=False) if len(ops) else []:
+            seq = int(seq)
+            if op == "edit":
+                pairs, missed = [], 0
+                for r in replacements if replacements is not None else []:
+                    i = hit(text, r["old"])
+                    if i is None:
+                        missed += 1
+                    else:
+                        pairs.append((text[i], (r["new"] or "").strip()))
+                        change(i, pairs[-1][1], seq)
+                applied[target] = pairs
+                counts = len(pairs), missed
+            elif op == "reset":
+                for i, t in enumerate(first):
+                    change(i, t, seq)
+                counts = len(first), 0
+            else:
+                pairs = applied.get(target, [])
+                counts = swap([(b, a) for a, b in pairs] if op == "undo" else pairs, seq)
+            out.append((*key, None, None, None, None, seq, op, None if op == "reset" else int(target), *counts))
+        out += [(*key, places[i], t, since[i], None, None, None, None, None, None) for i, t in enumerate(text)]
+        frame = pd.DataFrame(out, columns=columns)
+        return frame.astype({c: "Int64" for c in ("element_index", "from_seq", "to_seq", "seq", "target", "restored", "failed")})
+
+    return elements.select(*keys, "element_index", "text").groupBy(*keys).cogroup(steps.groupBy(*keys)).applyInPandas(fold, schema)
+
+
+def versions(told: DataFrame) -> DataFrame:
+    """(script_id, scene_number, element_index, text, from_seq, to_seq): each text of each element and the entries between which it
+    stood. from_seq is null for the text of the draft, to_seq for the one that stands now."""
+    return told.where("element_index is not null").select("script_id", "scene_number", "element_index", "text", "from_seq", "to_seq")
+
+
+def changes(told: DataFrame) -> DataFrame:
+    """(script_id, scene_number, seq, op, target, restored, failed): what each entry changed in its scene, and what it could not."""
+    return told.where("op is not null").select("script_id", "scene_number", "seq", "op", "target", "restored", "failed")
+
+
+def as_of(table: DataFrame, seq: int | None = None) -> DataFrame:
+    """Elements as they stood right after an entry of the log; as they stand now, without one."""
+    until = F.col("to_seq").isNull() if seq is None else F.col("to_seq").isNull() | (F.col("to_seq") > seq)
+    since = F.lit(True) if seq is None else F.col("from_seq").isNull() | (F.col("from_seq") <= seq)
+    return table.where(until & since).drop("from_seq", "to_seq")
+
+
+def uploaded(drafts: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Drafts (script_id, draft_name, source_filename, created_at, active) after uploads (script_id, source_filename, created_at): each
+    upload is the next draft-N of its script, by time, and the last one is the active draft."""
+    n = drafts.groupBy("script_id").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("script_id").orderBy("created_at", "source_filename")
+    fresh = uploads.withColumn("k", F.row_number().over(order)).withColumn("left_", F.count("*").over(Window.partitionBy("script_id"))).join(n, "script_id", "left")
+    fresh = fresh.select("script_id", F.concat(F.lit("draft-"), (F.coalesce("n", F.lit(0)) + F.col("k")).cast("string")).alias("draft_name"), "source_filename", "created_at", (F.col("k") == F.col("left_")).alias("active"))
+    again = uploads.select("script_id").distinct().withColumn("again", F.lit(True))
+    old = drafts.join(again, "script_id", "left").withColumn("active", F.col("active") & F.col("again").isNull()).drop("again")
+    return old.unionByName(fresh)
+
+
+def upload(drafts: DataFrame, uploads: DataFrame, stages: DataFrame, keep: Callable[[DataFrame], None]) -> tuple[DataFrame, DataFrame]:
+    """(drafts, stages) after uploads. keep is called first, with (script_id, draft_name) of the active drafts that give way, to
+    snapshot them; a script whose parse is not complete has nothing to keep. All stages of the scripts wait again."""
+    scripts = uploads.select("script_id").distinct()
+    active = drafts.where("active").select("script_id", "draft_name")
+    parsed = stages.where("stage = 'parse' and status = 'complete'").select("script_id").distinct()
+    keep(scripts.join(parsed, "script_id", "left_semi").join(active, "script_id", "left").select("script_id", F.coalesce("draft_name", F.lit("original")).alias("draft_name")))
+    waiting = stages.join(scripts.withColumn("again", F.lit(True)), "script_id", "left")
+    reset = lambda c: F.when(F.col("again"), "pending" if c == "status" else None).otherwise(F.col(c)).alias(c) if c in ("status", "detail") else F.col(c)
+    return uploaded(drafts, uploads), waiting.select(*[reset(c) for c in stages.columns])
 
 
 def board_order(scenes: DataFrame, boards: DataFrame) -> DataFrame:

@@ -193,8 +193,27 @@ def outcome(outcomes: DataFrame) -> DataFrame:
     return rows.withColumn("result", F.when(F.col("failed") == 0, "complete").when(F.col("failed") < F.col("n"), "partial").otherwise("failed"))
 
 
+def closure(needs: DataFrame) -> DataFrame:
+    """(category, requires): what a category needs, directly or through others, from its direct needs. A small table; circles end."""
+    rows = needs.select("category", "requires").distinct()
+    return rows.sparkSession.sql(
+        """WITH RECURSIVE reach(category, requires, steps) AS (
+        SELECT category, requires, 1 FROM {rows} UNION ALL
+        SELECT reach.category, n.requires, steps + 1 FROM reach JOIN {rows} n ON n.category = reach.requires WHERE steps < (SELECT count(DISTINCT category) FROM {rows}))
+        SELECT DISTINCT category, requires FROM reach""", rows=rows)
+
+
 def close_gates(outcomes: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Marks categories failed whose required one failed. dependencies: (category, requires)."""
+    """Marks categories failed that need a failed one, directly or through others, whether those were run or not.
+    dependencies: direct needs (category, requires)."""
     failed = outcomes.where("outcome = 'failed'").select("script_id", F.col("category").alias("requires"))
-    blocked = dependencies.join(failed, "requires").select("script_id", "category").distinct().withColumn("blocked", F.lit(True))
+    blocked = failed.join(F.broadcast(closure(dependencies)), "requires").select("script_id", "category").distinct().withColumn("blocked", F.lit(True))
     return outcomes.join(blocked, ["script_id", "category"], "left").withColumn("outcome", F.when(F.col("blocked"), "failed").otherwise(F.col("outcome"))).drop("blocked")
+
+
+def retries(outcomes: DataFrame, along: DataFrame) -> DataFrame:
+    """(script_id, category, reason): what a retry runs. Failed categories, and those whose results they need, though these
+    have not failed. along: (category, requires), closed over."""
+    failed = outcomes.where("outcome = 'failed'").select("script_id", "category").distinct()
+    pulled = failed.join(F.broadcast(closure(along)), "category").select("script_id", F.col("requires").alias("category"), F.lit(1).alias("k"))
+    return failed.select("*", F.lit(0).alias("k")).unionByName(pulled).groupBy("script_id", "category").agg(F.when(F.min("k") == 0, "failed").otherwise("needed").alias("reason"))

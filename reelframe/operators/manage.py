@@ -101,3 +101,12 @@ def needs_rebuild(working: DataFrame, parsed: DataFrame) -> DataFrame:
     """Scripts whose parse is newer than their working copy and that have no edits. (script_id, ts[, edits])"""
     rows = parsed.select("script_id", F.col("ts").alias("parsed_ts")).join(working, "script_id", "left")
     return rows.where("ts is null or (parsed_ts > ts and coalesce(edits, 0) = 0)").select("script_id")
+
+
+def graduated(cards: DataFrame, sessions: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(premises, sessions) of the projects that ideas become. cards: (idea_id, content, ...); sessions: (idea_id, session_id, ...);
+    moves: (idea_id, project). A premise is the idea's card with its page, empty if it has none; an idea's sessions are copied, and
+    where two ideas go to one project with the same session, the one of the greater idea_id stays."""
+    premises = moves.join(cards, "idea_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    copied = sessions.join(moves, "idea_id").withColumn("n_", F.row_number().over(Window.partitionBy("project", "session_id").orderBy(F.desc("idea_id"))))
+    return premises, copied.where("n_ = 1").drop("n_")
