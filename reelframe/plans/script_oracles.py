@@ -131,8 +131,6 @@ SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY CASE status WHEN 'd
         "judgment_candidates": """WITH p AS (SELECT user_id AS script_id, 0 AS source, -count(*) AS a, 0 AS b, event_type AS label FROM events GROUP BY user_id, event_type), q AS (SELECT user_id, 1, event_id % 50, event_id, CAST(event_id AS VARCHAR) FROM events)
 SELECT script_id, label, row_number() OVER (PARTITION BY script_id ORDER BY source, a, b, label) AS queue_rank FROM (SELECT * FROM p UNION ALL SELECT * FROM q) QUALIFY queue_rank <= 15""",
         "categories": "SELECT o_custkey % 100 AS script_id, o_orderpriority AS category, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS findings FROM orders GROUP BY ALL",
-        "gated_outcomes": """WITH o AS (SELECT o_custkey AS k, o_orderpriority AS c, bool_or(o_orderstatus = 'F') AS f FROM orders GROUP BY ALL), g AS (SELECT o.*, f OR (c = '2-HIGH' AND EXISTS (SELECT 1 FROM o x WHERE x.k = o.k AND x.c = '1-URGENT' AND x.f)) OR (c = '3-MEDIUM' AND EXISTS (SELECT 1 FROM o x WHERE x.k = o.k AND x.c = '2-HIGH' AND x.f)) AS failed FROM o)
-SELECT k AS script_id, count(*) AS n, count(*) FILTER (failed) AS failed, CASE WHEN count(*) FILTER (failed) = 0 THEN 'complete' WHEN count(*) FILTER (failed) < count(*) THEN 'partial' ELSE 'failed' END AS result FROM g GROUP BY k""",
         "nudged_replies": r"""WITH t AS (SELECT conv_id // 10 AS session_id, conv_id * 100 + turn AS seq, CASE WHEN turn % 2 = 0 THEN 'Fine. ' ELSE text END AS x FROM conversations),
 s AS (SELECT *, trim(x) <> '' AND NOT (ends_with(rtrim(x), '?') OR regexp_matches(lower(regexp_extract(rtrim(x), '(\S+)$', 1)), 'want|let''s|lets|should|shall|right')) AND length(trim(x)) < 120 AS lost FROM t),
 n AS (SELECT *, count(*) FILTER (lost) OVER (PARTITION BY session_id ORDER BY seq) AS k FROM s)

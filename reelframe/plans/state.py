@@ -87,11 +87,12 @@ def stalled_scripts(spark, d):
     return jobs.stalled(rows, 1e12).select("script_id", "stage", "ts")
 
 
-def as_stream(spark, rows, name):
-    """(a stream over the rows, staged as Parquet, a folder for what it writes)."""
+def as_stream(spark, rows, name, files=None):
+    """(a stream over the rows, staged as Parquet, a folder for what it writes). files: how many a micro-batch takes at most."""
     home = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{home}/in")
-    return spark.readStream.schema(rows.schema).parquet(f"{home}/in"), home
+    reader = spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{home}/in"), home
 
 
 @query

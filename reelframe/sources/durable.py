@@ -51,19 +51,17 @@ class DurableTable:
         return rows.withColumn("bucket_", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("string"))
 
     def apply(self, changes: DataFrame, batch_id: int, query: str, order: str | None = None) -> bool:
-        """Upserts a micro-batch; False if it had been applied before. order: of several changes of a key the greatest by it stays."""
+        """Upserts a micro-batch; False if it had been applied before. order: of what a key has and of its changes the greatest by it
+        stays, so a change that comes late takes nothing back; without it a key's one change counts."""
         version, live, applied = self.manifest()
         if batch_id <= applied.get(query, -1):
             return False
-        if order:
-            fields = [F.col(c) for c in changes.columns if c not in self.keys]
-            latest = changes.groupBy(*self.keys).agg(F.max(F.struct(F.col(order).alias("at_"), F.struct(*fields).alias("row_"))).alias("m_"))
-            changes = latest.select(*self.keys, "m_.row_.*")
         fresh = self.bucketed(changes)
         touched = [r["bucket_"] for r in fresh.select("bucket_").distinct().collect()]  # at most `buckets` numbers
         if touched:
             before = self.parts({b: p for b, p in live.items() if b in touched})
-            merged = self.bucketed(upsert(before, changes, self.keys, self.removed)).repartition("bucket_")
+            merged = self.latest(before, changes, order) if order else upsert(before, changes, self.keys, self.removed)
+            merged = self.bucketed(merged).repartition("bucket_")
             token = f"data/{query}-{batch_id}-{uuid.uuid4().hex}"
             columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
             merged.select(*columns, "bucket_").write.partitionBy("bucket_").parquet(f"{self.path}/{token}")
@@ -73,6 +71,13 @@ class DurableTable:
         self.swap(version + 1, live, applied | {query: batch_id})
         return True
 
+    def latest(self, before: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+        flag = [self.removed] if self.removed else []
+        rows = before.select("*", *[F.lit(False).alias(c) for c in flag]).unionByName(changes)
+        fields = [F.col(c) for c in rows.columns if c not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max(F.struct(F.col(order).alias("at_"), F.struct(*fields).alias("row_"))).alias("m_")).select(*self.keys, "m_.row_.*")
+        return last.where(~F.coalesce(F.col(self.removed), F.lit(False))).drop(self.removed) if self.removed else last
+
     def swap(self, version: int, live: dict, applied: dict) -> None:
         rows = self.spark.createDataFrame([(live, applied)], MANIFEST)
         rows.coalesce(1).write.mode("errorifexists").json(f"{self.path}/manifests/version={version}")

@@ -89,3 +89,13 @@ def test_a_stream_that_starts_again_applies_each_batch_once(spark, table, tmp_pa
     run()  # the stream does not know that its batch went through, the table does
     assert table.manifest()[0] == version == 2
     assert rows(table.read()) == [("a", "parse", "running", 7.0), ("b", "parse", "running", 7.0)]
+
+
+def test_late_changes_take_nothing_back(spark, tmp_path):
+    notes = DurableTable(spark, str(tmp_path / "l"), "id long, ts long, text string", ["id"], 2, "removed").create()
+    change = lambda *xs: spark.createDataFrame(list(xs), "id long, ts long, text string, removed boolean")
+    notes.apply(change((1, 5, "new", False), (1, 4, "old", False), (2, 5, "kept", False)), 0, "q", "ts")
+    notes.apply(change((1, 3, "older", False), (2, 4, None, True)), 1, "q", "ts")
+    assert rows(notes.read()) == [(1, 5, "new"), (2, 5, "kept")]
+    notes.apply(change((2, 6, None, True), (3, 1, "three", None)), 2, "q", "ts")
+    assert rows(notes.read()) == [(1, 5, "new"), (3, 1, "three")]
