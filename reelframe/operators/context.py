@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio_udf, whole_word
+from ..functions.text import ratio_udf
 from .findings import is_language_remark
+from .mentions import mentions
 
 MAX_SCENES, NAME_LENGTH, TOKEN_LENGTH, NICKNAME, CAST = 4, 3, 4, 0.58, 24
 HISTORY, CHUNK_BUDGET, CHUNK_SCENES, CHARS_PER_TOKEN = 16, 1400, 6, 4
@@ -55,14 +56,21 @@ def character_refs(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     known = names.select("script_id", "name").where(F.char_length("name") >= NAME_LENGTH)
     word_list = F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z']{2,}"), F.lit(0))
-    rows = texts.withColumn("w", F.transform(word_list, lambda x: F.upper(x))).join(known, "script_id")
+    key = ["script_id", "text_id"]
     tokens = F.filter(F.split("name", r"[\s_]+"), lambda t: F.char_length(t) >= TOKEN_LENGTH)
-    whole = whole_word(F.col("text"), F.col("name"), True)
-    token = F.exists(tokens, lambda t: whole_word(F.col("text"), t, True))
-    prefix = F.exists("w", lambda w: w.startswith(F.col("name")) | F.col("name").startswith(w))
-    rows = rows.withColumn("tier", F.when(whole, 1).when(token, 2).when(prefix, 3))
-    sure = rows.where("tier is not null").select("script_id", "text_id", "name", "tier")
-    missed = rows.where("tier is null").select("script_id", "text_id").distinct()
+    parts = known.select("script_id", "name", F.explode(tokens).alias("token"))
+    asked = known.select("script_id", "name").unionByName(parts.select("script_id", F.col("token").alias("name")))
+    said = mentions(texts, asked, ["script_id"], "text_id").withColumnRenamed("name", "said")
+    whole = said.join(known.select("script_id", F.col("name").alias("said")).distinct(), ["script_id", "said"]).select(*key, F.col("said").alias("name"), F.lit(1).alias("tier"))
+    token = said.join(parts.select("script_id", "name", F.col("token").alias("said")), ["script_id", "said"]).select(*key, "name", F.lit(2).alias("tier"))
+    # a word and a name of which one begins the other share the first NAME_LENGTH letters, as both have as many
+    words = texts.select(*key, F.explode(F.array_distinct(F.transform(word_list, lambda x: F.upper(x)))).alias("w")).withColumn("head", F.substring("w", 1, NAME_LENGTH))
+    heads = known.withColumn("head", F.substring("name", 1, NAME_LENGTH))
+    prefix = words.join(heads, ["script_id", "head"]).where(F.col("w").startswith(F.col("name")) | F.col("name").startswith(F.col("w"))).select(*key, "name", F.lit(3).alias("tier"))
+    sure = whole.unionByName(token).unionByName(prefix).groupBy(*key, "name").agg(F.min("tier").alias("tier"))
+    count = known.groupBy("script_id").agg(F.count_distinct("name").alias("names"))
+    done = sure.groupBy(*key).agg(F.count("*").alias("known"))
+    missed = texts.select(*key).distinct().join(count, "script_id").join(done, key, "left").where(F.coalesce("known", F.lit(0)) < F.col("names")).select(*key)
     long = texts.join(missed, ["script_id", "text_id"], "left_semi").select("script_id", "text_id", F.explode(F.array_distinct(F.transform(F.filter(word_list, lambda x: F.char_length(x) >= 4), lambda x: F.upper(x)))).alias("word"))
     tried = long.join(known.where(F.char_length("name") >= 4), "script_id").withColumn("r", ratio_udf("name", "word"))
     best = tried.groupBy("script_id", "text_id").agg(F.max("r").alias("r"), F.max_by("name", F.struct("r", "name")).alias("name")).where(F.col("r") >= NICKNAME)
