@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from .assembly_oracles import assembly_oracles
 from .flow_oracles import flow_oracles
+from .input_oracles import input_oracles
 from .script_oracles import script_oracles
 
 WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
@@ -188,4 +189,4 @@ def oracles() -> dict[str, str]:
     from ..functions.text import STOP_WORDS
 
     stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
-    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()} | script_oracles() | assembly_oracles() | flow_oracles()
+    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()} | script_oracles() | assembly_oracles() | flow_oracles() | input_oracles()

@@ -9,7 +9,7 @@ from ..functions.text import ascii_word_count, normalised, ratio_udf, windowed_r
 from ..operators import context, craft, drafts, findings, graph, memory, rules, stats, structure, tracks
 from ..sources import export, screenplay
 from ..streaming.jobs import sessions
-from . import assembly, flow, scripts, state  # noqa: F401  their queries register themselves
+from . import assembly, flow, inputs, scripts, state  # noqa: F401  their queries register themselves
 from .adapters import elements, generated_scripts, headings, lines_of_speech, orders_cast, presence, scenes, table, text_lines
 from .registry import QUERIES, exact, injected, query
 

@@ -168,6 +168,17 @@ def parse_fdx(texts: DataFrame) -> dict[str, DataFrame]:
     return tables(elements, texts.select("script_id", "source_format", "source_filename").join(titles, "script_id", "left"), "high")
 
 
+def unreadable_fdx() -> Column:
+    """Whether a Final Draft file's text has no document in it."""
+    return (F.col("source_format") == "fdx") & ~F.col("text").rlike(r"(?s)<FinalDraft\b.*<Content\b.*</FinalDraft>")
+
+
+def parse_all(texts: DataFrame) -> dict[str, DataFrame]:
+    """Tables of scripts of all text formats and of Final Draft files."""
+    plain, marked = parse(texts.where("source_format <> 'fdx'")), parse_fdx(texts.where("source_format = 'fdx'"))
+    return {name: rows.unionByName(marked[name], allowMissingColumns=True) for name, rows in plain.items()}
+
+
 def schema_of():
     from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 

@@ -7,27 +7,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.memory import stream_profiles
-from ..sources.screenplay import file_format, parse
+from ..sources.screenplay import file_format, parse_all, unreadable_fdx
 
 STALL_SECONDS, POLL = 1800, "5 seconds"
 
 
 def watch(spark: SparkSession, folder: str, archive: str, checkpoint: str, handle: Callable[[dict[str, DataFrame], int], None], once: bool = False, quarantine: str | None = None):
-    """Parses screenplays as they arrive; consumed files move to the archive. Unsupported and hidden ones stay.
+    """Parses screenplays as they arrive, text formats and Final Draft files; consumed files move to the archive. Unsupported and
+    hidden ones stay.
 
-    handle gets the tables of each micro-batch. once: takes what is there and ends. quarantine: where the scripts of a
-    micro-batch that fails go as Parquet, with the error; the stream goes on. Without it a failure ends the stream.
+    handle gets the tables of each micro-batch. once: takes what is there and ends. quarantine: a folder for scripts that cannot
+    be read, and for those of a micro-batch that fails, as Parquet with the error, one folder a micro-batch, so that a batch that
+    comes again replaces what it wrote; the stream goes on. Without it a failure ends the stream.
     """
 
+    def aside(scripts: DataFrame, n: int, kind: str, error: str) -> None:
+        scripts.withColumn("error", F.lit(error)).write.mode("overwrite").parquet(f"{quarantine}/batch={n}/kind={kind}")
+
     def taken(batch: DataFrame, n: int) -> None:
+        kept = batch.persist()
         try:
-            handle(parse(batch), n)
+            if quarantine is not None:
+                bad = kept.where(unreadable_fdx())
+                if not bad.isEmpty():
+                    aside(bad, n, "unreadable", "not a Final Draft document")
+                handle(parse_all(kept.where(~unreadable_fdx())), n)
+            else:
+                handle(parse_all(kept), n)
         except Exception as error:
             if quarantine is None:
                 raise
-            batch.withColumn("batch", F.lit(n)).withColumn("error", F.lit(f"{type(error).__name__}: {error}")).write.mode("append").parquet(quarantine)
+            aside(kept, n, "failed", f"{type(error).__name__}: {error}")
+        finally:
+            kept.unpersist()
 
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "[!.]*.{fountain,txt,md}").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(folder)
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "[!.]*.{fountain,txt,md,fdx}").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
     texts = files.select(F.col("_metadata.file_path").alias("script_id"), name.alias("source_filename"), F.col("value").alias("text"))
     texts = texts.withColumn("source_format", file_format(F.col("source_filename")))
