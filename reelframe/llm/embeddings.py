@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .vectors import matrix, tiled, usable
+from .vectors import comparable, matrix, padded, tiled, usable
 
 SAMPLE, SUBSPACES, CODES, PROBES, SIDE, MOST_LISTS = 20_000, 8, 256, 8, 2048, 4096
 
@@ -143,21 +143,23 @@ def links(classes: DataFrame, threshold: float, probes: int, total: int) -> Data
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row a vector."""
-    good = written(usable(rows, id_col, vector_col), "usable")
-    classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    """(vec_id, n_links, component_id, kept), one row a vector, whatever its id: classes of equal vectors have numbers of their own."""
+    good = written(padded(usable(rows, id_col, vector_col)), "usable")
+    classes = good.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     every = rows.select(rows[id_col].cast("long").alias("vec_id"))
     if not total:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = written(links(classes, threshold, probes, total), "links")
+    found = written(links(classes.select("rep", "copies", "v"), threshold, probes, total), "links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     parts = components(found.where("kind = 1").select("a", "b"))
     named = classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        "v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")
     )
-    members = good.join(named, "v").select("vec_id", "n_links", "component_id")
-    bad = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].alias("embedding"))
-    bad = bad.join(good.select(F.col("vec_id").alias("known")).distinct(), F.col("vec_id") == F.col("known"), "left_anti")
+    named = written(named, "named")
+    least = written(named.groupBy("part").agg(F.min("first").alias("component_id")), "least")
+    members = good.join(named.join(least, "part").select("v", "n_links", "component_id"), "v").select("vec_id", "n_links", "component_id")
+    bad = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("v")).where(~comparable())
     out = members.unionByName(bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

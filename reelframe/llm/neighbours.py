@@ -233,10 +233,11 @@ def search(rows: DataFrame, queries: DataFrame, n: int = 20, tables: int = TABLE
     w is in units of the projections' deviation. `queries` has the columns of `rows`.
     """
     good = written(usable(rows, id_col, vector_col), "usable")
-    asked = written(usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "v"), "asked")
+    one = lambda d: d.groupBy("vec_id").agg(F.min("v").alias("v"))  # noqa: E731  of vectors that share an id the least one takes part
+    asked = written(one(usable(queries, id_col, vector_col)).select(F.col("vec_id").alias("rep"), "v"), "asked")
     # a class keeps its n + 1 smallest ids: no query can need more of them
     first = F.row_number().over(Window.partitionBy("v", "part").orderBy("vec_id"))
-    kept = good.dropDuplicates(["vec_id"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", first).where(F.col("r") <= n + 1)
+    kept = one(good).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", first).where(F.col("r") <= n + 1)
     kept = kept.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, n + 1).alias("ids"))
     classes = written(kept.select("v", F.element_at("ids", 1).alias("rep"), "ids"), "classes")
     if classes.isEmpty() or asked.isEmpty():

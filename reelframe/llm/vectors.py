@@ -4,18 +4,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def comparable() -> Column:
+    """Whether vec_id is given and v is a vector that is not null, not zero and holds only finite components."""
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>): vectors that are not null, not zero and hold only finite components."""
-    v = rows[vector_col].cast("array<double>")
-    out = rows.select(rows[id_col].cast("long").alias("vec_id"), v.alias("v")).where("v is not null and vec_id is not null")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return out.where(~bad & F.exists("v", lambda x: x != 0))
+    return rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("v")).where(comparable())
+
+
+def padded(rows: DataFrame) -> DataFrame:
+    """(vec_id, v) with all vectors as long as the longest, filled up with zeros."""
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(widest(rows)) - F.size("v"))))
 
 
 def matrix(column, width: int | None = None) -> np.ndarray:

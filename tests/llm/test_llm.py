@@ -517,3 +517,52 @@ def test_classify_scores_words(spark):
         grams = word_tuples(t or "", quality.ORDER)
         want = float(np.exp(-sum(np.log(p(g)) for g in grams) / len(" ".join(t.split()).encode()))) if grams else None
         assert got[i]["perplexity"] == (want if want is None else pytest.approx(want, rel=1e-6))
+
+
+LINK_SCHEMA = "vec_id long, embedding array<double>, rep long, component string, first int"
+
+
+def brute_links(rows, threshold):
+    width = max((len(v) for _, v, *_ in rows if v is not None), default=0)
+    ok = [i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v, *_ in rows]
+    unit = [np.array(list(v) + [0.0] * (width - len(v))) / np.linalg.norm(v) if good else None for (_, v, *_), good in zip(rows, ok)]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if ok[a] and ok[b] and unit[a] @ unit[b] >= threshold]
+    degree = collections.Counter(x for pair in linked for x in pair)
+    root = grouped(range(len(rows)), linked)
+    members = collections.defaultdict(list)
+    for i in range(len(rows)):
+        members[root[i]].append(i)
+    out = []
+    for i, (vec, *_) in enumerate(rows):
+        least = min((rows[j][0] for j in members[root[i]] if rows[j][0] is not None), default=None)
+        out.append((vec, degree[i], least, vec == least))
+    return sorted(out, key=str)
+
+
+def test_embedding_links_of_every_kind_over_several_lists(spark, monkeypatch):
+    """Copies, chains, pairs near the threshold, repeated ids on equal and on different vectors, unequal lengths, unusable rows."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 200, raising=False)
+    r, rows = np.random.default_rng(5), []
+    centres = r.normal(size=(40, 12))
+    for k, c in enumerate(centres):
+        for j in range(8):
+            rows.append((10 * k + j, (c / np.linalg.norm(c) + r.normal(size=12) * 0.08 * (j % 4)).tolist()))
+    chain = [[float(np.cos(0.3 * t)), float(np.sin(0.3 * t))] for t in range(6)]
+    rows += [(5000 + t, v) for t, v in enumerate(chain)] + [(6000, chain[0]), (6000, chain[0]), (5001, chain[5]), (7, [9.0]), (3, None), (3, [0.0] * 12), (8, [float("nan")] * 12), (None, [1.0] * 12), (9, [])]
+    full = [(i, v, 0, "x", 1) for i, v in rows]
+    got = embeddings.near_duplicates(spark.createDataFrame(full, LINK_SCHEMA).repartition(5), 0.9).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], bool(r["kept"])) for r in got), key=str) == brute_links(full, 0.9)
+
+
+def test_a_null_vector_does_not_hide_behind_its_id(spark):
+    rows = [(1, [1.0, 0.0], 0, "", 0), (1, None, 0, "", 0), (2, [1.0, 0.0], 0, "", 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, LINK_SCHEMA), 0.9).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_neighbours_take_the_least_of_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0], 0, "", 0), (1, [5.0, 0.0], 0, "", 0), (1, [2.0, 9.0], 0, "", 0), (2, [3.0, 0.0], 0, "", 0)]
+    d = spark.createDataFrame(rows, LINK_SCHEMA)
+    for n in (1, 4):
+        got = neighbours.search(d.repartition(n), d.where("vec_id = 0"), n=5).collect()
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 3.0), (2, 1, 2.0)]
