@@ -61,12 +61,6 @@ def stalled(events: DataFrame, now: float, after: float = STALL_SECONDS) -> Data
     return latest_progress(events).where((F.col("status") == "running") & (F.lit(now) - F.col("ts") > after))
 
 
-def stalls_of_stream(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """(script_id, start, end, n): sessions of heartbeats (script_id, at timestamp); a session's end is a stall."""
-    w = F.session_window("at", gap)
-    return events.withWatermark("at", late).groupBy("script_id", w.alias("w")).agg(F.count("*").alias("n")).select("script_id", "w.start", "w.end", "n")
-
-
 def sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = STALL_SECONDS) -> DataFrame:
     """(keys, session_no, started, ended, n): the batch twin; a gap of gap_seconds or more starts a session."""
     by = Window.partitionBy(*keys).orderBy(ts)
