@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, by_bytes, mix, sliding_argmin, small_batches, texts, window_hashes, written
 
-GRAM, SEED, WIDEST = 8, 7, 262
+GRAM, SEED, WIDEST, SLOTS = 8, 7, 262, 1 << 20
 
 
 def split(text: str) -> list[bytes]:
@@ -160,13 +160,26 @@ def places_of(heads: DataFrame) -> DataFrame:
     return written(heads.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
 
 
-def repeated_starts(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+def met_by(places: DataFrame, history: DataFrame) -> DataFrame:
+    """The rows of history (doc_id, text) whose document may be in places. Ids are dealt over SLOTS numbers, so what is
+    broadcast has at most that many rows; a number that two ids share costs a needless text."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = places.select(slot).distinct()
+    return history.select("*", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+
+
+def repeated_starts(docs: DataFrame, found: DataFrame, size: int, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, starts array<struct<start int, n int>>): runs of windows of docs (doc_id, text) that also start earlier.
 
-    found: segments with a repeated anchor. Windows themselves are compared only for the heads of unequal classes.
+    found: segments with a repeated anchor, of docs and of history, whose ids are all smaller. Windows themselves are
+    compared only for the heads of unequal classes.
     """
     runs, heads = classes_of(found)
-    windows = written(candidate_windows(docs, places_of(heads), size), "windows")
+    places = places_of(heads)
+    if history is not None:
+        earlier = F.col("doc_id") < F.lit(docs.agg(F.min("doc_id")).first()[0]).cast("long")
+        docs = docs.unionByName(met_by(places.where(earlier), history.where(earlier)))
+    windows = written(candidate_windows(docs, places, size), "windows")
     return starts_of(runs.unionByName(repeated_windows(windows)))
 
 

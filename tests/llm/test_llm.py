@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reelframe.llm import bpe, embeddings, langid, neighbours, packing, quality, sharding, simhash, substrings, suffixes
+from reelframe.llm import bpe, embeddings, langid, neighbours, packing, quality, sharding, simhash, substrings, suffixes, windows
 from reelframe.llm.common import components, sliding_argmin, window_hashes, written
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -216,6 +216,47 @@ def test_a_later_call_deduplicates_against_an_index_of_an_earlier_one(spark, doc
     assert any(want[i][2] for i in want if i >= 7)
 
 
+def test_runs_are_compacted_with_runs_of_like_size(spark):
+    index = substrings.FingerprintIndex(spark, buckets=2)
+    hashes = lambda low, n: spark.range(low, low + n).selectExpr("id as h")
+    index.add(hashes(0, 5000))
+    large = index.runs[0]
+    for k in range(5):
+        index.add(hashes(10_000 + 20 * k, 20))
+    assert large in index.runs and sorted(index.rows.values()) == [20, 80, 5000]
+    assert [r["h"] for r in index.add(hashes(4999, 2)).collect()] == [4999]
+    index.drop()
+
+
+def test_a_failed_call_leaves_the_index_and_a_repeated_one_gives_the_same(spark, docs, monkeypatch):
+    want, name = brute_windows(20), "fingerprints_atomic"
+    old, new = docs.where("doc_id < 7"), docs.where("doc_id >= 7")
+    substrings.deduplicate(old, 20, index=substrings.FingerprintIndex(spark, name))
+    before = substrings.FingerprintIndex(spark, name).rows
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(substrings.FingerprintIndex, "keep", fails)
+        with pytest.raises(OSError):
+            substrings.deduplicate(new, 20, index=substrings.FingerprintIndex(spark, name), history=old)
+    assert substrings.FingerprintIndex(spark, name).rows == before
+    for _ in range(2):
+        got = collected(substrings.deduplicate(new, 20, index=substrings.FingerprintIndex(spark, name), history=old))
+        assert {i: (r["kept"], r["n_words"], r["n_removed"]) for i, r in got.items()} == {i: w for i, w in want.items() if i >= 7}
+    index = substrings.FingerprintIndex(spark, name)
+    assert set(index.found()) == {*index.rows, *[t for t in index.found() if "_manifest_" in t]} and sum("_manifest_" in t for t in index.found()) == 1
+    index.drop()
+    assert not index.found()
+
+
+def test_of_history_only_met_texts_move(spark):
+    history = spark.createDataFrame([(i, "x") for i in range(5000)], "doc_id long, text string")
+    met = windows.met_by(spark.createDataFrame([(3,), (4000,)], "doc_id long"), history)
+    assert {3, 4000} <= {r["doc_id"] for r in met.collect()} and met.count() < 20 and met.columns == ["doc_id", "text"]
+
+
 def test_suffixes_meet_in_crowded_groups_and_over_blocks(spark, monkeypatch):
     r = random.Random(3)
     word = lambda: f"w{r.randrange(10**6)}"
