@@ -9,9 +9,6 @@ documents of its language.
 Scoring (score_words) has one plan at every size: (n-gram, row, count) rows, summed within each document, are joined
 with the sharded table of their order; what is unknown goes on with its suffix, summed again.
 
-The functions over bytes (count, score, score_by_joins) are the same model with bytes as its words; classify does not
-use them.
-
 Defined results: a null or empty text has no perplexity and is rejected; a language without trusted text is
 held against the quantile of all trusted text; without any trusted text every document with text is kept;
 repeated rows are scored each; a null lang is a language of its own.
@@ -20,27 +17,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, by_bytes, mix, remove, small_batches, window_hashes, written
+from .common import WordHashes, by_bytes, remove, small_batches, window_hashes, written
 
-ORDER, QUANTILE, SLACK, MODEL_ROWS, SYMBOLS = 5, 0.99, 1.1, 6_000_000, 256
+ORDER, QUANTILE, SLACK = 5, 0.99, 1.1
 HELD_OUT = 5
 
 
-#: Suffix (without the first) and context (without the last) of an n-gram of order k: of packed bytes, and of words of 8 bytes each.
-BYTES = (lambda g, k: F.col(g).bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)), lambda g, k: F.shiftrightunsigned(g, 8) if k > 1 else F.lit(0).cast("long"))
-WORDS = (lambda g, k: F.substr(g, F.lit(9)), lambda g, k: F.substr(g, F.lit(1), F.lit(8 * (k - 1))))
+def drop_first(g: str, k: int) -> Column:
+    """The suffix of an n-gram of order k, words of 8 bytes each."""
+    return F.substr(g, F.lit(9))
 
 
-def grams(text: bytes, order: int) -> np.ndarray:
-    """Each byte with the order - 1 before it, packed into an integer; line ends stand before the text."""
-    raw = np.frombuffer(b"\n" * (order - 1) + text, dtype=np.uint8).astype(np.uint64)
-    out = np.zeros(len(text), dtype=np.uint64)
-    for i in range(order):
-        out = out << U64(8) | raw[i : i + len(text)]
-    return out
+def drop_last(g: str, k: int) -> Column:
+    """Its context."""
+    return F.substr(g, F.lit(1), F.lit(8 * (k - 1)))
 
 
 def squeezed(text: str) -> bytes:
@@ -48,20 +41,6 @@ def squeezed(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").split())
 
 
-def count(docs: DataFrame, order: int, text_col: str = "text") -> DataFrame:
-    """(g long, n long): top-order n-gram counts; each task sums its own batches before the shuffle."""
-
-    def run(batches):
-        for b in small_batches(batches, 1024):
-            for start, end in by_bytes(b, "text", 4 << 20):
-                part = b.slice(start, end - start).column(0).to_pylist()
-                found, n = np.unique(np.concatenate([grams(squeezed(t), order) for t in part]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    rows = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
 def discounts(adjusted: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts 1 to 4."""
     t = adjusted.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"t{k}") for k in (1, 2, 3, 4)]).first()
@@ -71,14 +50,13 @@ def discounts(adjusted: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols: int | None = SYMBOLS) -> DataFrame:
-    """(k int, g long, p double, back double): for each order k and n-gram g its probability, and the weight that
-    g, as a context, gives to the order below k + 1 (null if g is no context). symbols: None counts the known and one more."""
-    drop_first, drop_last = parts
+def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(k int, g binary, p double, back double): for each order k and n-gram g its probability, and the weight that
+    g, as a context, gives to the order below k + 1 (null if g is no context)."""
     adjusted = {order: written(counts, "counts")}
     for k in range(order - 1, 0, -1):
         adjusted[k] = written(adjusted[k + 1].groupBy(drop_first("g", k + 1).alias("g")).agg(F.count("*").alias("n")), "counts")
-    symbols = symbols or adjusted[1].count() + 1
+    symbols = adjusted[1].count() + 1  # the known words and one more
     lower, tables, spent = None, [], list(adjusted.values())
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(adjusted[k])
@@ -111,126 +89,10 @@ def train(counts: DataFrame, order: int = ORDER, parts: tuple = BYTES, symbols:
     return out
 
 
-class Table:
-    """Open-addressed hash table of packed n-grams to two floats, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 2 - 1).bit_length() if len(keys) else 4)
-        self.mask = U64((1 << bits) - 1)
-        self.keys, self.at = np.full(1 << bits, U64(2**64 - 1)), np.zeros(1 << bits, dtype=np.int32)
-        self.values, rest, probe = values, np.arange(len(keys)), U64(0)
-        while len(rest):
-            slot = (mix(keys[rest]) + probe & self.mask).astype(np.int64)
-            free = self.keys[slot] == U64(2**64 - 1)
-            first = np.unique(slot[free], return_index=True)[1]
-            taken = rest[free][first]
-            self.keys[slot[free][first]], self.at[slot[free][first]] = keys[taken], taken
-            rest, probe = np.setdiff1d(rest, taken), probe + U64(1)
-        self.probes = probe
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where it is absent."""
-        slot = (mix(keys) & self.mask).astype(np.int64)
-        out = np.full(len(keys), -1, dtype=np.int64)
-        seen = self.keys[slot]
-        hit = seen == keys
-        out[hit] = self.at[slot[hit]]
-        going = np.flatnonzero(~hit & (seen != U64(2**64 - 1)))
-        while len(going):
-            slot[going] = slot[going] + 1 & int(self.mask)
-            seen = self.keys[slot[going]]
-            hit = seen == keys[going]
-            out[going[hit]] = self.at[slot[going[hit]]]
-            going = going[~hit & (seen != U64(2**64 - 1))]
-        return out
-
-
-class Model:
-    """The model's tables in a worker. tables[k]: keys sorted, log p, log back (0 where no context)."""
-
-    def __init__(self, tables: dict[int, tuple], order: int):
-        self.order = order
-        self.tables = {k: Table(t[0].view(np.uint64), (t[1], t[2])) for k, t in tables.items()}
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each top-order n-gram: the longest known suffix's, with the weights of the known contexts above."""
-        out, going, weight = np.zeros(len(keys)), np.arange(len(keys)), np.zeros(len(keys))
-        for k in range(self.order, 0, -1):
-            own = keys[going] & U64((1 << 8 * k) - 1)
-            row = self.tables[k].find(own)
-            hit = row >= 0
-            hit[hit] = ~np.isnan(self.tables[k].values[0][row[hit]])
-            out[going[hit]] = self.tables[k].values[0][row[hit]] + weight[going[hit]]
-            going, own = going[~hit], own[~hit]
-            if not len(going):
-                return out
-            ctx = self.tables[k - 1].find(own >> U64(8))
-            known = ctx >= 0
-            weight[going[known]] += self.tables[k - 1].values[1][ctx[known]]
-        out[going] = weight[going] - np.log(SYMBOLS)
-        return out
-
-
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, perplexity double); no shuffle if the model can be broadcast."""
-    if model.count() > MODEL_ROWS:
-        return score_by_joins(docs, model, order, id_col, text_col, lang_col)
-    got = model.toArrow()
-    k, g, p = got["k"].to_numpy(), got["g"].to_numpy(), np.log(got["p"].to_numpy(zero_copy_only=False).astype(np.float64))
-    back = np.log(np.nan_to_num(got["back"].to_numpy(zero_copy_only=False).astype(np.float64), nan=1.0))
-    tables = {i: (g[k == i], p[k == i].astype(np.float32), back[k == i].astype(np.float32)) for i in range(order + 1)}
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches):
-        own = Model(shared.value, order)
-        for b in small_batches(batches, 512):
-            for start, end in by_bytes(b, "text"):
-                part = b.slice(start, end - start)
-                each = [grams(squeezed(t or ""), order) for t in part.column(2).to_pylist()]
-                sizes = np.array([len(x) for x in each])
-                logs = np.concatenate([[0.0], np.cumsum(own.log_probabilities(np.concatenate(each)))])
-                ends = np.cumsum(sizes)
-                mean = (logs[ends] - logs[ends - sizes]) / np.maximum(sizes, 1)
-                value = [float(np.exp(-m)) if n else None for m, n in zip(mean, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value, pa.float64())], names=["doc_id", "lang", "perplexity"])
-
-    return columns(docs, id_col, text_col, lang_col).mapInArrow(run, "doc_id long, lang string, perplexity double")
-
-
 def columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
 
 
-def score_by_joins(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The same with a model of any size: distinct n-grams of each document, joined order by order on the n-gram."""
-
-    def run(batches):
-        for b in small_batches(batches, 256):
-            for row, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                found, n = np.unique(grams(squeezed(text or ""), order), return_counts=True)
-                found, n = (np.array([-1]).view(np.uint64), np.array([0])) if not len(found) else (found, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(n), pa.int64()), pa.array([lang] * len(n), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["doc_id", "lang", "g", "n"],
-                )
-
-    rows = columns(docs, id_col, text_col, lang_col).mapInArrow(run, "doc_id long, lang string, g long, n long")
-    rows = rows.groupBy("doc_id", "lang", "g").agg(F.sum("n").alias("n")).withColumn("log", F.lit(None).cast("double")).withColumn("weight", F.lit(0.0))
-    for k in range(order, 0, -1):
-        own = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        here = model.where((F.col("k") == k) & F.col("p").isNotNull()).select(F.col("g").alias("own"), F.log("p").alias("found"))
-        up = model.where(F.col("k") == k - 1).select(F.col("g").alias("ctx"), F.log("back").alias("lost"))
-        rows = rows.withColumn("own", own).join(here, "own", "left").withColumn("ctx", F.shiftrightunsigned("own", 8)).join(up, "ctx", "left")
-        rows = rows.select(
-            "doc_id", "lang", "g", "n",
-            F.coalesce("log", F.col("found") + F.col("weight")).alias("log"),
-            (F.col("weight") + F.when(F.col("log").isNull() & F.col("found").isNull(), F.coalesce("lost", F.lit(0.0))).otherwise(0.0)).alias("weight"),
-        )
-    log = F.coalesce("log", F.col("weight") - F.lit(float(np.log(SYMBOLS))))
-    total = rows.groupBy("doc_id", "lang").agg(F.sum("n").alias("n"), F.sum(log * F.col("n")).alias("log"))
-    return total.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log") / F.col("n"))).alias("perplexity"))
-
-
 def word_grams(texts: list[str], order: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, n-gram as a row of word hashes, count): the distinct n-grams of each text; zeros stand before its words."""
     found, at = [np.zeros((0, order), dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
@@ -268,7 +130,6 @@ def count_words(docs: DataFrame, order: int, text_col: str = "text") -> DataFram
 def score_words(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity double), a row for each row of docs. The perplexity of the words is given per byte of
     their text, the unit that SLACK is meant for."""
-    drop_first, drop_last = WORDS
 
     def run(batches):
         hashes = WordHashes()
@@ -325,7 +186,7 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
         training = judges = ids
     plain = columns(docs, id_col, text_col, lang_col)
     # the same plan at every size: what is trusted grows with the corpus, so it is never broadcast
-    model = train(count_words(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order, WORDS, None)
+    model = train(count_words(plain.join(training.hint("merge"), "doc_id", "left_semi"), order), order)
     scores = written(score_words(docs, model, order, id_col, text_col, lang_col), "scores")
     remove(model)
     good = scores.join(judges, "doc_id", "left_semi").where("perplexity is not null")

@@ -449,52 +449,6 @@ def test_language_filter_decides_as_exact_sets_do(spark):
         assert got[i]["lang_pred"] == order[best]
 
 
-def kneser_ney(corpus, order):
-    """Interpolated modified Kneser-Ney, straight from its definition; returns the probability function."""
-    counts = {order: collections.Counter(g for t in corpus for g in byte_grams(t, order))}
-    for k in range(order - 1, 0, -1):
-        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
-    cut = {}
-    for k, c in counts.items():
-        t = [sum(v == n for v in c.values()) for n in range(5)]
-        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.0
-        raw = [1 - 2 * y * t[2] / t[1] if t[1] else 0.5, 2 - 3 * y * t[3] / t[2] if t[2] else 1.0, 3 - 4 * y * t[4] / t[3] if t[3] else 1.5]
-        cut[k] = [0.0, *[min(max(d, 0.05), n - 0.05) for n, d in zip((1, 2, 3), raw)]]
-    contexts = {k: collections.defaultdict(list) for k in counts}
-    for k, c in counts.items():
-        for g, n in c.items():
-            contexts[k][g[:-1]].append(n)
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        k, seen = len(g), contexts[len(g)].get(g[:-1])
-        if not seen:
-            return p(g[1:])
-        n = counts[k].get(g, 0)
-        return (n - cut[k][min(n, 3)] + sum(cut[k][min(x, 3)] for x in seen) * p(g[1:])) / sum(seen)
-
-    return p
-
-
-def byte_grams(text, order):
-    raw = b"\n" * (order - 1) + b" ".join(text.encode().split())
-    return [raw[i : i + order] for i in range(len(raw) - order + 1)]
-
-
-def test_perplexity_equals_the_definition_in_both_ways(spark):
-    corpus = [spoken("aa", 20, i) for i in range(12)]
-    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(corpus)] + [(20, spoken("bb", 20, 1), "bb"), (21, None, None), (22, "", "aa"), (23, "x", "aa")], "doc_id long, text string, lang string")
-    model = quality.train(quality.count(df.where("doc_id < 10"), 3), 3)
-    p = kneser_ney(corpus[:10], 3)
-    one, two = (collected(f(df, model, 3)) for f in (quality.score, quality.score_by_joins))
-    for i, t, _ in df.collect():
-        grams = byte_grams(t or "", 3)
-        want = float(np.exp(-np.mean([np.log(p(g)) for g in grams]))) if grams else None
-        assert one[i]["perplexity"] == (want if want is None else pytest.approx(want, rel=1e-4))
-        assert two[i]["perplexity"] == (want if want is None else pytest.approx(want, rel=1e-6))
-
-
 def test_quality(spark):
     rows = [(i, spoken("aa", 40, i), "aa") for i in range(60)] + [(100 + i, "## " + "QX!! %% " * 20, "aa") for i in range(5)] + [(200, None, "aa"), (201, spoken("aa", 40, 777), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
