@@ -19,6 +19,10 @@ UNION ALL SELECT script_id, conv_id, 1000000, 3, 'transition', CASE WHEN conv_id
 r AS (SELECT p.script_id, scene_number, CAST(row_number() OVER (PARTITION BY p.script_id, p.conv_id ORDER BY a, b) - 1 AS INTEGER) AS element_index, type, text, character, conv_id FROM p JOIN s USING (script_id, conv_id))"""
 ELEMENTS = f"WITH {RICH} SELECT script_id, scene_number, element_index, type, text, character FROM r"
 
+FILES = f"""WITH {RICH}, k AS (SELECT *, CASE WHEN script_id % 2 = 0 THEN 'fountain' ELSE 'fdx' END AS source_format, script_id % 2 = 1 AND script_id % 5 = 0 AS broken FROM r)
+SELECT source_format, type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM k WHERE NOT broken GROUP BY ALL
+UNION ALL SELECT source_format, 'error', count(DISTINCT script_id), CAST(0 AS BIGINT) FROM k WHERE broken GROUP BY source_format"""
+
 #: The lines of the PDF boxes, in order.
 PDF = rf"""{CONV}, {SCENE}, l AS (SELECT script_id, conv_id, -1 AS t, 0 AS k, 'scene_heading' AS type, 'INT. ROOM ' || conv_id || ' - DAY' AS text, NULL::VARCHAR AS character FROM s
 UNION ALL SELECT script_id, conv_id, turn, 0, 'character', name, name FROM c UNION ALL SELECT script_id, conv_id, turn, 1, 'dialogue', 'so ' || line, name FROM c
@@ -59,6 +63,8 @@ CASE WHEN conv_id % 3 > 0 THEN 'INT' END AS int_ext, CASE conv_id % 3 WHEN 0 THE
         "json_roundtrip": f"""WITH {CONV}, {SCENE}, {PLAIN} SELECT script_id, count(*) FILTER (type = 'scene_heading') AS scenes, count(*) AS elements, (SELECT count(*) FROM (SELECT DISTINCT script_id, conv_id, role FROM c) x WHERE x.script_id = l.script_id) AS characters FROM l GROUP BY ALL""",
         "session_files": "SELECT CAST(conv_id // 10 AS VARCHAR) AS session_id, 'Talk ' || (conv_id // 10) AS title, CAST(conv_id // 10 AS DOUBLE) AS updated_at, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations GROUP BY ALL",
         "watch_folder": f"WITH {CONV}, {SCENE}, {PLAIN} SELECT type, count(*) AS n FROM l GROUP BY ALL",
+        "script_file_source": FILES,
+        "script_file_stream": FILES,
         "formatting_checks": f"""WITH {RICH}, h AS (SELECT * FROM r WHERE type = 'scene_heading' AND conv_id % 3 = 0),
 n AS (SELECT script_id, character, count(*) FILTER (type = 'parenthetical') AS parens, count(*) FILTER (type = 'dialogue') AS lines, min(scene_number) FILTER (type = 'character') AS first FROM r WHERE character IS NOT NULL GROUP BY ALL),
 f AS (SELECT script_id, 'scene_heading_missing_int_ext' AS rule, 'medium' AS severity, scene_number AS ref FROM h UNION ALL SELECT script_id, 'scene_heading_missing_time_of_day', 'low', scene_number FROM h

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context, craft, findings, graph, structure, tracks
 from ..operators import stats as S
-from ..sources import export, json_files, screenplay
+from ..sources import export, json_files, screenplay, script_files
 from ..streaming import jobs
 from .adapters import elements, generated_scripts, presence, scenes, shared_folder, squeezed, table
 from .registry import injected, query
@@ -151,6 +151,41 @@ def watch_folder(spark, d):
     return spark.read.schema("type string, n long").parquet(f"{home}/out").groupBy("type").agg(F.sum("n").alias("n"))
 
 
+def mixed_files(spark: SparkSession, d: str) -> str:
+    """A folder of the written-out scripts: Fountain and Final Draft files by turns, every fifth of the latter broken."""
+    rich = rich_scripts(spark, d)
+    whole, odd = screenplay.parse(rich), F.col("script_id") % 2 == 1
+    marked = export.to_fdx(whole["elements"], whole["scripts"]).where(odd)
+    marked = marked.select(F.concat(F.col("script_id").cast("string"), F.lit(".fdx")).alias("source_filename"), F.when(F.col("script_id") % 5 == 0, "broken").otherwise(F.col("text")).alias("text"))
+    home = f"{shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
+    script_files.register(spark)
+    rich.where(~odd).select("source_filename", "text").unionByName(marked).write.format("scripts").mode("append").save(home)
+    return home
+
+
+def elements_by_format(rows: DataFrame) -> DataFrame:
+    """(source_format, type, n, characters) of the elements of files; files that cannot be read are of type error."""
+    form = lambda c: F.regexp_extract(c, r"\.([a-z]+)$", 1).alias("source_format")
+    parsed = screenplay.parse_all(script_files.readable(rows))["elements"].groupBy(form("script_id"), "type").agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("long")).alias("characters"))
+    bad = script_files.problems(rows).groupBy(form("script_id"), F.lit("error").alias("type")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("characters"))
+    return parsed.unionByName(bad)
+
+
+@query
+def script_file_source(spark, d):
+    """Scripts written as files by the data source and read as a batch."""
+    return elements_by_format(spark.read.format("scripts").load(mixed_files(spark, d)))
+
+
+@query
+def script_file_stream(spark, d):
+    """The same files as a stream; its rows are kept before they are parsed."""
+    folder, home = mixed_files(spark, d), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.format("scripts").option("log", f"{home}/log").load(folder)
+    source.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/rows").trigger(availableNow=True).start().awaitTermination()
+    return elements_by_format(spark.read.schema(source.schema).parquet(f"{home}/rows"))
+
+
 @query
 def formatting_checks(spark, d):
     out = screenplay.parse(rich_scripts(spark, d))
