@@ -173,8 +173,8 @@ def elements_by_format(rows: DataFrame) -> DataFrame:
 
 @query
 def script_file_source(spark, d):
-    """Scripts written as files by the data source and read as a batch."""
-    return elements_by_format(spark.read.format("scripts").load(mixed_files(spark, d)))
+    """Scripts written as files by the data source and read as a batch, once."""
+    return elements_by_format(script_files.read_once(spark, mixed_files(spark, d), f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"))
 
 
 @query

@@ -186,6 +186,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ScriptFiles)
 
 
+def read_once(spark: SparkSession, path: str, home: str, **options: str) -> DataFrame:
+    """The rows of the files under a path, kept as Parquet under `home`: tables parsed from them open no file again."""
+    register(spark)
+    rows = spark.read.format("scripts").options(**options).load(path)
+    rows.write.mode("overwrite").parquet(home)
+    return spark.read.schema(rows.schema).parquet(home)
+
+
 def readable(rows: DataFrame) -> DataFrame:
     """The rows that can be parsed."""
     return rows.where(F.col("error").isNull()).drop("error")

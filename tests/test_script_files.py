@@ -50,6 +50,12 @@ def test_formats_leave_other_files_closed_and_small_files_share_a_task(spark, fo
     assert rows(spark.read.format("scripts").load(f"file://{folder}/a.fountain"), "source_filename") == [("a.fountain",)]
 
 
+def test_files_read_once_are_there_when_they_are_gone(spark, folder, tmp_path):
+    kept = script_files.read_once(spark, str(folder), str(tmp_path / "kept"), formats="fountain")
+    (folder / "a.fountain").unlink()
+    assert rows(kept, "source_filename", "text") == [("a.fountain", FOUNTAIN)]
+
+
 def test_an_empty_folder_gives_no_rows_and_a_missing_one_fails(spark, folder, tmp_path):
     (tmp_path / "none").mkdir()
     assert spark.read.format("scripts").load(str(tmp_path / "none")).count() == 0
