@@ -153,13 +153,14 @@ def watch_folder(spark, d):
 
 def mixed_files(spark: SparkSession, d: str) -> str:
     """A folder of the written-out scripts: Fountain and Final Draft files by turns, every fifth of the latter broken."""
-    rich = rich_scripts(spark, d)
-    whole, odd = screenplay.parse(rich), F.col("script_id") % 2 == 1
-    marked = export.to_fdx(whole["elements"], whole["scripts"]).where(odd)
+    rich, odd = rich_scripts(spark, d), F.col("script_id") % 2 == 1
+    whole = screenplay.parse(rich.where(odd))
+    marked = export.to_fdx(whole["elements"], whole["scripts"])
     marked = marked.select(F.concat(F.col("script_id").cast("string"), F.lit(".fdx")).alias("source_filename"), F.when(F.col("script_id") % 5 == 0, "broken").otherwise(F.col("text")).alias("text"))
     home = f"{shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
     script_files.register(spark)
-    rich.where(~odd).select("source_filename", "text").unionByName(marked).write.format("scripts").mode("append").save(home)
+    for rows in (rich.where(~odd).select("source_filename", "text"), marked):
+        rows.write.format("scripts").mode("append").save(home)
     return home
 
 
