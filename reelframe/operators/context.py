@@ -12,9 +12,11 @@ MAX_SCENES, NAME_LENGTH, TOKEN_LENGTH, NICKNAME, CAST = 4, 3, 4, 0.58, 24
 HISTORY, CHUNK_BUDGET, CHUNK_SCENES, CHARS_PER_TOKEN = 16, 1400, 6, 4
 SIGNATURE, LEAST_SIGNATURE, SAME_PREFIX, LEAST_PARAGRAPH = 120, 16, 36, 20
 BULLET = r"^\s*(•|-|\d+[.)])\s+"
-# How turns begin, and phrases that mark a stuck reply.
-QUESTION_START = r"(?i)^(who|what|why|how|does|can|should|is|are|would|could|do|did)\b"
-DIRECTIVE_START = r"(?i)^(rewrite|fix|change|try|add|cut|move|remove|make|let'?s|write|imagine|explain)\b"
+# How turns begin, and phrases that mark a stuck reply. A word ends where no letter of any script, digit, mark or
+# underscore follows; spelled out, as \b means ASCII letters to some engines and all letters to others.
+WORD_END = r"(?![\p{L}\p{Mn}\p{Nd}_])"
+QUESTION_START = r"(?i)^(who|what|why|how|does|can|should|is|are|would|could|do|did)" + WORD_END
+DIRECTIVE_START = r"(?i)^(rewrite|fix|change|try|add|cut|move|remove|make|let'?s|write|imagine|explain)" + WORD_END
 REASONING = r"(?i)\b(because|since|so that|the reason|my instinct|i feel like|the thing is)\b"
 STUCK = [
     "what catches", "feels thin", "coffee cools", "coffee cooling", "end credits roll", "theater walls", "projection booth", "balcony seats", "ceiling rafters",

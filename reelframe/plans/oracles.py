@@ -167,8 +167,8 @@ SELECT user_id, session_no, min(u) AS started, max(u) AS ended, count(*) AS n FR
     "profile_signals": f"""WITH t AS (SELECT CAST(conv_id % 50 AS VARCHAR) AS writer, turn % 4 AS k, {injected('keep it short', 'go deeper', 'okay then')} AS t FROM conversations),
 s AS (SELECT writer, 'detail_level' AS dimension, CASE k WHEN 0 THEN 'short' WHEN 1 THEN 'deep' END AS pole FROM t UNION ALL SELECT writer, 'pushback_appetite', CASE WHEN regexp_matches(t, '(?i)\\b(i disagree\\b|no,|but |that won''?t work\\b|that doesn''?t work\\b|that loses\\b|keep it anyway\\b|actually no\\b)') THEN 'high' WHEN regexp_matches(t, '(?i)\\b(ok(?:ay)?|sure|fine|good point|makes sense|agree(?:d)?|sounds good|go with it)\\b') THEN 'low' END FROM t)
 SELECT writer, dimension, pole, count(*) AS n FROM s WHERE pole IS NOT NULL GROUP BY ALL""",
-    "turn_kinds": f"""WITH t AS (SELECT conv_id, trim({injected('what if', 'rewrite it:', 'because')}, ' ') AS t FROM conversations),
-k AS (SELECT conv_id, CASE WHEN t = '' THEN 'idea' WHEN ends_with(t, '?') OR regexp_matches(t, '(?i)^(who|what|why|how|does|can|should|is|are|would|could|do|did)\\b') THEN 'question' WHEN regexp_matches(t, '(?i)^(rewrite|fix|change|try|add|cut|move|remove|make|let''?s|write|imagine|explain)\\b') THEN 'directive' ELSE 'idea' END AS k FROM t)
+    "turn_kinds": rf"""WITH t AS (SELECT conv_id, trim({injected('what if', 'rewrite it:', 'because')}, ' ') AS t FROM conversations), l AS (SELECT conv_id, t, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM t),
+k AS (SELECT conv_id, CASE WHEN t = '' THEN 'idea' WHEN ends_with(t, '?') OR regexp_matches(low, '^(who|what|why|how|does|can|should|is|are|would|could|do|did)([^\p{{L}}\p{{Mn}}\p{{Nd}}_]|$)') THEN 'question' WHEN regexp_matches(low, '^(rewrite|fix|change|try|add|cut|move|remove|make|let''?s|write|imagine|explain)([^\p{{L}}\p{{Mn}}\p{{Nd}}_]|$)') THEN 'directive' ELSE 'idea' END AS k FROM l)
 SELECT conv_id, count(*) FILTER (k = 'question') AS question, count(*) FILTER (k = 'directive') AS directive, count(*) FILTER (k = 'idea') AS idea FROM k GROUP BY conv_id""",
     "trigram_repetition": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '[a-z'']+', 0) AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, list_transform(generate_series(1, greatest(len(w) - 2, 0)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS t FROM w)
 SELECT doc_id, CASE WHEN n >= 40 THEN (len(t) - len(list_distinct(t)))::DOUBLE / len(t)::DOUBLE ELSE 0::DOUBLE END AS ratio FROM g""",
