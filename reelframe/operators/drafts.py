@@ -128,10 +128,11 @@ def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def resolved_log(log: DataFrame) -> DataFrame:
-    """(script_id, seq, op, target): which edit each entry of a log is about; null where there is nothing to undo or redo.
+    """(script_id, seq, op, target, made): which edit each entry of a log is about; null where there is nothing to undo or redo.
 
     log: (script_id, seq, op edit|undo|redo|reset, edit_seq for edits). Undo takes the last edit back, redo puts back the last one
-    undone, a new edit clears what was undone, a reset clears all. Rows pass in order; a task holds the two stacks of one script.
+    undone, a new edit clears what was undone, a reset clears all. target is the edit's edit_seq, made the seq of its entry, which
+    tells edits apart that share an edit_seq. Rows pass in order; a task holds the two stacks of one script.
     """
     rows = log.where("script_id is not null").select("script_id", F.col("seq").cast("long").alias("seq"), "op", F.col("edit_seq").cast("long").alias("target"))
     kind = dict(rows.dtypes)["script_id"]
@@ -140,12 +141,12 @@ def resolved_log(log: DataFrame) -> DataFrame:
         current, done, undone = None, [], []
         for pdf in batches:
             targets = []
-            for script, op, edit in zip(pdf["script_id"], pdf["op"], pdf["target"]):
+            for script, seq, op, edit in zip(pdf["script_id"], pdf["seq"], pdf["op"], pdf["target"]):
                 if script != current:
                     current, done, undone = script, [], []
-                target = None
+                target = None, None
                 if op == "edit":
-                    target = int(edit)
+                    target = int(edit), int(seq)
                     done.append(target)
                     undone = []
                 elif op in ("undo", "redo"):
@@ -156,17 +157,18 @@ def resolved_log(log: DataFrame) -> DataFrame:
                 else:
                     done, undone = [], []
                 targets.append(target)
-            yield pdf.assign(target=pd.array(targets, dtype="Int64"))
+            yield pdf.assign(**{c: pd.array([t[i] for t in targets], dtype="Int64") for i, c in enumerate(("target", "made"))})
 
-    return rows.repartition("script_id").sortWithinPartitions("script_id", "seq").mapInPandas(run, f"script_id {kind}, seq long, op string, target long")
+    return rows.repartition("script_id").sortWithinPartitions("script_id", "seq").mapInPandas(run, f"script_id {kind}, seq long, op string, target long, made long")
 
 
 def effective_log(log: DataFrame) -> DataFrame:
-    """(script_id, edit_seq): edits in force after undo, redo and reset, by the last word on each."""
+    """(script_id, edit_seq): edits in force after undo, redo and reset, by the last word on each; a row an edit, also where edits
+    share an edit_seq."""
     rows = resolved_log(log)
     reset = F.max(F.when(F.col("op") == "reset", F.col("seq"))).over(Window.partitionBy("script_id"))
     said = rows.withColumn("reset", reset).where("target is not null and (reset is null or seq > reset)")
-    last = said.groupBy("script_id", "target").agg(F.max_by("op", "seq").alias("op"))
+    last = said.groupBy("script_id", "target", "made").agg(F.max_by("op", "seq").alias("op"))
     return last.where("op <> 'undo'").select("script_id", F.col("target").cast("int").alias("edit_seq"))
 
 
@@ -178,11 +180,11 @@ def history(elements: DataFrame, log: DataFrame) -> DataFrame:
     only. A scene's entries are a fold of their own, scenes run in parallel; entries without a target change nothing.
     """
     keys, entries = ["script_id", "scene_number"], resolved_log(log)
-    edits = log.where("op = 'edit'").select("script_id", F.col("edit_seq").cast("long").alias("target"), "scene_number", "replacements")
+    edits = log.where("op = 'edit'").select("script_id", F.col("seq").cast("long").alias("made"), "scene_number", "replacements")
     places = elements.select(*keys).distinct()
-    aimed = entries.join(edits, ["script_id", "target"])
+    aimed = entries.join(edits, ["script_id", "made"])
     resets = entries.where("op = 'reset'").join(places, "script_id").withColumn("replacements", F.lit(None).cast(dict(edits.dtypes)["replacements"]))
-    steps = aimed.unionByName(resets).select(*keys, "seq", "op", "target", "replacements")
+    steps = aimed.unionByName(resets).select(*keys, "seq", "op", "target", "made", "replacements")
     kinds = dict(elements.dtypes)
     columns = ["script_id", "scene_number", "element_index", "text", "from_seq", "to_seq", "seq", "op", "target", "restored", "failed"]
     schema = f"script_id {kinds['script_id']}, scene_number {kinds['scene_number']}, element_index {kinds['element_index']}, text string, from_seq long, to_seq long, seq long, op string, target long, restored long, failed long"
@@ -207,7 +209,7 @@ def history(elements: DataFrame, log: DataFrame) -> DataFrame:
                     done += 1
             return done, len(pairs) - done
 
-        for seq, op, target, replacements in ops.sort_values("seq")[["seq", "op", "target", "replacements"]].itertuples(index=False) if len(ops) else []:
+        for seq, op, target, made, replacements in ops.sort_values("seq")[["seq", "op", "target", "made", "replacements"]].itertuples(index=False) if len(ops) else []:
             seq = int(seq)
             if op == "edit":
                 pairs, missed = [], 0
@@ -218,14 +220,14 @@ def history(elements: DataFrame, log: DataFrame) -> DataFrame:
                     else:
                         pairs.append((text[i], (r["new"] or "").strip()))
                         change(i, pairs[-1][1], seq)
-                applied[target] = pairs
+                applied[made] = pairs
                 counts = len(pairs), missed
             elif op == "reset":
                 for i, t in enumerate(first):
                     change(i, t, seq)
                 counts = len(first), 0
             else:
-                pairs = applied.get(target, [])
+                pairs = applied.get(made, [])
                 counts = swap([(b, a) for a, b in pairs] if op == "undo" else pairs, seq)
             out.append((*key, None, None, None, None, seq, op, None if op == "reset" else int(target), *counts))
         out += [(*key, places[i], t, since[i], None, None, None, None, None, None) for i, t in enumerate(text)]

@@ -21,3 +21,13 @@ def test_a_turn_kind_takes_whole_words_of_any_script(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = same_as_sql(spark, str(tmp_path), "turn_kinds", ["conversations"])
     assert {r["conv_id"]: [k for k in ("question", "directive", "idea") if r[k]] for r in got} == {i: [k] for i, k in enumerate(texts.values())}
+
+
+def test_edits_that_share_a_number_stay_apart(spark, tmp_path):
+    import datetime as dt
+
+    ids = [i + k for k in (0, 1_000_000, 6_000_000) for i in (0, 3, 4, 5, 6, 8, 10)]
+    rows = [(i, dt.datetime(2024, 1, 1), i % 2, "view", 1.0, "") for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["script_id"], r["edit_seq"]) for r in same_as_sql(spark, str(tmp_path), "edits_in_force", ["events"])]
+    assert len(got) > len(set(got))
