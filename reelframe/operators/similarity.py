@@ -12,7 +12,6 @@ Equal texts are one text. No pair at or above the threshold is lost, and texts a
 """
 from __future__ import annotations
 
-import difflib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.text import Matched
+
 MOST_GRAM = 5
 
 
@@ -101,7 +102,7 @@ def at_least(threshold: float):
         for x, y in zip(a, b):
             r = 1.0 if x == y else None
             if r is None and upper_bound(x, y) >= threshold:
-                r = difflib.SequenceMatcher(None, x, y).ratio()
+                r = Matched(x, y).at_least(threshold)
             out.append(r if r is not None and r >= threshold else None)
         return pd.Series(out, dtype="float64")
 

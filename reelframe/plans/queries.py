@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from ..functions.text import ascii_word_count, normalised, ratio_udf, windowed_ratio_udf, word_count
+from ..functions.text import ascii_word_count, normalised, ratio_udf, windowed_ratio_reaches, word_count
 from ..operators import context, craft, drafts, findings, graph, memory, rules, stats, structure, tracks
 from ..sources import export, screenplay
 from ..streaming.jobs import sessions
@@ -223,7 +223,7 @@ def quote_verify_fuzzy(spark, d):
     """Each turn's words after one that is made up, against its own scene's turns."""
     e = elements(spark, d)
     quotes = e.where("character is not null").select("script_id", "element_index", "scene_number", F.concat(F.lit("changed "), normalised(F.col("text"))).alias("q"))
-    return quotes.join(findings.scene_texts(e), ["script_id", "scene_number"]).select("script_id", "scene_number", "element_index", (windowed_ratio_udf("q", "body") >= findings.FUZZY).alias("verified"))
+    return quotes.join(findings.scene_texts(e), ["script_id", "scene_number"]).select("script_id", "scene_number", "element_index", windowed_ratio_reaches(F.col("q"), F.col("body"), findings.FUZZY).alias("verified"))
 
 
 @query

@@ -31,3 +31,24 @@ def test_edits_that_share_a_number_stay_apart(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = [(r["script_id"], r["edit_seq"]) for r in same_as_sql(spark, str(tmp_path), "edits_in_force", ["events"])]
     assert len(got) > len(set(got))
+
+
+def test_matched_has_difflibs_ratio_and_stops_early():
+    import difflib
+    import random
+
+    from reelframe.functions.text import Matched, bounded, cut_windows
+
+    deal = random.Random(3)
+    words = ["".join(deal.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(deal.randrange(1, 7))) for _ in range(80)]
+    for _ in range(120):
+        text = [deal.choice(words) for _ in range(deal.randrange(1, 150))]
+        at = deal.randrange(len(text))
+        quote = " ".join(w if deal.random() < 0.8 else deal.choice(words) for w in text[at : at + deal.randrange(1, 100)])
+        for bound, window in bounded(quote, cut_windows(quote, " ".join(text))):
+            want, asked = difflib.SequenceMatcher(None, quote, window).ratio(), deal.random()
+            found = Matched(quote, window)
+            assert found.at_least(0.0) == want <= bound and found.at_least(want) == want and found.at_least(asked) == (want if want >= asked else None)
+    short = Matched("abcdefgh" * 20, "x" * 20)
+    short.longest = None  # lengths alone tell that it is not enough
+    assert short.at_least(0.9) is None
