@@ -110,8 +110,9 @@ def at_least(threshold: float):
 
 
 def distinct_texts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, id, text): the different texts of each group; id is their digest."""
-    return rows.select(*keys, F.col(text).alias("text")).where("text is not null").distinct().withColumn("id", F.unhex(F.md5("text")))
+    """(keys, id, text): the different texts of each group; id is a hash of 8 bytes. Texts that share one meet whatever either meets,
+    and are told apart by their similarity, so none is lost."""
+    return rows.select(*keys, F.col(text).alias("text")).where("text is not null").distinct().withColumn("id", F.xxhash64("text"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], text: str, threshold: float) -> DataFrame:
@@ -122,9 +123,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], text: str,
     """
     a, b = distinct_texts(left, keys, text), distinct_texts(right, keys, text)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    x = met_by(a, keys, threshold).withColumnsRenamed({"id": "left_id", "n": "left_n"})
-    y = met_by(b, keys, threshold).withColumnsRenamed({"id": "right_id", "n": "right_n"})
-    met = x.join(y, [*keys, "q", "gram"]).where((F.col("right_n") >= F.col("left_n") * low - 1e-9) & (F.col("right_n") <= F.col("left_n") * high + 1e-9))
+    # four bytes of a gram and its size travel as one number: it can only let more texts meet
+    half = F.shiftright("gram", 32).cast("int").bitwiseXOR(F.col("q")).alias("gram")
+    x = met_by(a, keys, threshold).select(*keys, F.col("id").alias("left_id"), F.col("n").alias("left_n"), half)
+    y = met_by(b, keys, threshold).select(*keys, F.col("id").alias("right_id"), F.col("n").alias("right_n"), half)
+    met = x.join(y, [*keys, "gram"]).where((F.col("right_n") >= F.col("left_n") * low - 1e-9) & (F.col("right_n") <= F.col("left_n") * high + 1e-9))
     pairs = met.select(*keys, "left_id", "right_id").distinct()
     empty = a.where("text = ''").select(*keys, F.col("id").alias("left_id")).join(b.where("text = ''").select(*keys, F.col("id").alias("right_id")), keys)
     pairs = pairs.unionByName(empty)

@@ -52,3 +52,14 @@ def test_matched_has_difflibs_ratio_and_stops_early():
     short = Matched("abcdefgh" * 20, "x" * 20)
     short.longest = None  # lengths alone tell that it is not enough
     assert short.at_least(0.9) is None
+
+
+def test_similar_texts_travel_under_short_names_and_lose_no_pair(spark, monkeypatch):
+    from reelframe.operators import similarity
+
+    rows = spark.createDataFrame([(1, "one of these lines"), (1, "one of those lines"), (1, "another thing altogether")], "k int, text string")
+    plain = similarity.distinct_texts
+    assert dict(plain(rows, ["k"], "text").dtypes)["id"] == "bigint"
+    monkeypatch.setattr(similarity, "distinct_texts", lambda *x: plain(*x).selectExpr("k", "text", "0L as id"))  # all share a name
+    found = {(r["left_text"], r["right_text"]) for r in similarity.similar_pairs(rows, rows, ["k"], "text", 0.8).collect()}
+    assert len(found) == 5
