@@ -17,13 +17,15 @@ DESCRIPTOR, AGE = r"\(([^)]{3,80})\)", r"\b(\d{1,3})\s*(?:s\b|years?[\s-]old\b)"
 WITHIN, EXCERPT = 90, 160
 
 
-def cooccurrence(presence: DataFrame, group: list[str], member: str, order: str | None = None) -> DataFrame:
+def cooccurrence(presence: DataFrame, group: list[str], member: str, order: str | None = None, tasks: int | None = None) -> DataFrame:
     """(group but the last, a, b, together[, scenes]): how many containers two members share, a < b.
 
     group: the container's key, e.g. script and scene. Members are made distinct per container, collected once,
     and paired inside the container, so the pairs need no join; counts combine before the second shuffle. A
     container's pairs grow with the square of its members: containers are scenes or orders, which are small.
+    tasks: how many tasks containers are dealt over; by default Spark decides by their size, which pairs exceed many times.
     """
+    presence = presence.repartition(tasks, *group) if tasks else presence
     cast = presence.where(F.col(member).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_set(member)).alias("cast_")).where(F.size("cast_") > 1)
     pairs = F.flatten(F.transform("cast_", lambda a, i: F.transform(F.slice("cast_", i + 2, F.size("cast_")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     keys = group[:-1]
@@ -36,9 +38,8 @@ def cooccurrence(presence: DataFrame, group: list[str], member: str, order: str
 
 def top_partners(pairs: DataFrame, keys: list[str], limit: int = 8) -> DataFrame:
     """(keys, member, partner, together, partner_rank): each member's strongest partners."""
-    both = pairs.select(*keys, F.col("a").alias("member"), F.col("b").alias("partner"), "together").unionByName(
-        pairs.select(*keys, F.col("b").alias("member"), F.col("a").alias("partner"), "together")
-    )
+    way = lambda a, b: F.struct(F.col(a).alias("member"), F.col(b).alias("partner"))
+    both = pairs.select(*keys, F.inline(F.array(way("a", "b"), way("b", "a"))), "together")
     rank = F.row_number().over(Window.partitionBy(*keys, "member").orderBy(F.desc("together"), "partner"))
     return both.withColumn("partner_rank", rank).where(F.col("partner_rank") <= limit)
 

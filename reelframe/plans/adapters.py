@@ -61,8 +61,8 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as scenes, their suppliers as characters."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    """Orders as scenes, their suppliers as characters, a row a line."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
 
 
 def generated_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

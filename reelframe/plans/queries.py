@@ -53,14 +53,20 @@ def script_report(spark, d):
     return estimates.groupBy("script_id").agg(F.sum(F.col("words").cast("long")).alias("words"), F.sum("dialogue_lines").alias("dialogue_lines"), F.count("*").alias("scene_count")).join(stats.dialogue_action_ratio(e, exact), "script_id")
 
 
+def supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of suppliers that share orders; a task for each 500,000 lines, so that none holds more pairs as the table grows."""
+    cast = orders_cast(spark, d)
+    return graph.cooccurrence(cast, ["l_orderkey"], "l_suppkey", tasks=max(spark.sparkContext.defaultParallelism, cast.count() // 500_000 + 1))
+
+
 @query
 def cooccurrence_pairs(spark, d):
-    return graph.cooccurrence(orders_cast(spark, d), ["l_orderkey"], "l_suppkey")
+    return supplier_pairs(spark, d)
 
 
 @query
 def interactions_topk(spark, d):
-    rows = graph.top_partners(graph.cooccurrence(orders_cast(spark, d), ["l_orderkey"], "l_suppkey"), [], 8)
+    rows = graph.top_partners(supplier_pairs(spark, d), [], 8)
     return rows.withColumn("partner_rank", F.col("partner_rank").cast("long"))
 
 

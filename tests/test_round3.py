@@ -63,3 +63,18 @@ def test_similar_texts_travel_under_short_names_and_lose_no_pair(spark, monkeypa
     monkeypatch.setattr(similarity, "distinct_texts", lambda *x: plain(*x).selectExpr("k", "text", "0L as id"))  # all share a name
     found = {(r["left_text"], r["right_text"]) for r in similarity.similar_pairs(rows, rows, ["k"], "text", 0.8).collect()}
     assert len(found) == 5
+
+
+def test_pairs_are_dealt_over_as_many_tasks_as_asked_and_made_once(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    from reelframe.operators import graph
+
+    rows = spark.createDataFrame([(o, s) for o in range(40) for s in range(o % 5)], "o long, s long")
+    plain = {tuple(r) for r in graph.cooccurrence(rows, ["o"], "s").collect()}
+    dealt = graph.cooccurrence(rows, ["o"], "s", tasks=7)
+    assert {tuple(r) for r in dealt.collect()} == plain
+    with redirect_stdout(io.StringIO()) as told:
+        graph.top_partners(dealt, []).explain()
+    assert told.getvalue().count("REPARTITION_BY_NUM") == 1
