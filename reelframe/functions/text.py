@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -99,6 +101,24 @@ def common_lengths(quote: str, windows: list[str]) -> list[int]:
     return [len(w) - missed.count("1", end - 1 - len(w), end - 1) for w, end in zip(windows, ends)]
 
 
+def short_ratio_at_least(a: str | Column, b: str | Column, threshold: float) -> Column:
+    """ratio_udf of two words if it is at least the threshold, else null. Words whose common characters are too few are not
+    compared, and a pair that a task has met is not compared again."""
+
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @lru_cache(1 << 16)
+        def ratio(x: str, y: str) -> float | None:
+            if 2.0 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) < threshold:
+                return None
+            return Matched(x, y).at_least(threshold)
+
+        for left, right in batches:
+            yield pd.Series([ratio(x, y) for x, y in zip(left, right)], dtype="float64")
+
+    return run(a, b)
+
+
 def cut_windows(q: str, t: str) -> list[str]:
     """A text's windows of about the quote's length, half a window apart."""
     wanted, found = q.split(), t.split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio_udf
+from ..functions.text import short_ratio_at_least
 from .findings import is_language_remark
 from .mentions import mentions
 
@@ -74,8 +74,10 @@ def character_refs(texts: DataFrame, names: DataFrame) -> DataFrame:
     done = sure.groupBy(*key).agg(F.count("*").alias("known"))
     missed = texts.select(*key).distinct().join(count, "script_id").join(done, key, "left").where(F.coalesce("known", F.lit(0)) < F.col("names")).select(*key)
     long = texts.join(missed, ["script_id", "text_id"], "left_semi").select("script_id", "text_id", F.explode(F.array_distinct(F.transform(F.filter(word_list, lambda x: F.char_length(x) >= 4), lambda x: F.upper(x)))).alias("word"))
-    tried = long.join(known.where(F.char_length("name") >= 4), "script_id").withColumn("r", ratio_udf("name", "word"))
-    best = tried.groupBy("script_id", "text_id").agg(F.max("r").alias("r"), F.max_by("name", F.struct("r", "name")).alias("name")).where(F.col("r") >= NICKNAME)
+    n, m = F.char_length("name"), F.char_length("word")
+    tried = long.join(known.where(F.char_length("name") >= 4), "script_id").where(F.least(n, m) * 2.0 / (n + m) >= NICKNAME)
+    tried = tried.withColumn("r", short_ratio_at_least("name", "word", NICKNAME)).where("r is not null")
+    best = tried.groupBy("script_id", "text_id").agg(F.max("r").alias("r"), F.max_by("name", F.struct("r", "name")).alias("name"))
     near = best.join(sure, ["script_id", "text_id", "name"], "left_anti").select("script_id", "text_id", "name", F.lit(4).alias("tier"))
     return sure.unionByName(near)
 

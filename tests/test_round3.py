@@ -78,3 +78,15 @@ def test_pairs_are_dealt_over_as_many_tasks_as_asked_and_made_once(spark, tmp_pa
     with redirect_stdout(io.StringIO()) as told:
         graph.top_partners(dealt, []).explain()
     assert told.getvalue().count("REPARTITION_BY_NUM") == 1
+
+
+def test_words_are_compared_down_to_the_threshold_only(spark):
+    from difflib import SequenceMatcher
+
+    from reelframe.functions.text import short_ratio_at_least
+
+    words = ["USER", "USERS", "SURE", "ASSISTANT", "ASSIST", "TIONBLE"]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    ratio = {(a, b): SequenceMatcher(None, a, b).ratio() for a in words for b in words}
+    got = {(r["a"], r["b"]): r["r"] for r in rows.withColumn("r", short_ratio_at_least("a", "b", 0.58)).collect()}
+    assert got == {k: r if r >= 0.58 else None for k, r in ratio.items()} and None in got.values()
