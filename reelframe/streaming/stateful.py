@@ -1,10 +1,11 @@
 """Stateful stream operators with timers: stall alerts, and a ring of the last values of a key.
 
-Both keep a bounded state a key and give the rows that their batch twins give, however the input is cut into micro-batches.
+Both keep a bounded state a script or key and give the rows that their batch twins give, however the input is cut into micro-batches.
 They need a state store with timers: start() sets RocksDB's for the session it runs in.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from .jobs import STALL_SECONDS
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BEAT, STALL = ["stage", "status", "detail"], "script_id {kind}, stage string, detail string, last_us long, stalled_us long"
+BEAT, STALL = ["stage", "status", "detail"], "script_id string, stage string, detail string, last_us long, stalled_us long"
 
 
 def start(rows: DataFrame, path: str, checkpoint: str, once: bool = False):
@@ -25,79 +26,62 @@ def start(rows: DataFrame, path: str, checkpoint: str, once: bool = False):
     return rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-class StallWatch(StatefulProcessor):
-    """Heartbeats of one script. Those that the watermark has not passed wait, so that late ones find their place; the others
-    have been gone through in order. One timer a script: for the first that waits, or for the stall of the last one."""
+def stall_watch(after: float):
+    """Heartbeats of a bucket of scripts. Those that the watermark has not passed wait, so that late ones find their place; the
+    others have been gone through in order. One timer a bucket: for the first that waits, or for the first stall of a last one.
+    Of a script that does not run, or whose stall has been told, nothing is kept.
 
-    def __init__(self, after: float):
-        self.after = int(after * 1_000_000)
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, stage string, status string, detail string")
-        self.last = handle.getValueState("last", "us long, stage string, status string, detail string, told boolean")
-        self.timer = handle.getValueState("timer", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            beats = [(int(us), *rest) for us, *rest in pdf.loc[pdf["us"].notna(), ["us", *BEAT]].itertuples(index=False)]
-            if beats:
-                self.waiting.appendList(beats)
-        yield self.passed(key, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield self.passed(key, timerValues)
+    A call costs milliseconds, whatever it holds, so a script has none of its own.
+    """
+    after = int(after * 1_000_000)
 
-    def passed(self, key, timers) -> pd.DataFrame:
+    def passed(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         """Goes through what the watermark has passed; gives the stalls that have come to light."""
-        mark = timers.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        settled = [x for x in waiting if x[0] <= mark]
-        waiting = waiting[len(settled):]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-
-        def silent_till(at: int) -> None:
-            nonlocal last
-            if last and last[2] == "running" and not last[4] and at - last[0] > self.after:
-                out.append((*key, last[1], last[3], last[0], last[0] + self.after))
-                last = (*last[:4], True)
-
-        for beat in settled:
-            silent_till(beat[0])
-            last = (*beat, False)
-        silent_till(mark)
-        if last:
-            self.last.update(last)
-        if settled and waiting:
-            self.waiting.put(waiting)
-        elif settled:
-            self.waiting.clear()
-        due = [waiting[0][0]] if waiting else [last[0] + self.after] if last and last[2] == "running" and not last[4] else []
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if due:
-            ms = max(due[0], mark) // 1000 + 1
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
-        return pd.DataFrame(out, columns=["script_id", "stage", "detail", "last_us", "stalled_us"])
-
-    def close(self) -> None:
-        pass
-
-
-def stall_alerts(beats: DataFrame, after: float = STALL_SECONDS, late: str = "10 minutes") -> DataFrame:
+        scripts = {s: (last, waiting) for s, last, waiting in json.loads(state.get[0])} if state.exists else {}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                for script, *beat in zip(*(pdf[c].tolist() for c in ["script_id", "us", *BEAT])):
+                    scripts.setdefault(script, (None, []))[1].append(beat)
+        mark = state.getCurrentWatermarkMs() * 1000
+        out, kept, due = [], [], []
+        for script, (last, waiting) in scripts.items():
+            waiting.sort(key=lambda x: (x[0], *((v is not None, v or "") for v in x[1:])))
+            settled = sum(x[0] <= mark for x in waiting)
+            # the end of the last one's silence: the next that is settled, or the watermark
+            for beat in [*waiting[:settled], [mark]]:
+                if last and last[2] == "running" and beat[0] - last[0] > after:
+                    out.append((script, last[1], last[3], last[0], last[0] + after))
+                    last = None
+                last = beat if len(beat) > 1 else last
+            waiting, last = waiting[settled:], last if last and last[2] == "running" else None
+            if waiting or last:
+                kept.append((script, last, waiting))
+                # the timer rings once the watermark is past it: one before the first millisecond that settles something
+                due.append(-(-waiting[0][0] // 1000) - 1 if waiting else (last[0] + after) // 1000)
+                if waiting and last:
+                    due.append((last[0] + after) // 1000)
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max(min(due), mark // 1000, 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["script_id", "stage", "detail", "last_us", "stalled_us"])
+
+    return passed
+
+
+def stall_alerts(beats: DataFrame, after: float = STALL_SECONDS, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """(script_id, stage, detail, last_at, stalled_at): a stream's stalls, each told once, when the watermark has passed it.
 
     beats: a stream of (script_id, stage, status, detail, at timestamp). A script stalls where its last heartbeat says running and
-    none follows within `after` seconds. Heartbeats up to `late` behind the newest one count in their order.
+    none follows within `after` seconds. Heartbeats up to `late` behind the newest one count in their order. Scripts are dealt
+    over `buckets`, a number that must stay as long as the checkpoint does; ids are of a kind that can be cast to string and back.
     """
     kind = dict(beats.dtypes)["script_id"]
-    rows = beats.select("script_id", *BEAT, "at", F.unix_micros("at").alias("us")).withWatermark("at", late)
-    told = rows.groupBy("script_id").transformWithStateInPandas(StallWatch(after), STALL.format(kind=kind), "Append", "EventTime")
-    return told.select("script_id", "stage", "detail", F.timestamp_micros("last_us").alias("last_at"), F.timestamp_micros("stalled_us").alias("stalled_at"))
+    rows = beats.where("at is not null").select(F.pmod(F.xxhash64("script_id"), F.lit(buckets)).alias("bucket"), F.col("script_id").cast("string"), *BEAT, "at", F.unix_micros("at").alias("us"))
+    told = rows.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(stall_watch(after), STALL, "scripts string", "Append", "EventTimeTimeout")
+    return told.select(F.col("script_id").cast(kind), "stage", "detail", F.timestamp_micros("last_us").alias("last_at"), F.timestamp_micros("stalled_us").alias("stalled_at"))
 
 
 def stalls(beats: DataFrame, now, after: float = STALL_SECONDS) -> DataFrame:

@@ -90,3 +90,25 @@ def test_words_are_compared_down_to_the_threshold_only(spark):
     ratio = {(a, b): SequenceMatcher(None, a, b).ratio() for a in words for b in words}
     got = {(r["a"], r["b"]): r["r"] for r in rows.withColumn("r", short_ratio_at_least("a", "b", 0.58)).collect()}
     assert got == {k: r if r >= 0.58 else None for k, r in ratio.items()} and None in got.values()
+
+
+def test_scripts_share_state_and_timers_and_keep_their_ids(spark, tmp_path):
+    import datetime as dt
+
+    from reelframe.streaming import stateful
+
+    at = lambda m: dt.datetime(2024, 5, 1) + dt.timedelta(minutes=m)
+    ids = [None, 2**53 + 1, 2**53, *range(60)]
+    schema = "script_id long, stage string, status string, detail string, at timestamp"
+    rows = [(s, "parse", "running" if (i + k) % 3 else "complete", str(k), at(40 * k + i % 7)) for i, s in enumerate(ids) for k in range(4)]
+    every = [*rows, (7, "parse", "complete", "", at(1000))]
+    for i, part in enumerate([rows[::2], rows[1::2], every[-1:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        told = stateful.stall_alerts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1800, "200 minutes")
+        q = stateful.start(told, f"{tmp_path}/out", f"{tmp_path}/checkpoint", once=True)
+        q.awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(told.schema).parquet(f"{tmp_path}/out").collect()]
+    want = [tuple(r) for r in stateful.stalls(spark.createDataFrame(every, schema), at(800), 1800).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {None, 2**53 + 1, 2**53} < {r[0] for r in want}
+    # only the clock waits; what is told or complete leaves no state
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
