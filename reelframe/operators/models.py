@@ -1,4 +1,4 @@
-"""Model passes: chunks of rows through an injectable client, with retries and halving, as one mapInPandas.
+"""Model passes: chunks of rows through an injectable client, with retries and halving, as one map over sorted partitions.
 
 A client is made once a partition by a factory and has chat_json(system, user, schema) -> object. Nothing here
 opens a connection; tests pass fakes.
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def run_pass(rows: DataFrame, what: Pass, client_factory: Callable[[bool], objec
     """(keys[0], item_index, error, answer struct): the pass over rows, chunked within each group.
 
     rows has a `chunk` column (see context.chunks) or is taken row by row, where it lies. Rows of a chunk come together in
-    one Arrow group; chunks run in parallel. item_index counts a group's answers from 0, by chunk (by keys[1:], where there
+    a partition sorted by chunk; partitions run in parallel. item_index counts a group's answers from 0, by chunk (by keys[1:], where there
     is none) and by their order within it, so answers keep the order of the script that was read in several parts.
     """
     group, at = keys[0], ["chunk"] if "chunk" in rows.columns else keys[1:]
@@ -127,9 +128,26 @@ def run_pass(rows: DataFrame, what: Pass, client_factory: Callable[[bool], objec
             out += [(len(out) + i, None, json.dumps(x)) for i, x in enumerate(found)] if error is None else [(len(out), error, None)]
         return out
 
-    def chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(keys[1:])[text].tolist() if keys[1:] else pdf[text].tolist()
-        return pd.DataFrame([(*key, 0, *x) for x in answers(texts)], columns=[group, *at, "part", "place", "error", "raw"])
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, kind = None, [], None
+        alike = lambda a, b: a == b or (a != a and b != b)
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            types = [*kind, pa.int64(), pa.int32(), pa.string(), pa.string()]
+            columns = zip(*found) if found else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[group, *at, "part", "place", "error", "raw"])
+
+        for b in batches:
+            kind, found = [b.schema.field(i).type for i in (0, 1)], []
+            for *key, line in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if texts and not all(map(alike, key, held)):
+                    found += [(*held, 0, *x) for x in answers(texts)]
+                    texts = []
+                held = key
+                texts.append(line)
+            yield made(found)
+        if texts:
+            yield made([(*held, 0, *x) for x in answers(texts)])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -137,7 +155,10 @@ def run_pass(rows: DataFrame, what: Pass, client_factory: Callable[[bool], objec
             yield pd.DataFrame(found, columns=[group, *at, "part", "place", "error", "raw"])
 
     if at == ["chunk"]:
-        answered = rows.select(group, *keys[1:], "chunk", text).groupBy(group, "chunk").applyInPandas(chunk, schema)
+        # sorted partitions, not a group each: a chunk is small, and one call a chunk costs more than its rows
+        placed = rows.select(group, "chunk", F.col(text).alias("line_"), *keys[1:]).repartition(group, "chunk")
+        placed = placed.sortWithinPartitions(group, "chunk", *[F.asc_nulls_last(k) for k in keys[1:]])
+        answered = placed.select(group, "chunk", "line_").mapInArrow(chunks, schema)
     else:
         answered = rows.select(group, *at, F.monotonically_increasing_id().alias("part"), text).mapInPandas(each, schema)
     order = Window.partitionBy(group).orderBy(*at, "part", "place", "raw")
