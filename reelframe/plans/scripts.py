@@ -10,7 +10,7 @@ from ..operators import context, craft, findings, graph, structure, tracks
 from ..operators import stats as S
 from ..sources import export, json_files, screenplay, script_files
 from ..streaming import jobs
-from .adapters import elements, generated_scripts, presence, scenes, shared_folder, squeezed, table
+from .adapters import elements, generated_scripts, kept, presence, scenes, shared_folder, squeezed, table
 from .registry import injected, query
 
 ELEMENT = ["script_id", "scene_number", "element_index", "type", "text", "character"]
@@ -189,7 +189,8 @@ def script_file_stream(spark, d):
 
 @query
 def formatting_checks(spark, d):
-    out = screenplay.parse(rich_scripts(spark, d))
+    """The checks read the elements in many branches, so the scripts are parsed once and kept."""
+    out = screenplay.parse(rich_scripts(spark, d), kept)
     rows = craft.formatting(out["elements"], out["scenes"])
     first = F.coalesce(F.try_element_at("scene_refs", F.lit(1)), F.lit(0))
     return rows.groupBy("script_id", "rule", "severity").agg(F.count("*").alias("n"), F.sum(first.cast("long")).alias("first_refs"))

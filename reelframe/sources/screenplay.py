@@ -9,6 +9,8 @@ location, time_of_day, page_start, page_end), scripts, presence and warnings.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,12 +134,16 @@ def classify(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse(texts: DataFrame) -> dict[str, DataFrame]:
-    """Tables of Fountain, Markdown and plain-text scripts (script_id, source_format, source_filename, text)."""
+def parse(texts: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Tables of Fountain, Markdown and plain-text scripts (script_id, source_format, source_filename, text).
+
+    keep: writes a table and reads it back. The elements go through it, so that what is made of them parses no line again.
+    """
     lines = split_lines(texts)
     titles = title_pages(lines)
     body = lines.join(titles, "script_id", "left").where(F.col("line_no") >= F.coalesce("start", F.lit(0)))
     elements = classify(body)
+    elements = keep(elements) if keep else elements
     scripts = texts.select("script_id", "source_format", "source_filename").join(titles.drop("start"), "script_id", "left")
     return tables(elements, scripts, "medium")
 

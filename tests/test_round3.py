@@ -136,3 +136,15 @@ def test_chunks_need_no_call_each_and_stay_whole_across_batches(spark):
     with redirect_stdout(io.StringIO()) as told:
         out.explain()
     assert "MapInArrow" in told.getvalue() and "FlatMapGroupsInPandas" not in told.getvalue()
+
+
+def test_formatting_checks_parse_scripts_once(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    rows = [(c, t, ("system", "user", "assistant")[t % 3], f"words of {c} and {t}") for c in range(25) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert same_as_sql(spark, str(tmp_path), "formatting_checks", ["conversations"])
+    with redirect_stdout(io.StringIO()) as told:
+        QUERIES["formatting_checks"](spark, str(tmp_path)).explain()
+    assert "conversations.parquet" not in told.getvalue()
