@@ -23,20 +23,21 @@ from itertools import pairwise
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mix, remove, shuffle_partitions, small_batches, written
+from .common import ASCII_SPACE, U64, by_bytes, mix, remove, shuffle_partitions, written
 
 ORDER, QUANTILE, SLACK = 5, 0.99, 1.1
 HELD_OUT = 5
 #: Shares of the contexts that are worked off one after the other.
-SLICES = 4
+SLICES = 6
 #: Words that a task turns into blocks at a time, and about as many that one of the counting tasks gets.
 WORDS = 1 << 20
-#: Shared n-grams that are broadcast (16 bytes each); the others are joined with the tasks that need them.
-KNOWN = 1 << 20
+#: Shared n-grams that are broadcast (12 bytes each); the others are joined with the tasks that need them.
+KNOWN = 1 << 22
 #: Trusted ids that are broadcast (8 bytes each); more are met in a sort-merge join.
 IDS = 1 << 21
 ROOT = U64(0x9E3779B97F4A7C15)
@@ -92,27 +93,68 @@ def at_of(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == values
 
 
+class Hashes:
+    """48-bit hashes of the words of texts laid end to end: a polynomial over a word's bytes, from differences of one running sum."""
+
+    def __init__(self):
+        self.of_byte = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.space = np.zeros(256, dtype=bool)
+        self.space[list(ASCII_SPACE)] = True
+        self.base = int(self.of_byte[0]) | 1
+        self.back = pow(self.base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def powers(self, base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes, and how many words each text has."""
+        column = column.cast(pa.binary())
+        edges = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        if edges[-1] == edges[0]:
+            return np.zeros(0, dtype=np.uint64), np.zeros(len(column), dtype=np.int64)
+        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]]
+        edges = edges.astype(np.int64) - edges[0]
+        if len(self.up) <= len(data):
+            self.up, self.down = self.powers(self.base, 2 * len(data)), self.powers(self.back, 2 * len(data))
+        gap = np.ones(len(data) + 1, dtype=bool)  # a byte that is in no word, and the end
+        gap[:-1] = self.space[data]
+        begins = ~gap[:-1]
+        begins[1:] &= gap[:-2]
+        ends = ~gap[:-1] & gap[1:]
+        cuts = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(data))]
+        begins[cuts], ends[cuts - 1] = ~gap[cuts], ~gap[cuts - 1]
+        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.of_byte[data] * self.up[: len(data)], out=sums[1:])
+        h = mix((sums[ends] - sums[begins]) * self.down[begins] + (ends - begins).astype(np.uint64)) >> U64(16)
+        return np.maximum(h, U64(1)), np.diff(np.searchsorted(begins, edges))
+
+
 def spans(batches, order: int):
     """(row, trusted, word hashes, place of each word, its text) of about WORDS words at a time, from rows (row, trusted,
     text); zeros stand before each text's words."""
-    hashes, rows, trusted, parts, held = WordHashes(), [], [], [], 0
-    pad = np.zeros(order - 1, dtype=np.uint64)
+    hashes, parts, held = Hashes(), [], 0
 
     def joined():
-        sizes = np.array([len(p) for p in parts])
-        words = np.concatenate([x for p in parts for x in (pad, p)])
-        at = np.repeat(np.arange(len(parts)), sizes)
-        return np.array(rows, dtype=np.int64).view(np.uint64), np.array(trusted, dtype=bool), words, np.arange(len(at)) + (at + 1) * (order - 1), at
-
-    for b in small_batches(batches):
-        for row, flag, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            found = hashes.of(text.encode("utf-8", "surrogatepass").split())
-            if len(found):
-                rows.append(row), trusted.append(flag), parts.append(found)
-                held += len(found)
+        rows, trusted, found, sizes = (np.concatenate(x) for x in zip(*parts))
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.arange(len(at)) + (at + 1) * (order - 1)
+        words = np.zeros(len(at) + len(sizes) * (order - 1), dtype=np.uint64)
+        words[ends] = found
+        return rows.view(np.uint64), trusted, words, ends, at
+
+    for b in batches:
+        for start, end in by_bytes(b, "text"):
+            part = b.slice(start, end - start)
+            found, sizes = hashes.of(part.column(2))
+            parts.append((part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), found, sizes))
+            held += len(found)
             if held >= WORDS:
                 yield joined()
-                rows, trusted, parts, held = [], [], [], 0
+                parts, held = [], 0
     if held:
         yield joined()
 
@@ -175,15 +217,6 @@ def undumped(data: bytes, size: int) -> list[np.ndarray]:
     return out
 
 
-def renumbered(codes: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The codes in use, and all codes by their place among them."""
-    used = np.zeros(size, dtype=bool)
-    for c in codes:
-        used[c] = True
-    place = np.cumsum(used) - 1
-    return np.flatnonzero(used), [place[c] for c in codes]
-
-
 def blocks(texts: DataFrame, order: int, hot: list[np.ndarray], slices: int, parts: int, this: int) -> DataFrame:
     """(part int, data binary, size int, g binary, n long): the n-grams of one slice in blocks, one for each task that
     they go to and WORDS words. g and n are for rows that are added for the task."""
@@ -193,17 +226,16 @@ def blocks(texts: DataFrame, order: int, hot: list[np.ndarray], slices: int, par
             deep, keys = depths(words, ends, hot, order)
             bucket = (keys % U64(slices * parts)).astype(np.int64)
             mine = np.flatnonzero(bucket % slices == this)
-            known, codes = np.unique(words, return_inverse=True)
-            nearest = [codes[ends[mine] - j] & ((1 << 22) - 1) for j in (1, min(2, order - 1))]
             # like contexts stand together, which packs well
-            mine = mine[np.argsort(bucket[mine] // slices << 44 | nearest[0] << 22 | nearest[1], kind="stable")]
+            nearest = [words[ends[mine] - j] >> U64(26) for j in (1, min(2, order - 1))]
+            mine = mine[np.argsort((bucket[mine] // slices).astype(np.uint64) << U64(44) | nearest[0] << U64(22) | nearest[1], kind="stable")]
             part = bucket[mine] // slices
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             for start, end in pairwise(edges):
                 own = mine[start:end]
-                used, named = renumbered([codes[ends[own] - j] for j in range(order)], len(known))
-                texts_, places = renumbered([at[own]], len(rows))
-                data, size = dumped([known[used], rows[texts_], trusted[texts_], places[0], deep[own], *named])
+                used, named = np.unique(np.concatenate([words[ends[own] - j] for j in range(order)]), return_inverse=True)
+                texts_, places = np.unique(at[own], return_inverse=True)
+                data, size = dumped([np.diff(used, prepend=U64(0)), rows[texts_], trusted[texts_], places, deep[own], *np.split(named, order)])
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[start])], pa.int32()), pa.array([data], pa.binary()), pa.array([size], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.int64())], names=["part", "data", "size", "g", "n"])
 
     return texts.mapInArrow(run, "part int, data binary, size int, g binary, n long")
@@ -218,6 +250,7 @@ class Grams:
             for data, size, g, n in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
                 if data is not None:
                     found.append(undumped(data, size))
+                    found[-1][0] = np.cumsum(found[-1][0], dtype=np.uint64)
                 else:
                     self.added.setdefault(len(g) // 8, []).append((g, n))
         self.order, self.n = order, sum(len(x[3]) for x in found)
@@ -239,7 +272,7 @@ class Grams:
         self.gram = [None, *(self.pair(c, self.word[0]) for c in self.context)]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a * len(self.words) + b, return_inverse=True)[1]
+        return pd.factorize(a * len(self.words) + b)[0]
 
     def counted(self) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
         """By order: the adjusted counts of n-grams with contexts of this task alone; and places of different (k + 1)-grams that
@@ -284,16 +317,12 @@ def count_grams(placed: DataFrame, order: int) -> DataFrame:
     return placed.mapInArrow(run, "k int, g binary, n long, t int")
 
 
-def hashed(grams: list[bytes], k: int) -> np.ndarray:
-    """Hashes of k-grams given as binary values."""
-    words = np.frombuffer(b"".join(grams), dtype=np.uint64).reshape(len(grams), k)
-    return ended(context_hash([words[:, k - 1 - j] for j in range(1, k)], len(grams)), words[:, k - 1])
-
-
-def sorted_counts(grams: list[bytes], counts: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-    h = hashed(grams, k)
+def sorted_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of n-grams, given as rows of words, and their counts."""
+    k = grams.shape[1]
+    h = ended(context_hash([grams[:, k - 1 - j] for j in range(1, k)], len(grams)), grams[:, k - 1])
     order = np.argsort(h)
-    return h[order], np.array(counts, dtype=np.int64)[order]
+    return h[order], counts[order].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
 
 
 def train(texts: DataFrame, order: int, hot: list[np.ndarray], slices: int, parts: int) -> tuple[dict, DataFrame | None]:
@@ -332,7 +361,8 @@ def train(texts: DataFrame, order: int, hot: list[np.ndarray], slices: int, part
     known = {}
     for k, rows in shared.items():
         top = rows.where(F.col("n") >= least).toArrow()
-        known[k] = sorted_counts(top["g"].to_pylist(), top["n"].to_pylist(), k)
+        words = [np.frombuffer(x.buffers()[2], dtype=np.uint64)[x.offset * k : (x.offset + len(x)) * k] for x in top["g"].chunks if len(x)]
+        known[k] = sorted_counts(np.concatenate([np.zeros(0, dtype=np.uint64), *words]).reshape(-1, k), top["n"].to_numpy())
     rest = everything.where(F.col("n") < least) if least > 1 else None
     return {"cuts": cuts, "contexts": contexts, "symbols": symbols, "known": known, "shared": list(shared.values())}, rest
 
@@ -367,7 +397,7 @@ def score_grams(placed: DataFrame, order: int, model: dict, known) -> DataFrame:
         if not grams.n:
             return
         counts, _ = grams.counted()
-        added = {k: sorted_counts(*zip(*rows), k) for k, rows in grams.added.items()}
+        added = {k: sorted_counts(np.frombuffer(b"".join(g for g, _ in rows), dtype=np.uint64).reshape(-1, k), np.array([n for _, n in rows])) for k, rows in grams.added.items()}
         p = np.full(grams.n, 1 / symbols)
         for k in range(1, order + 1):
             cut = np.array([0.0, *cuts[k]])
