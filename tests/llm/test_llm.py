@@ -514,6 +514,27 @@ def test_classify_scores_words(spark):
         assert got[i]["perplexity"] == (want if want is None else pytest.approx(want, rel=1e-6))
 
 
+def test_classify_writes_no_whole_ngrams(spark, monkeypatch):
+    corpus = [spoken("aa", 30, i) for i in range(12)]
+    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(corpus)], "doc_id long, text string, lang string")
+    trusted, longest, write = spark.createDataFrame([(i,) for i in range(10)], "doc_id long"), [], quality.written
+
+    def watched(rows, name):
+        out = write(rows, name)
+        if "g" in out.columns:
+            longest.append(out.selectExpr("max(octet_length(g)) n").first()["n"] or 0)
+        return out
+
+    monkeypatch.setattr(quality, "written", watched)
+    monkeypatch.setattr(quality, "KNOWN", 4)  # the other shared n-grams are joined
+    got = collected(quality.classify(df, trusted))
+    assert longest and max(longest) < 8 * quality.ORDER
+    p = word_kneser_ney([t for i, t in enumerate(corpus) if i < 10 and zlib.crc32(str(i).encode()) % quality.HELD_OUT], quality.ORDER)
+    for i, t in enumerate(corpus):
+        want = float(np.exp(-sum(np.log(p(g)) for g in word_tuples(t, quality.ORDER)) / len(" ".join(t.split()).encode())))
+        assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
+
+
 LINK_SCHEMA = "vec_id long, embedding array<double>, rep long, component string, first int"
 
 
